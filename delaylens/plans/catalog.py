@@ -249,3 +249,167 @@ SELECT DISTINCT base_stop_id FROM merged WHERE base_stop_id IS NOT NULL
 """)
 def q_distinct_values(spark, sf_dir):
     return P.distinct_values(merged(spark, sf_dir), "base_stop_id")
+
+
+# ------------------------------------------------------------------- trips
+from delaylens.operators import trips as T  # noqa: E402
+
+_ORDER = "PARTITION BY rt_trip_id ORDER BY gtfs_stop_sequence, current_stop_departure, gtfs_stop_id"
+
+_PROCESSED_SQL = f"""
+base AS (
+  SELECT *,
+    current_stop_departure + INTERVAL 1 SECOND * cast(round(current_stop_dep_delay) AS BIGINT) AS real_departure,
+    CASE WHEN current_stop_arr_delay IS NOT NULL
+         THEN current_stop_arrival + INTERVAL 1 SECOND * cast(round(current_stop_arr_delay) AS BIGINT)
+         ELSE current_stop_departure + INTERVAL 1 SECOND * cast(round(current_stop_dep_delay) AS BIGINT)
+    END AS real_arrival
+  FROM __SRC__
+),
+calc AS (
+  SELECT *,
+    lag(current_stop_departure) OVER ({_ORDER}) AS previous_stop_departure,
+    lag(current_stop_arrival) OVER ({_ORDER}) AS previous_stop_arrival,
+    lag(gtfs_stop_id) OVER ({_ORDER}) AS previous_stop_id,
+    lag(real_departure) OVER ({_ORDER}) AS real_previous_stop_departure
+  FROM base
+),
+processed AS (
+  SELECT *,
+    (epoch_us(real_arrival) - epoch_us(real_previous_stop_departure)) / 1e6 AS real_travel_time_seconds,
+    (epoch_us(current_stop_arrival) - epoch_us(previous_stop_departure)) / 1e6 AS planned_travel_time_seconds,
+    previous_stop_id || '_' || gtfs_stop_id AS section_id
+  FROM calc
+)"""
+
+
+def processed_sql(src: str = "st") -> str:
+    return _PROCESSED_SQL.replace("__SRC__", src)
+
+
+@register("segments", f"""
+WITH s AS (SELECT rt_trip_id, gtfs_stop_id, gtfs_stop_sequence,
+                  lag(gtfs_stop_id) OVER ({_ORDER}) AS previous_stop_id FROM st)
+SELECT rt_trip_id, gtfs_stop_sequence, previous_stop_id, gtfs_stop_id AS current_stop_id,
+       previous_stop_id || '_' || gtfs_stop_id AS segment_id_full,
+       split_part(previous_stop_id, 'Z', 1) || '_' || split_part(gtfs_stop_id, 'Z', 1) AS segment_id_short
+FROM s WHERE previous_stop_id IS NOT NULL
+""")
+def q_segments(spark, sf_dir):
+    return T.segments(views(spark, sf_dir)["st"])
+
+
+_PROCESSED_COLS = f"""
+  rt_trip_id, gtfs_stop_id, {TS('current_stop_departure')} AS current_stop_departure,
+  current_stop_dep_delay, {TS('current_stop_arrival')} AS current_stop_arrival, current_stop_arr_delay,
+  gtfs_stop_sequence, gtfs_route_short_name, gtfs_direction_id,
+  {TS('created_at')} AS created_at, {TS('updated_at')} AS updated_at,
+  {TS('real_departure')} AS real_departure, {TS('real_arrival')} AS real_arrival,
+  {TS('previous_stop_departure')} AS previous_stop_departure,
+  {TS('previous_stop_arrival')} AS previous_stop_arrival, previous_stop_id,
+  {TS('real_previous_stop_departure')} AS real_previous_stop_departure,
+  {R('real_travel_time_seconds')} AS real_travel_time_seconds,
+  {R('planned_travel_time_seconds')} AS planned_travel_time_seconds, section_id"""
+
+
+@register("trip_travel_times", f"""
+WITH {processed_sql()}
+SELECT {_PROCESSED_COLS} FROM processed
+""")
+def q_trip_travel_times(spark, sf_dir):
+    return T.trip_travel_times(views(spark, sf_dir)["st"])
+
+
+@register("trip_lags", f"""
+WITH {processed_sql()}
+SELECT rt_trip_id, gtfs_stop_sequence, {TS('previous_stop_departure')} AS previous_stop_departure,
+       {TS('previous_stop_arrival')} AS previous_stop_arrival, previous_stop_id,
+       {TS('real_previous_stop_departure')} AS real_previous_stop_departure
+FROM processed
+""")
+def q_trip_lags(spark, sf_dir):
+    return T.trip_travel_times(views(spark, sf_dir)["st"]).select(
+        "rt_trip_id", "gtfs_stop_sequence", "previous_stop_departure", "previous_stop_arrival",
+        "previous_stop_id", "real_previous_stop_departure")
+
+
+@register("next_stop_lead", f"""
+SELECT rt_trip_id, gtfs_stop_sequence, gtfs_stop_id,
+       lead(gtfs_stop_id) OVER ({_ORDER}) AS next_stop
+FROM st
+""")
+def q_next_stop_lead(spark, sf_dir):
+    return T.with_next_stop(views(spark, sf_dir)["st"]).select(
+        "rt_trip_id", "gtfs_stop_sequence", "gtfs_stop_id", "next_stop")
+
+
+@register("trip_segment_summary", f"""
+WITH {processed_sql()},
+agg AS (
+  SELECT rt_trip_id, section_id,
+    arg_min(current_stop_departure, gtfs_stop_sequence) FILTER (WHERE current_stop_departure IS NOT NULL) AS planned_start_time,
+    arg_max(current_stop_arrival, gtfs_stop_sequence) FILTER (WHERE current_stop_arrival IS NOT NULL) AS planned_end_time,
+    arg_min(real_departure, gtfs_stop_sequence) FILTER (WHERE real_departure IS NOT NULL) AS actual_start_time,
+    arg_max(real_arrival, gtfs_stop_sequence) FILTER (WHERE real_arrival IS NOT NULL) AS actual_end_time
+  FROM processed WHERE section_id IS NOT NULL GROUP BY rt_trip_id, section_id
+)
+SELECT rt_trip_id, section_id,
+  {TS('planned_start_time')} AS planned_start_time, {TS('planned_end_time')} AS planned_end_time,
+  {TS('actual_start_time')} AS actual_start_time, {TS('actual_end_time')} AS actual_end_time,
+  {R('(epoch_us(planned_end_time) - epoch_us(planned_start_time)) / 1e6')} AS planned_travel_time_seconds,
+  {R('(epoch_us(actual_end_time) - epoch_us(actual_start_time)) / 1e6')} AS actual_travel_time_seconds,
+  {R('(epoch_us(actual_start_time) - epoch_us(planned_start_time)) / 1e6')} AS delay_seconds
+FROM agg
+""")
+def q_trip_segment_summary(spark, sf_dir):
+    return T.trip_segment_summary(T.trip_travel_times(views(spark, sf_dir)["st"]))
+
+
+_SEGROW_COLS = f"""rt_trip_id, gtfs_stop_sequence, gtfs_direction_id,
+  {TS('current_stop_departure')} AS current_stop_departure,
+  {R('real_travel_time_seconds')} AS real_travel_time_seconds, segment_id_full, segment_id_short"""
+
+
+@register("segment_rows", f"""
+WITH {processed_sql()}
+SELECT {_SEGROW_COLS} FROM (
+  SELECT *, previous_stop_id || '_' || gtfs_stop_id AS segment_id_full,
+         split_part(previous_stop_id, 'Z', 1) || '_' || split_part(gtfs_stop_id, 'Z', 1) AS segment_id_short
+  FROM processed WHERE previous_stop_id IS NOT NULL)
+""")
+def q_segment_rows(spark, sf_dir):
+    return T.segment_rows(views(spark, sf_dir)["st"], "edge").select(
+        "rt_trip_id", "gtfs_stop_sequence", "gtfs_direction_id", "current_stop_departure",
+        "real_travel_time_seconds", "segment_id_full", "segment_id_short")
+
+
+@register("segment_rows_trip", f"""
+WITH {processed_sql()},
+s AS (SELECT rt_trip_id, lag(gtfs_stop_id) OVER ({_ORDER}) AS p, gtfs_stop_id AS c FROM st)
+SELECT {_SEGROW_COLS} FROM (
+  SELECT processed.*, s.p || '_' || s.c AS segment_id_full,
+         split_part(s.p, 'Z', 1) || '_' || split_part(s.c, 'Z', 1) AS segment_id_short
+  FROM processed JOIN s ON processed.rt_trip_id = s.rt_trip_id WHERE s.p IS NOT NULL)
+""")
+def q_segment_rows_trip(spark, sf_dir):
+    return T.segment_rows(views(spark, sf_dir)["st"], "trip").select(
+        "rt_trip_id", "gtfs_stop_sequence", "gtfs_direction_id", "current_stop_departure",
+        "real_travel_time_seconds", "segment_id_full", "segment_id_short")
+
+
+@register("next_stop", f"""
+WITH n AS (SELECT base_stop_id, gtfs_direction_id,
+                  lead(gtfs_stop_id) OVER ({_ORDER}) AS next_stop FROM merged),
+c AS (SELECT base_stop_id, gtfs_direction_id, next_stop, count(*) AS cnt
+      FROM n WHERE next_stop IS NOT NULL GROUP BY base_stop_id, gtfs_direction_id, next_stop),
+r AS (SELECT *, row_number() OVER (PARTITION BY base_stop_id, gtfs_direction_id
+                                   ORDER BY cnt DESC, next_stop) AS rn FROM c),
+b AS (SELECT base_stop_id, gtfs_direction_id, next_stop AS next_stop_id,
+             CASE WHEN regexp_matches(next_stop, '[SZ]')
+                  THEN regexp_extract(next_stop, '^([^SZ]*)', 1) END AS next_base_stop_id
+      FROM r WHERE rn = 1)
+SELECT b.*, s.stop_name AS next_stop_name FROM b LEFT JOIN stops s ON s.base_stop_id = b.next_base_stop_id
+""")
+def q_next_stop(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return T.next_stop(P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"]), v["stops"])

@@ -59,3 +59,14 @@ DAY_TYPE_MATCH = ("Match Day", "Regular Day")
 
 KMEANS_K = 3
 KMEANS_SEED = 42
+
+# Recommendation texts (fixed values); {start}/{end} are kickoff hour -1/+1.
+RECOMMEND_CAPACITY = "Consider additional public transport capacity {start}:00 - {end}:00"
+RECOMMEND_SIGNALS = "Review traffic light timing during peak impact hours"
+RECOMMEND_OFFICERS = "Deploy additional traffic officers at key intersections"
+RECOMMEND_PARKING = "Consider temporary parking restrictions in residential areas"
+RECOMMEND_ADEQUATE = "Current traffic management measures appear adequate for this type of match"
+IMPACT_NORMAL = "Normal traffic"
+IMPACT_ABOVE = "Above normal"
+DEFAULT_OPPONENT = "TBD"
+HOME_TEAM = "Sparta Praha"

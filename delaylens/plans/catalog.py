@@ -413,3 +413,265 @@ SELECT b.*, s.stop_name AS next_stop_name FROM b LEFT JOIN stops s ON s.base_sto
 def q_next_stop(spark, sf_dir):
     v = views(spark, sf_dir)
     return T.next_stop(P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"]), v["stops"])
+
+
+# ------------------------------------------------------------------ events
+from delaylens.operators import events as EV  # noqa: E402
+
+
+def calendar(spark, sf_dir) -> DataFrame:
+    return EV.match_calendar(views(spark, sf_dir)["matches_raw"])
+
+
+def _merged_cal(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return (P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"]),
+            EV.match_calendar(v["matches_raw"]))
+
+
+_FLAG_SQL = """
+md AS (SELECT DISTINCT cast(kickoff AS DATE) AS d FROM matches),
+f AS (SELECT m.*, current_stop_dep_delay AS x,
+             coalesce(cast(current_stop_departure AS DATE) IN (SELECT d FROM md), false) AS is_event
+      FROM merged m)"""
+
+_CELLS_SQL = """
+offs2 AS (SELECT * FROM (VALUES ('Match Day', 0), ('Week Before', -7)) o(comparison, off)),
+cal2 AS (SELECT kickoff, cast(hour(kickoff) AS INTEGER) AS kickoff_hour, is_home, comparison,
+                cast(kickoff AS DATE) + off AS day FROM matches, offs2),
+cells AS (SELECT cal2.kickoff, cal2.kickoff_hour, cal2.is_home, cal2.comparison,
+                 cast(hour(m.current_stop_departure) AS INTEGER) AS hour,
+                 sum(m.current_stop_dep_delay) AS s, count(m.current_stop_dep_delay) AS c,
+                 count(*) AS n
+          FROM merged m JOIN cal2 ON cast(m.current_stop_departure AS DATE) = cal2.day
+          GROUP BY cal2.kickoff, cal2.kickoff_hour, cal2.is_home, cal2.comparison,
+                   hour(m.current_stop_departure))"""
+
+
+@register("event_flag", f"""
+WITH {_FLAG_SQL}
+SELECT rt_trip_id, gtfs_stop_sequence, {D('date')} AS date, is_event FROM f
+""")
+def q_event_flag(spark, sf_dir):
+    m, cal = _merged_cal(spark, sf_dir)
+    return EV.event_flag(m, cal).select("rt_trip_id", "gtfs_stop_sequence", "date", "is_event")
+
+
+_EVENT_STATS_SQL = f"""
+WITH {_FLAG_SQL},
+g AS (SELECT is_event, avg(x) AS avg_delay, cast(median(x) AS DOUBLE) AS median_delay,
+             max(x) AS max_delay, min(x) AS min_delay, stddev_samp(x) AS std_delay,
+             count(x) AS total_records, var_samp(x) AS v
+      FROM f GROUP BY is_event),
+e AS (SELECT * FROM g WHERE is_event), r AS (SELECT * FROM g WHERE NOT is_event),
+w AS (SELECT
+        CASE WHEN e.total_records > 1 AND r.total_records > 1 THEN
+          (e.avg_delay - r.avg_delay) / sqrt(e.v / e.total_records + r.v / r.total_records) END AS t_statistic,
+        CASE WHEN e.total_records > 1 AND r.total_records > 1 THEN
+          power(e.v / e.total_records + r.v / r.total_records, 2)
+          / (power(e.v / e.total_records, 2) / (e.total_records - 1)
+             + power(r.v / r.total_records, 2) / (r.total_records - 1)) END AS welch_dof,
+        CASE WHEN e.total_records > 0 AND r.total_records > 0 THEN
+          (e.avg_delay - r.avg_delay) / sqrt((e.v + r.v) / 2) END AS effect_size
+      FROM e, r)
+SELECT g.is_event, {R('g.avg_delay')} AS avg_delay, {R('g.median_delay')} AS median_delay,
+       g.max_delay, g.min_delay, {R('g.std_delay')} AS std_delay, g.total_records,
+       {R('w.t_statistic')} AS t_statistic, {R('w.welch_dof')} AS welch_dof,
+       {R('w.effect_size')} AS effect_size
+FROM g LEFT JOIN w ON true
+"""
+
+
+@register("event_stats", _EVENT_STATS_SQL)
+def q_event_stats(spark, sf_dir):
+    return EV.event_stats(*_merged_cal(spark, sf_dir))
+
+
+@register("welch_test")
+def q_welch_test(spark, sf_dir):
+    return EV.event_stats(*_merged_cal(spark, sf_dir), with_p_value=True).select(
+        "is_event", "t_statistic", "welch_dof", "p_value")
+
+
+@register("cohens_d", f"""
+WITH q AS ({_EVENT_STATS_SQL.strip()})
+SELECT is_event, effect_size FROM q
+""")
+def q_cohens_d(spark, sf_dir):
+    return EV.event_stats(*_merged_cal(spark, sf_dir)).select("is_event", "effect_size")
+
+
+@register("event_hourly_stats", f"""
+WITH {_FLAG_SQL}
+SELECT is_event, cast(hour(current_stop_departure) AS INTEGER) AS hour,
+       {R('avg(x)')} AS mean_delay, {R('median(x)')} AS median_delay,
+       {R('stddev_samp(x)')} AS std_delay, count(x) AS count,
+       CASE WHEN is_event THEN 'Match Days' ELSE 'Regular Days' END AS day_type
+FROM f GROUP BY is_event, hour(current_stop_departure)
+""")
+def q_event_hourly_stats(spark, sf_dir):
+    return EV.event_hourly_stats(*_merged_cal(spark, sf_dir))
+
+
+@register("overall_impact", f"""
+WITH {_FLAG_SQL},
+ce AS (SELECT is_event, cast(hour(current_stop_departure) AS INTEGER) AS hour,
+              sum(x) AS s, count(x) AS c FROM f GROUP BY is_event, hour(current_stop_departure)),
+worst AS (SELECT hour, s / c AS m,
+                 row_number() OVER (ORDER BY s / c DESC, hour) AS rn
+          FROM ce WHERE is_event AND c > 0),
+a AS (SELECT sum(s) FILTER (WHERE is_event) / nullif(sum(c) FILTER (WHERE is_event), 0) AS ma,
+             sum(s) FILTER (WHERE NOT is_event) / nullif(sum(c) FILTER (WHERE NOT is_event), 0) AS na
+      FROM ce)
+SELECT {R('a.ma')} AS match_avg_delay, {R('a.na')} AS normal_avg_delay,
+       (SELECT count(*) FROM matches) AS matches_analyzed,
+       (SELECT count(*) FILTER (WHERE coalesce(is_home, false)) FROM matches) AS home_matches,
+       (SELECT hour FROM worst WHERE rn = 1) AS worst_hour,
+       {R('(SELECT m FROM worst WHERE rn = 1)')} AS worst_hour_mean_delay,
+       {R('(a.ma / nullif(a.na, 0) - 1.0) * 100.0')} AS delay_increase_pct,
+       {R('a.ma - a.na')} AS delay_difference
+FROM a
+""")
+def q_overall_impact(spark, sf_dir):
+    return EV.overall_impact(*_merged_cal(spark, sf_dir))
+
+
+@register("comparison_days", f"""
+WITH offs AS (SELECT * FROM (VALUES ('Match Day', 0), ('Day Before', -1), ('Day After', 1),
+                                    ('Week Before', -7), ('Week After', 7)) o(comparison, off)),
+cal AS (SELECT kickoff, comparison, cast(kickoff AS DATE) + off AS day FROM matches, offs)
+SELECT {TS('cal.kickoff')} AS kickoff, cal.comparison, m.rt_trip_id, m.gtfs_stop_sequence,
+       {TS('m.current_stop_departure')} AS current_stop_departure, m.current_stop_dep_delay
+FROM merged m JOIN cal ON cast(m.current_stop_departure AS DATE) = cal.day
+""")
+def q_comparison_days(spark, sf_dir):
+    m, cal = _merged_cal(spark, sf_dir)
+    return EV.comparison_days(m, cal).select(
+        "kickoff", "comparison", "rt_trip_id", "gtfs_stop_sequence", "current_stop_departure",
+        "current_stop_dep_delay")
+
+
+_WINDOWS_SQL = f"""
+{_CELLS_SQL},
+wins AS (SELECT * FROM (VALUES (0, '3 hours before', -3, 0), (1, '2 hours before', -2, 0),
+                               (2, '1 hour before', -1, 0), (3, '1 hour after', 0, 1),
+                               (4, '2 hours after', 0, 2), (5, '3 hours after', 0, 3))
+         w(window_index, wname, s_off, e_off)),
+mw AS (SELECT m.kickoff, w.window_index, w.wname,
+              cast(hour(m.kickoff) AS INTEGER) + w.s_off AS start_hour,
+              cast(hour(m.kickoff) AS INTEGER) + w.e_off AS end_hour,
+              CASE WHEN w.wname LIKE '%before%' THEN 'Before' ELSE 'After' END AS is_before
+       FROM matches m, wins w),
+j AS (SELECT mw.*, cells.comparison, cells.hour, cells.s, cells.c, cells.n
+      FROM mw LEFT JOIN cells ON cells.kickoff = mw.kickoff AND cells.hour >= mw.start_hour
+                              AND cells.hour < mw.end_hour)"""
+
+
+@register("match_hour_windows", f"""
+WITH {_WINDOWS_SQL}
+SELECT {TS('kickoff')} AS kickoff, cast(window_index AS INTEGER) AS window_index, comparison,
+       coalesce(sum(n), 0) AS rows, sum(s) AS delay_sum, coalesce(sum(c), 0) AS delays
+FROM j GROUP BY kickoff, window_index, comparison
+""")
+def q_match_hour_windows(spark, sf_dir):
+    j = EV.match_hour_windows(*_merged_cal(spark, sf_dir))
+    return (j.groupBy("kickoff", "window_index", "comparison")
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum("s").alias("delay_sum"),
+                 F.coalesce(F.sum("c"), F.lit(0)).alias("delays")))
+
+
+@register("match_window_stats", f"""
+WITH {_WINDOWS_SQL},
+g AS (SELECT kickoff, window_index, wname, is_before, start_hour, end_hour,
+             sum(s) FILTER (WHERE comparison = 'Match Day')
+               / nullif(sum(c) FILTER (WHERE comparison = 'Match Day'), 0) AS match_avg,
+             sum(s) FILTER (WHERE comparison = 'Week Before')
+               / nullif(sum(c) FILTER (WHERE comparison = 'Week Before'), 0) AS regular_avg,
+             coalesce(sum(n) FILTER (WHERE comparison = 'Match Day'), 0) AS sample_size
+      FROM j GROUP BY kickoff, window_index, wname, is_before, start_hour, end_hour)
+SELECT {TS('kickoff')} AS kickoff, cast(window_index AS INTEGER) AS window_index, wname AS "window",
+       is_before, start_hour, end_hour, {R('match_avg')} AS match_avg, {R('regular_avg')} AS regular_avg,
+       sample_size,
+       {R('CASE WHEN regular_avg > 0 THEN (match_avg / regular_avg - 1.0) * 100.0 ELSE 0.0 END')} AS increase
+FROM g
+""")
+def q_match_window_stats(spark, sf_dir):
+    return EV.match_window_stats(*_merged_cal(spark, sf_dir))
+
+
+_IMPACT_SQL = f"""
+{_CELLS_SQL},
+pk AS (SELECT kickoff, hour, s / c AS m,
+              row_number() OVER (PARTITION BY kickoff ORDER BY s / c DESC, hour) AS rn
+       FROM cells WHERE comparison = 'Match Day' AND c > 0),
+g AS (SELECT kickoff, kickoff_hour, is_home,
+             sum(s) FILTER (WHERE comparison = 'Match Day')
+               / nullif(sum(c) FILTER (WHERE comparison = 'Match Day'), 0) AS match_avg,
+             sum(s) FILTER (WHERE comparison = 'Week Before')
+               / nullif(sum(c) FILTER (WHERE comparison = 'Week Before'), 0) AS regular_avg,
+             sum(s) FILTER (WHERE comparison = 'Match Day' AND hour BETWEEN kickoff_hour - 2 AND kickoff_hour + 2)
+               / nullif(sum(c) FILTER (WHERE comparison = 'Match Day'
+                                         AND hour BETWEEN kickoff_hour - 2 AND kickoff_hour + 2), 0)
+               AS match_time_avg
+      FROM cells GROUP BY kickoff, kickoff_hour, is_home),
+imp AS (SELECT g.*, pk.hour AS peak_hour, pk.m AS peak_hour_avg,
+               CASE WHEN regular_avg > 0 THEN (match_avg / regular_avg - 1.0) * 100.0 ELSE 0.0 END AS inc
+        FROM g LEFT JOIN pk ON pk.kickoff = g.kickoff AND pk.rn = 1)"""
+
+
+@register("match_impact", f"""
+WITH {_IMPACT_SQL}
+SELECT {TS('kickoff')} AS kickoff, kickoff_hour, is_home, {R('match_avg')} AS match_avg,
+       {R('regular_avg')} AS regular_avg, {R('match_time_avg')} AS match_time_avg, peak_hour,
+       {R('peak_hour_avg')} AS peak_hour_avg, {R('inc')} AS delay_increase,
+       {R('match_avg - regular_avg')} AS delay_difference,
+       CASE WHEN inc > 0 THEN 'Above normal' ELSE 'Normal traffic' END AS impact
+FROM imp
+""")
+def q_match_impact(spark, sf_dir):
+    return EV.match_impact(*_merged_cal(spark, sf_dir))
+
+
+@register("match_time_delay", f"""
+WITH {_IMPACT_SQL}
+SELECT {TS('kickoff')} AS kickoff, {R('match_time_avg')} AS match_time_avg FROM imp
+""")
+def q_match_time_delay(spark, sf_dir):
+    return EV.match_impact(*_merged_cal(spark, sf_dir)).select("kickoff", "match_time_avg")
+
+
+@register("peak_impact_hour", f"""
+WITH {_IMPACT_SQL}
+SELECT {TS('kickoff')} AS kickoff, peak_hour, {R('peak_hour_avg')} AS peak_hour_avg FROM imp
+""")
+def q_peak_impact_hour(spark, sf_dir):
+    return EV.match_impact(*_merged_cal(spark, sf_dir)).select("kickoff", "peak_hour", "peak_hour_avg")
+
+
+@register("match_hourly_compare", f"""
+WITH {_CELLS_SQL}
+SELECT {TS('kickoff')} AS kickoff, hour,
+       CASE WHEN comparison = 'Match Day' THEN 'Match Day' ELSE 'Regular Day' END AS day_type,
+       {R('s / nullif(c, 0)')} AS mean_delay
+FROM cells
+""")
+def q_match_hourly_compare(spark, sf_dir):
+    return EV.match_hourly_compare(*_merged_cal(spark, sf_dir))
+
+
+@register("recommendations", f"""
+WITH {_IMPACT_SQL},
+c AS (SELECT kickoff, kickoff_hour, is_home, coalesce(match_avg > regular_avg * 1.2, false) AS hit FROM imp)
+SELECT {TS('kickoff')} AS kickoff, rec_no, recommendation FROM (
+  SELECT kickoff, 0 AS rec_no,
+         printf('Consider additional public transport capacity %02d:00 - %02d:00',
+                kickoff_hour - 1, kickoff_hour + 1) AS recommendation FROM c WHERE hit
+  UNION ALL SELECT kickoff, 1, 'Review traffic light timing during peak impact hours' FROM c WHERE hit
+  UNION ALL SELECT kickoff, 2, 'Deploy additional traffic officers at key intersections' FROM c WHERE hit
+  UNION ALL SELECT kickoff, 3, 'Consider temporary parking restrictions in residential areas'
+            FROM c WHERE hit AND coalesce(is_home, false)
+  UNION ALL SELECT kickoff, 0, 'Current traffic management measures appear adequate for this type of match'
+            FROM c WHERE NOT hit)
+""")
+def q_recommendations(spark, sf_dir):
+    return EV.recommendations(*_merged_cal(spark, sf_dir))

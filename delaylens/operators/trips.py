@@ -60,6 +60,10 @@ def trip_travel_times(stop_times: DataFrame) -> DataFrame:
     })
     return lagged.withColumns({
         "real_travel_time_seconds": C.seconds_between("real_arrival", "real_previous_stop_departure"),
+        # the same in whole microseconds: sums of it are exact and do not
+        # depend on partitioning or aggregation order
+        "real_travel_time_us": F.timestamp_diff("MICROSECOND", F.col("real_previous_stop_departure"),
+                                                F.col("real_arrival")),
         "planned_travel_time_seconds": C.seconds_between("current_stop_arrival",
                                                          "previous_stop_departure"),
         # '||' semantics: NULL when the previous stop is unknown

@@ -24,6 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def round6(c):
+    """Round half up to 6 decimals with plain IEEE steps (multiply, add,
+    floor, divide) so every engine yields the same double; NaN and huge
+    values pass through."""
+    return F.when(F.abs(c) < 1e12, F.floor(c * 1e6 + 0.5) / 1e6).otherwise(c)
+
+
 def presentable(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -34,7 +41,7 @@ def presentable(df: DataFrame) -> DataFrame:
         elif isinstance(t, (TimestampType, TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(t, (DoubleType, FloatType, DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            c = round6(c.cast("double"))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -309,6 +316,7 @@ _PROCESSED_COLS = f"""
   {TS('previous_stop_arrival')} AS previous_stop_arrival, previous_stop_id,
   {TS('real_previous_stop_departure')} AS real_previous_stop_departure,
   {R('real_travel_time_seconds')} AS real_travel_time_seconds,
+  epoch_us(real_arrival) - epoch_us(real_previous_stop_departure) AS real_travel_time_us,
   {R('planned_travel_time_seconds')} AS planned_travel_time_seconds, section_id"""
 
 
@@ -675,3 +683,202 @@ SELECT {TS('kickoff')} AS kickoff, rec_no, recommendation FROM (
 """)
 def q_recommendations(spark, sf_dir):
     return EV.recommendations(*_merged_cal(spark, sf_dir))
+
+
+# -------------------------------------------------------------- prediction
+from delaylens.operators import predict as PR  # noqa: E402
+from delaylens.plans.oracle import pred_columns, predict_sql, t_expr  # noqa: E402
+
+WEEK_START = "2024-01-08 07:30:00"
+SHORT_START = "2024-01-15 16:20:00"
+
+_H_STOP = """h AS (SELECT base_stop_id, gtfs_direction_id, current_stop_departure AS ts,
+                  cast(current_stop_dep_delay AS DOUBLE) AS v
+           FROM merged WHERE current_stop_departure IS NOT NULL)"""
+
+
+def _slot_sql(keys):
+    kk = "".join(f"{x}, " for x in keys)
+    return f"""slots AS (SELECT DISTINCT {kk}date_trunc('hour', ts) + INTERVAL 30 MINUTE AS target_ts FROM h)"""
+
+
+def _grid_sql(keys, first, end, src="h"):
+    kk = ", ".join(keys)
+    keysel = f"(SELECT DISTINCT {kk} FROM {src}) k, " if keys else ""
+    return f"""grid AS (SELECT {(kk + ', ') if keys else ''}g.target_ts
+  FROM {keysel}generate_series(TIMESTAMP '{first}', TIMESTAMP '{end}', INTERVAL 15 MINUTE) g(target_ts)
+  WHERE g.target_ts < TIMESTAMP '{end}')"""
+
+
+def _history(spark, sf_dir):
+    m, cal = _merged_cal(spark, sf_dir)
+    return m, cal
+
+
+def _pred_query(keys, mode, targets_sql_name="slots", label="delay", extra_ctes="", hist=_H_STOP,
+                scale=""):
+    return f"""
+WITH {hist},
+{extra_ctes},
+{predict_sql('h', targets_sql_name, keys, mode, label, scale).strip()}
+SELECT {pred_columns(keys, label)} FROM pred"""
+
+
+@register("cell_stats", f"""
+WITH {_H_STOP}
+SELECT cast(hour(ts) AS INTEGER) AS hour, cast(isodow(ts) - 1 AS INTEGER) AS weekday,
+       count(*) AS sample_size, {R('avg(v)')} AS base_mean, {R('stddev_samp(v)')} AS std,
+       {R('median(v)')} AS median
+FROM h GROUP BY hour(ts), isodow(ts) HAVING count(*) >= 5
+""")
+def q_cell_stats(spark, sf_dir):
+    m, _ = _history(spark, sf_dir)
+    return PR.cell_stats(m)
+
+
+@register("confidence_interval", f"""
+WITH {_H_STOP},
+c AS (SELECT cast(hour(ts) AS INTEGER) AS hour, cast(isodow(ts) - 1 AS INTEGER) AS weekday, base_stop_id,
+             count(*) AS sample_size, avg(v) AS base_mean, stddev_samp(v) AS std,
+             cast(median(v) AS DOUBLE) AS median
+      FROM h GROUP BY hour(ts), isodow(ts), base_stop_id HAVING count(*) >= 5),
+ci AS (SELECT c.*, {t_expr('(c.sample_size - 1)')} AS t_value FROM c LEFT JOIN tq ON tq.dof = c.sample_size - 1)
+SELECT hour, weekday, base_stop_id, sample_size, {R('base_mean')} AS base_mean, {R('std')} AS std,
+       {R('median')} AS median, {R('t_value')} AS t_value,
+       {R('t_value * std / sqrt(sample_size)')} AS margin_error,
+       {R('base_mean - t_value * std / sqrt(sample_size)')} AS confidence_lower,
+       {R('base_mean + t_value * std / sqrt(sample_size)')} AS confidence_upper
+FROM ci
+""")
+def q_confidence_interval(spark, sf_dir):
+    m, _ = _history(spark, sf_dir)
+    return PR.confidence_interval(PR.cell_stats(m, ["base_stop_id"]))
+
+
+def _predict_global(spark, sf_dir, mode):
+    m, cal = _history(spark, sf_dir)
+    return PR.predict(m, PR.hour_slot_targets(m), [], calendar=cal, recent_mode=mode)
+
+
+@register("predict_stop_delay", _pred_query([], "bounded", extra_ctes=_slot_sql([])))
+def q_predict_stop_delay(spark, sf_dir):
+    return _predict_global(spark, sf_dir, "bounded")
+
+
+@register("predict_stop_delay_open", _pred_query([], "open", extra_ctes=_slot_sql([])))
+def q_predict_stop_delay_open(spark, sf_dir):
+    return _predict_global(spark, sf_dir, "open")
+
+
+_SD = ["base_stop_id", "gtfs_direction_id"]
+
+
+@register("predict_stop_direction", _pred_query(_SD, "bounded", extra_ctes=_slot_sql(_SD)))
+def q_predict_stop_direction(spark, sf_dir):
+    m, cal = _history(spark, sf_dir)
+    return PR.predict(m, PR.hour_slot_targets(m, _SD), _SD, calendar=cal, recent_mode="bounded")
+
+
+@register("error_correction", _pred_query([], "bounded", extra_ctes=_slot_sql([])).replace(
+    f"SELECT {pred_columns([])} FROM pred",
+    f"SELECT {TS('target_ts')} AS datetime, {R('base_mean')} AS base_mean_delay, recent_n, "
+    f"{R('error_correction')} AS error_correction, {R('adjusted')} AS mean_delay FROM pred"))
+def q_error_correction(spark, sf_dir):
+    return _predict_global(spark, sf_dir, "bounded").select(
+        "datetime", "base_mean_delay", "recent_n", "error_correction", "mean_delay")
+
+
+@register("reliability", _pred_query([], "bounded", extra_ctes=_slot_sql([])).replace(
+    f"SELECT {pred_columns([])} FROM pred",
+    f"SELECT {TS('target_ts')} AS datetime, sample_size, {R('margin_error')} AS margin_error, "
+    f"{R('adjusted')} AS mean_delay, is_peak_hour, is_match_day, {R('reliability')} AS reliability "
+    "FROM pred"))
+def q_reliability(spark, sf_dir):
+    return _predict_global(spark, sf_dir, "bounded").select(
+        "datetime", "sample_size", "margin_error", "mean_delay", "is_peak_hour", "is_match_day",
+        "reliability")
+
+
+_WEEK_FIRST, _WEEK_END = PR.grid_times(WEEK_START, 24 * 7, 15, floor_to_hour=True)
+_SHORT_FIRST, _SHORT_END = PR.grid_times(SHORT_START, 3, 15)
+
+
+@register("predict_weekly", f"""
+WITH {_H_STOP},
+{_grid_sql(['base_stop_id'], _WEEK_FIRST, _WEEK_END)},
+{predict_sql('h', 'grid', ['base_stop_id'], 'bounded').strip()}
+SELECT {pred_columns(['base_stop_id'])}, strftime(target_ts, '%A') AS day_name,
+       CASE WHEN hour(target_ts) BETWEEN 7 AND 9 THEN 'Morning Peak'
+            WHEN hour(target_ts) BETWEEN 16 AND 18 THEN 'Evening Peak' ELSE 'Off-Peak' END AS time_period
+FROM pred WHERE reliability >= 0.0
+""")
+def q_predict_weekly(spark, sf_dir):
+    m, cal = _history(spark, sf_dir)
+    return PR.predict_weekly(m, m, WEEK_START, ["base_stop_id"], calendar=cal)
+
+
+@register("predict_short_term", f"""
+WITH {_H_STOP},
+{_grid_sql(['base_stop_id'], _SHORT_FIRST, _SHORT_END)},
+{predict_sql('h', 'grid', ['base_stop_id'], 'bounded').strip()}
+SELECT base_stop_id, {TS('target_ts')} AS datetime, {R('adjusted')} AS mean_delay,
+       {R('adjusted - margin_error')} AS confidence_lower, {R('adjusted + margin_error')} AS confidence_upper
+FROM pred
+""")
+def q_predict_short_term(spark, sf_dir):
+    m, cal = _history(spark, sf_dir)
+    return PR.predict_short_term(m, m, SHORT_START, ["base_stop_id"], calendar=cal)
+
+
+# segments: history = segment rows of the merged stop times
+_H_SEG_EDGE = f"""{processed_sql('merged')},
+h AS (SELECT split_part(previous_stop_id, 'Z', 1) || '_' || split_part(gtfs_stop_id, 'Z', 1) AS segment_id_short,
+             gtfs_direction_id, current_stop_departure AS ts,
+             epoch_us(real_arrival) - epoch_us(real_previous_stop_departure) AS v
+      FROM processed WHERE previous_stop_id IS NOT NULL AND current_stop_departure IS NOT NULL)"""
+
+_H_SEG_TRIP = f"""{processed_sql('merged')},
+sg AS (SELECT rt_trip_id, lag(gtfs_stop_id) OVER ({_ORDER}) AS p, gtfs_stop_id AS c FROM merged),
+h AS (SELECT split_part(sg.p, 'Z', 1) || '_' || split_part(sg.c, 'Z', 1) AS segment_id_short,
+             processed.gtfs_direction_id, processed.current_stop_departure AS ts,
+             epoch_us(processed.real_arrival) - epoch_us(processed.real_previous_stop_departure) AS v
+      FROM processed JOIN sg ON processed.rt_trip_id = sg.rt_trip_id
+      WHERE sg.p IS NOT NULL AND processed.current_stop_departure IS NOT NULL)"""
+
+_SEG = ["segment_id_short"]
+
+
+def _seg_history(spark, sf_dir, mode):
+    m, cal = _history(spark, sf_dir)
+    return T.segment_rows(m, mode), cal
+
+
+@register("predict_segment", _pred_query(_SEG, "bounded", extra_ctes=_slot_sql(_SEG),
+                                         label="travel_time", hist=_H_SEG_EDGE, scale=" / 1e6"))
+def q_predict_segment(spark, sf_dir):
+    rows, cal = _seg_history(spark, sf_dir, "edge")
+    return PR.predict_segments(rows, PR.hour_slot_targets(rows, _SEG), _SEG, calendar=cal,
+                               recent_mode="bounded")
+
+
+@register("predict_segment_trip", _pred_query(_SEG, "open", extra_ctes=_slot_sql(_SEG),
+                                              label="travel_time", hist=_H_SEG_TRIP, scale=" / 1e6"))
+def q_predict_segment_trip(spark, sf_dir):
+    rows, cal = _seg_history(spark, sf_dir, "trip")
+    return PR.predict_segments(rows, PR.hour_slot_targets(rows, _SEG), _SEG, calendar=cal,
+                               recent_mode="open")
+
+
+@register("predict_segment_short_term", f"""
+WITH {_H_SEG_EDGE},
+{_grid_sql(_SEG, _SHORT_FIRST, _SHORT_END)},
+{predict_sql('h', 'grid', _SEG, 'bounded', 'travel_time', ' / 1e6').strip()}
+SELECT segment_id_short, {TS('target_ts')} AS datetime, {R('adjusted')} AS mean_travel_time,
+       {R('adjusted - margin_error')} AS confidence_lower, {R('adjusted + margin_error')} AS confidence_upper
+FROM pred
+""")
+def q_predict_segment_short_term(spark, sf_dir):
+    rows, cal = _seg_history(spark, sf_dir, "edge")
+    return PR.predict_short_term(rows, rows, SHORT_START, _SEG, calendar=cal,
+                                 value_col="real_travel_time_us", label="travel_time",
+                                 unit_divisor=1e6)

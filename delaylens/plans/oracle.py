@@ -96,7 +96,8 @@ def t_expr(dof_sql: str, table_alias: str = "tq") -> str:
 
 
 def R(x: str) -> str:
-    return f"round(cast({x} AS DOUBLE), 6)"
+    v = f"cast({x} AS DOUBLE)"
+    return f"(CASE WHEN abs({v}) < 1e12 THEN floor({v} * 1e6 + 0.5) / 1e6 ELSE {v} END)"
 
 
 def D(x: str) -> str:
@@ -105,3 +106,60 @@ def D(x: str) -> str:
 
 def TS(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def predict_sql(hist: str, targets: str, keys: list[str], mode: str, label: str = "delay",
+                scale: str = "") -> str:
+    """CTE chain ending in ``pred`` (one row per predictable target) for a
+    history CTE ``hist`` (keys, ts, v) and a target CTE ``targets`` (keys,
+    target_ts); the recent window is a plain range join here."""
+    k = ", ".join(keys)
+    kk = (k + ", ") if keys else ""
+    on_cells = " AND ".join([f"c.{x} = tg.{x}" for x in keys] + [
+        "c.hour = cast(hour(tg.target_ts) AS INTEGER)",
+        "c.weekday = cast(isodow(tg.target_ts) - 1 AS INTEGER)"])
+    on_rec = " AND ".join([f"h.{x} = b.{x}" for x in keys] + [
+        "h.ts >= b.target_ts - INTERVAL 60 MINUTE"] + (["h.ts < b.target_ts"] if mode == "bounded" else []))
+    bk = ", ".join(f"b.{x}" for x in keys)
+    bkk = (bk + ", ") if keys else ""
+    using = ", ".join(keys + ["target_ts"])
+    return f"""
+cells AS (SELECT cast(hour(ts) AS INTEGER) AS hour, cast(isodow(ts) - 1 AS INTEGER) AS weekday, {kk}
+                 count(*) AS sample_size, avg(v){scale} AS base_mean, stddev_samp(v){scale} AS std,
+                 cast(median(v) AS DOUBLE){scale} AS median
+          FROM {hist} GROUP BY hour(ts), isodow(ts) {(', ' + k) if keys else ''} HAVING count(*) >= 5),
+tg AS (SELECT DISTINCT {kk}target_ts FROM {targets}),
+pbase AS (SELECT tg.*, c.sample_size, c.base_mean, c.std, c.median,
+                {t_expr('(c.sample_size - 1)')} AS t_value
+         FROM tg JOIN cells c ON {on_cells}
+         LEFT JOIN tq ON tq.dof = c.sample_size - 1),
+rec AS (SELECT {bkk}b.target_ts, count(h.ts) AS recent_n, sum(h.v){scale} AS recent_sum,
+               count(h.v) AS recent_cnt
+        FROM pbase b LEFT JOIN {hist} h ON {on_rec}
+        GROUP BY {bkk}b.target_ts),
+p1 AS (SELECT b.*, r.recent_n, r.recent_sum, r.recent_cnt,
+              b.t_value * b.std / sqrt(b.sample_size) AS margin_error,
+              CASE WHEN r.recent_n >= 3 THEN r.recent_sum / nullif(r.recent_cnt, 0) - b.base_mean
+                   ELSE 0.0 END AS error_correction,
+              coalesce(cast(b.target_ts AS DATE) IN (SELECT cast(kickoff AS DATE) FROM matches), false)
+                AS is_match_day,
+              hour(b.target_ts) IN (7, 8, 9, 16, 17, 18) AS is_peak_hour,
+              isodow(b.target_ts) - 1 IN (5, 6) AS is_weekend
+       FROM pbase b JOIN rec r USING ({using})),
+p2 AS (SELECT *, base_mean + error_correction AS adjusted FROM p1),
+pred AS (SELECT *,
+           round_even((0.4 * least(1.0, sample_size / 30.0)
+                       + 0.4 * (1.0 - least(1.0, 2.0 * margin_error / (abs(adjusted) + 1.0)))
+                       + 0.2 * (CASE WHEN is_peak_hour THEN 0.8 ELSE 1.0 END)
+                             * (CASE WHEN is_match_day THEN 0.9 ELSE 1.0 END)) * 100.0, 1) AS reliability
+         FROM p2)"""
+
+
+def pred_columns(keys: list[str], label: str = "delay") -> str:
+    kk = "".join(f"{x}, " for x in keys)
+    return f"""{kk}{TS('target_ts')} AS datetime, {R('adjusted')} AS mean_{label},
+  {R('base_mean')} AS base_mean_{label}, {R('error_correction')} AS error_correction,
+  {R('median')} AS median_{label}, {R('std')} AS std_{label},
+  {R('adjusted - margin_error')} AS confidence_lower, {R('adjusted + margin_error')} AS confidence_upper,
+  {R('margin_error')} AS margin_error, sample_size, {R('reliability')} AS reliability,
+  is_match_day, is_weekend, is_peak_hour, recent_n"""

@@ -1,17 +1,31 @@
-"""Join helpers for dimension-style tables."""
+"""Join helpers for dimension-style tables.
+
+Broadcast decisions are size-checked, never unconditional:
+
+* ``dimension(df)`` leaves the choice to the planner: it broadcasts a side
+  whose estimated size is below ``spark.sql.autoBroadcastJoinThreshold``
+  (file sizes for scans, exact sizes for literal rows), otherwise plans a
+  sort-merge join; with adaptive execution the measured shuffle size of a
+  derived side can still turn the join into a broadcast at run time.
+* ``broadcast_if_small(df, n)`` is the explicit variant for callers that
+  want a hard row bound: it proves ``count <= n`` with a bounded job
+  (``limit(n + 1).count()``) before hinting. It costs one extra job that
+  recomputes ``df``, so it is meant for cheap, reusable dimensions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it is proven to hold at most this many
-# rows (a bounded ``limit(n+1).count()`` job). Larger sides are left to the
-# planner: sort-merge / shuffled hash join, with AQE converting to a
-# broadcast if the measured shuffle output turns out small.
 DEFAULT_BROADCAST_ROWS = 200_000
 
 
+def dimension(df: DataFrame) -> DataFrame:
+    """Mark a join side as a dimension; broadcast is decided by size."""
+    return df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
     n = df.limit(max_rows + 1).count()

@@ -1,7 +1,7 @@
 """Match-day impact.
 
-The match calendar is a small dimension (a few hundred rows a season); it is
-broadcast after a size check and every per-match analysis runs for all
+The match calendar is a small dimension (a few hundred rows a season); the
+planner broadcasts it by its estimated size and every per-match analysis runs for all
 matches at once: stop times are tagged with (match, comparison day) by an
 equi-join on date against the calendar exploded by the five day offsets,
 then pre-aggregated to (match, day, hour) cells before any per-window logic,
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from delaylens import constants as K
 from delaylens.functions import columns as C
-from delaylens.functions.joins import broadcast_if_small
+from delaylens.functions.joins import dimension
 from delaylens.functions.tdist import two_sided_p
 
 DELAY = "current_stop_dep_delay"
@@ -67,7 +67,7 @@ def event_flag(data: DataFrame, calendar: DataFrame) -> DataFrame:
     """``is_event`` = the departure date is a match date."""
     dates = (calendar.select(F.col("match_date").alias("_mdate")).distinct()
              .withColumn("_hit", F.lit(True)))
-    joined = data.join(broadcast_if_small(dates), F.to_date("current_stop_departure") == F.col("_mdate"),
+    joined = data.join(dimension(dates), F.to_date("current_stop_departure") == F.col("_mdate"),
                        "left")
     return joined.withColumn("is_event", F.coalesce(F.col("_hit"), F.lit(False))).drop("_mdate", "_hit")
 
@@ -164,7 +164,7 @@ def comparison_days(data: DataFrame, calendar: DataFrame, labels=None) -> DataFr
            .select("*", F.col("_o.comparison").alias("comparison"),
                    F.date_add("match_date", F.col("_o.offset")).alias("_day"))
            .drop("_o"))
-    return (data.join(broadcast_if_small(cal), F.to_date("current_stop_departure") == F.col("_day"))
+    return (data.join(dimension(cal), F.to_date("current_stop_departure") == F.col("_day"))
             .drop("_day"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from delaylens import constants as K
 from delaylens.functions import columns as C
-from delaylens.functions.joins import broadcast_if_small
+from delaylens.functions.joins import dimension
 from delaylens.functions.tdist import t975
 from delaylens.operators.windows import recent_window_sums
 
@@ -96,7 +96,7 @@ def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
     out = base.join(recent, [*keys, TARGET], "left")
     md = match_dates(calendar)
     if md is not None:
-        out = (out.join(broadcast_if_small(md), F.to_date(TARGET) == F.col("_mdate"), "left")
+        out = (out.join(dimension(md), F.to_date(TARGET) == F.col("_mdate"), "left")
                .withColumn("is_match_day", F.coalesce(F.col("_hit"), F.lit(False)))
                .drop("_mdate", "_hit"))
     else:

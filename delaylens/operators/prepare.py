@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from delaylens.functions import columns as C
-from delaylens.functions.joins import broadcast_if_small
+from delaylens.functions.joins import dimension
 
 PREPARED_COLUMNS = ("rt_trip_id", "gtfs_stop_id", "current_stop_departure",
                     "current_stop_dep_delay", "gtfs_stop_sequence",
@@ -67,11 +67,12 @@ def with_time_features(df: DataFrame) -> DataFrame:
 def stop_times_with_stops(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
     """Inner join with the stop dimension on the station id.
 
-    The dimension is broadcast only after its row count is proven small;
-    otherwise the planner (and AQE at run time) chooses the join.
+    The stop dimension is small (hundreds to thousands of rows); the planner
+    broadcasts it from its estimated size and falls back to a sort-merge join
+    beyond the broadcast threshold.
     """
     st = stop_times if "base_stop_id" in stop_times.columns else with_stop_keys(stop_times)
-    return st.join(broadcast_if_small(stops), "base_stop_id", "inner")
+    return st.join(dimension(stops), "base_stop_id", "inner")
 
 
 def filter_date_hours(df: DataFrame, date=None, hour_range=(0, 24),
@@ -99,7 +100,7 @@ def filtered_stop_times(stop_times: DataFrame, stops: DataFrame, date=None,
         ids = st.sparkSession.createDataFrame([(s,) for s in stop_ids], "gtfs_stop_id string")
         st = st.join(F.broadcast(ids), "gtfs_stop_id", "left_semi")
     dim = stops.select("base_stop_id", "stop_name", "avg_latitude", "avg_longitude")
-    return st.join(broadcast_if_small(dim), "base_stop_id", "inner")
+    return st.join(dimension(dim), "base_stop_id", "inner")
 
 
 def last_week_history(df: DataFrame, at, key_col: str = "base_stop_id", key=None,

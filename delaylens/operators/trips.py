@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions import columns as C
-from delaylens.functions.joins import broadcast_if_small
+from delaylens.functions.joins import dimension
 
 TRIP = "rt_trip_id"
 
@@ -145,4 +145,4 @@ def next_stop(merged: DataFrame, stops: DataFrame) -> DataFrame:
     best = best.withColumn("next_base_stop_id", C.base_stop_id("next_stop_id"))
     names = stops.select(F.col("base_stop_id").alias("next_base_stop_id"),
                          F.col("stop_name").alias("next_stop_name"))
-    return best.join(broadcast_if_small(names), "next_base_stop_id", "left")
+    return best.join(dimension(names), "next_base_stop_id", "left")

@@ -19,8 +19,10 @@ by W:
   time span, not by the row count), and only the single bucket holding
   t-W is joined row by row.
 
-Targets are small (a grid), so they are broadcast after a size check and the
-history is joined where it lies, without being shuffled.
+Targets are usually small (a grid); the planner / adaptive execution
+broadcasts them when their size allows, so the history is joined where it
+lies. Hot keys cannot overload one task: the only per-key state is the
+per-bucket aggregate table, whose size is bounded by the time span.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions.columns import epoch_us
-from delaylens.functions.joins import broadcast_if_small
+from delaylens.functions.joins import dimension
 
 
 def _bucket(us_col, width_us: int):
@@ -64,7 +66,7 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
 
     if mode == "bounded":
         tb = tgt.withColumn("_b", F.explode(F.array(F.col("_bx"), F.col("_bx") + 1)))
-        j = (hist.join(broadcast_if_small(tb.select(*ident, "_b", "_x", "_t")), keys + ["_b"])
+        j = (hist.join(dimension(tb.select(*ident, "_b", "_x", "_t")), keys + ["_b"])
              .where((F.col("_us") >= F.col("_x")) & (F.col("_us") < F.col("_t"))))
         part = j.groupBy(*ident).agg(*sums(j))
         out = tgt.select(*ident).join(part, ident, "left")
@@ -75,7 +77,7 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
 
     # open: [x, inf) = rows of bucket(x) with ts >= x  +  all later buckets
     tb = tgt.select(*ident, F.col("_bx").alias("_b"), "_x")
-    j = (hist.join(broadcast_if_small(tb), keys + ["_b"]).where(F.col("_us") >= F.col("_x")))
+    j = (hist.join(dimension(tb), keys + ["_b"]).where(F.col("_us") >= F.col("_x")))
     part = j.groupBy(*ident).agg(*sums(j, "p_"))
 
     per_bucket = hist.groupBy(*keys, "_b").agg(*sums(hist), F.lit(0).alias("_marker"))

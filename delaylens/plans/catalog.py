@@ -882,3 +882,222 @@ def q_predict_segment_short_term(spark, sf_dir):
     return PR.predict_short_term(rows, rows, SHORT_START, _SEG, calendar=cal,
                                  value_col="real_travel_time_us", label="travel_time",
                                  unit_divisor=1e6)
+
+
+# ------------------------------------------------------- sources and sinks
+from delaylens.session import scratch_path  # noqa: E402
+from delaylens.sources import files as IO  # noqa: E402
+from delaylens.sources import parsing as PX  # noqa: E402
+
+_ST_COLS = f"""rt_trip_id, gtfs_stop_id, {TS('current_stop_departure')} AS current_stop_departure,
+  current_stop_dep_delay, {TS('current_stop_arrival')} AS current_stop_arrival, current_stop_arr_delay,
+  gtfs_stop_sequence, gtfs_route_short_name, gtfs_direction_id,
+  {TS('created_at')} AS created_at, {TS('updated_at')} AS updated_at"""
+_ST_NAMES = ["rt_trip_id", "gtfs_stop_id", "current_stop_departure", "current_stop_dep_delay",
+             "current_stop_arrival", "current_stop_arr_delay", "gtfs_stop_sequence",
+             "gtfs_route_short_name", "gtfs_direction_id", "created_at", "updated_at"]
+
+_PLATFORMS_SQL = """
+plat AS (SELECT DISTINCT k.gtfs_stop_id, s.stop_name, s.avg_latitude, s.avg_longitude
+         FROM keyed k JOIN stops s ON k.base_stop_id = s.base_stop_id),
+norm AS (SELECT CASE WHEN regexp_matches(gtfs_stop_id, '[SZ]')
+                     THEN regexp_extract(gtfs_stop_id, '^([^SZ]*)', 1) END AS base_stop_id,
+                stop_name, avg(avg_latitude) AS avg_latitude, avg(avg_longitude) AS avg_longitude,
+                '[''' || string_agg(gtfs_stop_id, ''', ''' ORDER BY gtfs_stop_id) || ''']' AS all_stop_ids
+         FROM (SELECT DISTINCT * FROM plat) GROUP BY 1, 2)"""
+
+
+def _platforms(spark, sf_dir):
+    v = views(spark, sf_dir)
+    keyed = P.with_stop_keys(v["st"]).select("gtfs_stop_id", "base_stop_id")
+    return (keyed.join(v["stops"], "base_stop_id")
+            .select("gtfs_stop_id", "stop_name", "avg_latitude", "avg_longitude").distinct())
+
+
+def _stations(spark, sf_dir):
+    return IO.normalize_stops(_platforms(spark, sf_dir))
+
+
+@register("normalize_stops", f"""
+WITH {_PLATFORMS_SQL}
+SELECT base_stop_id, stop_name, {R('avg_latitude')} AS avg_latitude,
+       {R('avg_longitude')} AS avg_longitude, all_stop_ids FROM norm
+""")
+def q_normalize_stops(spark, sf_dir):
+    return _stations(spark, sf_dir).drop("stop_ids")
+
+
+@register("stop_id_list", """
+SELECT DISTINCT k.gtfs_stop_id FROM keyed k JOIN stops s ON k.base_stop_id = s.base_stop_id
+""")
+def q_stop_id_list(spark, sf_dir):
+    return IO.stop_id_list(_stations(spark, sf_dir))
+
+
+@register("scan_history", f"""
+SELECT {_ST_COLS}, cast(year(current_stop_departure) AS INTEGER) AS year,
+       cast(month(current_stop_departure) AS INTEGER) AS month,
+       cast(day(current_stop_departure) AS INTEGER) AS day
+FROM st WHERE gtfs_stop_id IN (SELECT DISTINCT k.gtfs_stop_id FROM keyed k JOIN stops s
+                               ON k.base_stop_id = s.base_stop_id)
+""")
+def q_scan_history(spark, sf_dir):
+    path = scratch_path(spark, "history")
+    IO.write_history(views(spark, sf_dir)["st"], path, mode="overwrite")
+    return IO.scan_history(spark, path, IO.stop_id_list(_stations(spark, sf_dir)))
+
+
+_SPLIT_DAY = "2024-01-16"
+
+
+@register("incremental_load", f"""
+WITH old AS (SELECT * FROM st WHERE current_stop_departure < TIMESTAMP '{_SPLIT_DAY}'),
+hwm AS (SELECT date_trunc('second', max(current_stop_departure) + INTERVAL 1 SECOND) AS t FROM old)
+SELECT {_ST_COLS} FROM st WHERE current_stop_departure > (SELECT t FROM hwm)
+""")
+def q_incremental_load(spark, sf_dir):
+    st = views(spark, sf_dir)["st"]
+    path = scratch_path(spark, "incremental")
+    split = F.lit(_SPLIT_DAY).cast("timestamp_ntz")
+    IO.persist_stop_times(st.where(F.col("current_stop_departure") < split), path)
+    new = IO.incremental_load(spark, path, st)
+    return new.select(*_ST_NAMES)
+
+
+@register("persist_stop_times", f"""
+SELECT {_ST_COLS}, {D('cast(current_stop_departure AS DATE)')} AS date FROM st
+""")
+def q_persist_stop_times(spark, sf_dir):
+    st = views(spark, sf_dir)["st"]
+    path = scratch_path(spark, "persist")
+    split = F.lit(_SPLIT_DAY).cast("timestamp_ntz")
+    IO.persist_stop_times(st.where(F.col("current_stop_departure") < split), path)
+    IO.persist_stop_times(st.where(F.col("current_stop_departure") >= split), path)  # append
+    return spark.read.parquet(path).select(*_ST_NAMES, "date")
+
+
+@register("export_csv", f"""
+SELECT {_ST_COLS} FROM st
+""")
+def q_export_csv(spark, sf_dir):
+    st = views(spark, sf_dir)["st"]
+    path = scratch_path(spark, "csv")
+    IO.export_csv(st, path)
+    return (spark.read.schema(st.schema).option("header", True)
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+
+
+@register("merge_dedup", f"""
+SELECT DISTINCT {_ST_COLS} FROM st
+""")
+def q_merge_dedup(spark, sf_dir):
+    st = views(spark, sf_dir)["st"]
+    old = st.where(F.col("current_stop_departure") < F.lit("2024-01-18").cast("timestamp_ntz"))
+    new = st.where(F.col("current_stop_departure") >= F.lit("2024-01-12").cast("timestamp_ntz"))
+    return IO.merge_dedup(old, new)
+
+
+@register("read_stops", f"""
+WITH {_PLATFORMS_SQL}
+SELECT stop_name, {R('avg_longitude')} AS avg_longitude, {R('avg_latitude')} AS avg_latitude,
+       base_stop_id, all_stop_ids FROM norm
+""")
+def q_read_stops(spark, sf_dir):
+    path = scratch_path(spark, "stops_csv")
+    IO.write_stops_csv(_stations(spark, sf_dir), path)
+    return IO.read_stops(spark, path)
+
+
+@register("upsert_stops", f"""
+WITH {_PLATFORMS_SQL},
+upd AS (SELECT base_stop_id, stop_name, avg_latitude, avg_longitude, all_stop_ids FROM norm),
+ex AS (SELECT base_stop_id, stop_name, avg_latitude, avg_longitude, NULL AS all_stop_ids FROM stops)
+SELECT base_stop_id, stop_name, {R('avg_latitude')} AS avg_latitude, {R('avg_longitude')} AS avg_longitude,
+       all_stop_ids
+FROM (SELECT * FROM ex WHERE base_stop_id NOT IN (SELECT base_stop_id FROM upd)
+      UNION ALL SELECT * FROM upd)
+""")
+def q_upsert_stops(spark, sf_dir):
+    existing = views(spark, sf_dir)["stops"]
+    updates = _stations(spark, sf_dir).drop("stop_ids")
+    return IO.upsert_stops(existing, updates)
+
+
+@register("load_stop_times", f"""
+SELECT rt_trip_id, gtfs_stop_id, {TS('current_stop_departure')} AS current_stop_departure,
+       current_stop_dep_delay, gtfs_stop_sequence, gtfs_route_short_name, gtfs_direction_id,
+       base_stop_id, {D('date')} AS date, hour
+FROM prepared
+""")
+def q_load_stop_times(spark, sf_dir):
+    path = scratch_path(spark, "prepared")
+    IO.load_stop_times(views(spark, sf_dir)["st"], path)
+    return spark.read.parquet(path).select(
+        "rt_trip_id", "gtfs_stop_id", "current_stop_departure", "current_stop_dep_delay",
+        "gtfs_stop_sequence", "gtfs_route_short_name", "gtfs_direction_id", "base_stop_id",
+        "date", "hour")
+
+
+@register("hourly_stats_table", f"""
+SELECT {D('date')} AS date, hour, gtfs_stop_id,
+       {R('avg(current_stop_dep_delay)')} AS avg_delay, count(*) AS count,
+       {R('stddev_samp(current_stop_dep_delay)')} AS std_delay
+FROM prepared GROUP BY date, hour, gtfs_stop_id
+""")
+def q_hourly_stats_table(spark, sf_dir):
+    path = scratch_path(spark, "hourly")
+    IO.hourly_stats_table(prepared(spark, sf_dir), path)
+    return spark.read.parquet(path).select("date", "hour", "gtfs_stop_id", "avg_delay", "count",
+                                           "std_delay")
+
+
+@register("stops_lookup", f"""
+SELECT base_stop_id, stop_name, {R('avg_latitude')} AS avg_latitude, {R('avg_longitude')} AS avg_longitude
+FROM stops WHERE base_stop_id = 'U105'
+""")
+def q_stops_lookup(spark, sf_dir):
+    return IO.stops_lookup(views(spark, sf_dir)["stops"], "U105")
+
+
+@register("ad_hoc_parquet", f"""
+SELECT rt_trip_id, gtfs_stop_sequence, gtfs_stop_id, stop_name,
+       {TS('current_stop_departure')} AS current_stop_departure, current_stop_dep_delay
+FROM merged WHERE stop_name = 'NATION_5'
+""")
+def q_ad_hoc_parquet(spark, sf_dir):
+    path = scratch_path(spark, "adhoc")
+    (merged(spark, sf_dir).select("rt_trip_id", "gtfs_stop_sequence", "gtfs_stop_id", "stop_name",
+                                  "current_stop_departure", "current_stop_dep_delay")
+     .repartition(4).write.mode("overwrite").parquet(path))
+    return IO.ad_hoc_parquet(spark, f"{path}/*.parquet", "NATION_5")
+
+
+@register("stops_from_geojson", f"""
+SELECT DISTINCT k.gtfs_stop_id, s.stop_name,
+       {R('s.avg_longitude')} AS lon, {R('s.avg_latitude')} AS lat
+FROM keyed k JOIN stops s ON k.base_stop_id = s.base_stop_id
+""")
+def q_stops_from_geojson(spark, sf_dir):
+    # one GeoJSON document per station, built from the observed platforms;
+    # metro platforms carry their id under the fallback key
+    plat = _platforms(spark, sf_dir).withColumn("base_stop_id", P.C.base_stop_id("gtfs_stop_id"))
+    metro = F.col("gtfs_stop_id").contains("S")
+    feature = F.struct(
+        F.struct(F.when(~metro, F.col("gtfs_stop_id")).alias("gtfs_stop_id"),
+                 F.when(metro, F.col("gtfs_stop_id")).alias("stop_id"),
+                 F.col("stop_name").alias("stop_name")).alias("properties"),
+        F.struct(F.array("avg_longitude", "avg_latitude").alias("coordinates")).alias("geometry"))
+    docs = (plat.groupBy("base_stop_id")
+            .agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")))
+    out = PX.stops_from_geojson(docs)
+    return out.select("gtfs_stop_id", "stop_name", F.col("coordinates")[0].alias("lon"),
+                      F.col("coordinates")[1].alias("lat"))
+
+
+@register("html_link_blocks", """
+SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href,
+       unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS label
+FROM pages
+""")
+def q_html_link_blocks(spark, sf_dir):
+    return PX.link_blocks(fixtures.read_table(spark, sf_dir, "pages"))

@@ -1101,3 +1101,45 @@ FROM pages
 """)
 def q_html_link_blocks(spark, sf_dir):
     return PX.link_blocks(fixtures.read_table(spark, sf_dir, "pages"))
+
+
+# --------------------------------------------------------------- streaming
+from delaylens.streaming import streams as STR  # noqa: E402
+
+ST2_DELAY_HOURS = 2
+
+
+def _stream_st1(spark, sf_dir):
+    st = views(spark, sf_dir)["st"]
+    src = scratch_path(spark, "st-files")
+    STR.split_into_day_files(st, src)
+    sink = scratch_path(spark, "st1-sink")
+    STR.incremental_stream(spark, f"{src}/*", st.schema, sink,
+                           max_files_per_trigger=None).awaitTermination()
+    return sink
+
+
+@register("incremental_stream", f"""
+SELECT {_ST_COLS} FROM st
+""")
+def q_incremental_stream(spark, sf_dir):
+    sink = _stream_st1(spark, sf_dir)
+    return spark.read.parquet(sink).select(*_ST_NAMES)
+
+
+@register("hourly_stats_stream", f"""
+SELECT {TS("date_trunc('hour', current_stop_departure)")} AS window_start,
+       {TS("date_trunc('hour', current_stop_departure) + INTERVAL 1 HOUR")} AS window_end,
+       gtfs_stop_id, {R('avg(current_stop_dep_delay)')} AS avg_delay, count(*) AS count,
+       {R('stddev_samp(current_stop_dep_delay)')} AS std_delay
+FROM st
+GROUP BY date_trunc('hour', current_stop_departure), gtfs_stop_id
+HAVING date_trunc('hour', current_stop_departure) + INTERVAL 1 HOUR
+       <= (SELECT max(current_stop_departure) FROM st) - INTERVAL {ST2_DELAY_HOURS} HOUR
+""")
+def q_hourly_stats_stream(spark, sf_dir):
+    sink = _stream_st1(spark, sf_dir)
+    sink2 = scratch_path(spark, "st2-sink")
+    STR.hourly_stats_stream(spark, sink, None, sink2, delay=f"{ST2_DELAY_HOURS} hours",
+                            max_files_per_trigger=None).awaitTermination()
+    return spark.read.parquet(sink2)

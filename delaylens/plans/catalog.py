@@ -1143,3 +1143,13 @@ def q_hourly_stats_stream(spark, sf_dir):
     STR.hourly_stats_stream(spark, sink, None, sink2, delay=f"{ST2_DELAY_HOURS} hours",
                             max_files_per_trigger=None).awaitTermination()
     return spark.read.parquet(sink2)
+
+
+# -------------------------------------------------------------- clustering
+from delaylens.operators import cluster as CL  # noqa: E402
+
+
+@register("delay_clusters")
+def q_delay_clusters(spark, sf_dir):
+    summary, _ = CL.delay_clusters(merged(spark, sf_dir))
+    return summary

@@ -80,13 +80,13 @@ def matches_from_html(pages: DataFrame, team: str = K.HOME_TEAM, column: str = "
     four = F.size(gray) >= 4
     out = b.select(
         *[c for c in b.columns if c != "block"],
-        F.coalesce(F.element_at(teams, 1), F.lit("")).alias("Home Team"),
-        F.coalesce(F.element_at(teams, 2), F.lit("")).alias("Away Team"),
-        F.coalesce(F.element_at(league, 1), F.lit("")).alias("Competition"),
-        F.coalesce(F.element_at(rnd, 1), F.lit("")).alias("Round"),
-        F.when(four, F.element_at(gray, 3)).otherwise(F.lit("")).alias("Date"),
-        F.when(four, F.element_at(gray, 4)).otherwise(F.lit("")).alias("Time"),
-        F.coalesce(F.element_at(score, 1), F.lit(NO_SCORE)).alias("Score"),
+        F.coalesce(F.try_element_at(teams, F.lit(1)), F.lit("")).alias("Home Team"),
+        F.coalesce(F.try_element_at(teams, F.lit(2)), F.lit("")).alias("Away Team"),
+        F.coalesce(F.try_element_at(league, F.lit(1)), F.lit("")).alias("Competition"),
+        F.coalesce(F.try_element_at(rnd, F.lit(1)), F.lit("")).alias("Round"),
+        F.when(four, F.try_element_at(gray, F.lit(3))).otherwise(F.lit("")).alias("Date"),
+        F.when(four, F.try_element_at(gray, F.lit(4))).otherwise(F.lit("")).alias("Time"),
+        F.coalesce(F.try_element_at(score, F.lit(1)), F.lit(NO_SCORE)).alias("Score"),
     )
     out = side_from_teams(out, team=team)
     return out.withColumn("datetime", F.concat_ws(" ", "Date", "Time"))

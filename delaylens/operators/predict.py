@@ -72,8 +72,8 @@ def match_dates(calendar: DataFrame | None) -> DataFrame | None:
 def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
             value_col: str = "current_stop_dep_delay", ts_col: str = "current_stop_departure",
             calendar: DataFrame | None = None, recent_mode: str = "bounded",
-            label: str = "delay", approx_median: bool = False, unit_divisor: float | None = None
-            ) -> DataFrame:
+            label: str = "delay", approx_median: bool = False, unit_divisor: float | None = None,
+            broadcast_targets: int | None = None) -> DataFrame:
     """M5 (and M8 with travel times): one row per predictable target.
 
     ``targets`` has ``target_ts`` plus the ``keys`` columns. ``recent_mode``
@@ -88,12 +88,13 @@ def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
         cells = cells.withColumns({c: F.col(c) / F.lit(float(unit_divisor))
                                    for c in ("base_mean", "std", "median")})
     cells = confidence_interval(cells)
-    tg = (targets.select(*keys, TARGET).distinct()
-          .withColumns({"hour": F.hour(TARGET), "weekday": C.weekday(TARGET)}))
+    tg = targets.select(*keys, TARGET).distinct()
+    tg = tg.withColumns({"hour": F.hour(TARGET), "weekday": C.weekday(TARGET)})
     base = tg.join(cells, ["hour", "weekday", *keys], "inner")
-    recent = recent_window_sums(hist, base.select(*keys, TARGET), keys, value_col, ts_col=ts_col,
-                                target_col=TARGET, minutes=K.RECENT_WINDOW_MINUTES, mode=recent_mode)
-    out = base.join(recent, [*keys, TARGET], "left")
+    recent = recent_window_sums(hist, tg.select(*keys, TARGET), keys, value_col, ts_col=ts_col,
+                                target_col=TARGET, minutes=K.RECENT_WINDOW_MINUTES, mode=recent_mode,
+                                broadcast_rows=broadcast_targets)
+    out = base.join(recent, [*keys, TARGET], "inner")
     md = match_dates(calendar)
     if md is not None:
         out = (out.join(dimension(md), F.to_date(TARGET) == F.col("_mdate"), "left")

@@ -7,7 +7,7 @@ below the aggregation. Aggregations are partial (map-side) + final.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens import constants as K
@@ -121,6 +121,45 @@ def high_water_mark(df: DataFrame) -> DataFrame:
     return df.agg(F.max("current_stop_departure").alias("max_departure"))
 
 
-def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS) -> DataFrame:
-    """IO10/O1: the newest ``n`` rows by departure (top-k, not a full sort)."""
-    return df.orderBy(F.col("current_stop_departure").desc_nulls_last()).limit(n)
+SAMPLE_LEVELS_US = (3_600_000_000, 60_000_000, 1_000_000)   # hour, minute, second
+
+
+def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_stop_departure",
+                  levels_us=SAMPLE_LEVELS_US) -> DataFrame:
+    """IO10/O1: the newest ``n`` rows by departure (NULL departures last).
+
+    ``orderBy().limit(n)`` would make every partition send its own top ``n``
+    rows to one final task. Instead the exact cutoff is located with
+    histograms of ever finer time buckets, each computed only over the
+    previous level's boundary bucket (a pushed-down range filter): every row
+    newer than the boundary second passes by a plain filter and only the
+    rows of that one second go through a top-k. Each level hands one small
+    row (boundary bucket and the count above it) to the driver.
+    """
+    ts = F.col(ts_col)
+    us = F.unix_micros(ts.cast("timestamp"))
+    lo = hi = None                       # current candidate range [lo, hi) in micros
+    k = n
+    for width in levels_us:
+        cand = df.where(ts.isNotNull())
+        if lo is not None:
+            cand = cand.where((us >= lo) & (us < hi))
+        hist = cand.groupBy(F.floor(us / F.lit(float(width))).cast("bigint").alias("b")).count()
+        newer = F.sum("count").over(Window.orderBy(F.col("b").desc())
+                                    .rowsBetween(Window.unboundedPreceding, -1))
+        edge = (hist.withColumn("newer", F.coalesce(newer, F.lit(0)))
+                .where((F.col("newer") < k) & (F.col("newer") + F.col("count") >= k))
+                .select("b", "newer").first())
+        if edge is None:                 # fewer than k non-null rows in range: take all of them
+            break
+        k -= edge["newer"]
+        lo, hi = edge["b"] * width, (edge["b"] + 1) * width
+    else:
+        above = df.where(us >= hi)
+        boundary = df.where((us >= lo) & (us < hi)).orderBy(ts.desc()).limit(k)
+        return above.unionByName(boundary)
+    # only reached on the first level (each boundary bucket holds >= k rows):
+    # fewer than n non-null rows - all of them, then NULL departures
+    taken = df.where(ts.isNotNull())
+    nulls = df.where(ts.isNull()).limit(max(k - taken.count(), 0))
+    return taken.unionByName(nulls)

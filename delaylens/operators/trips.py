@@ -126,7 +126,13 @@ def segment_rows(stop_times: DataFrame, mode: str = "edge") -> DataFrame:
                                                  C.short_stop_id("gtfs_stop_id")),
                 }))
     if mode == "trip":
-        segs = segments(stop_times).select(TRIP, "segment_id_full", "segment_id_short")
+        # the segments come from the same windowed frame (its previous stop),
+        # so both join sides share the partitioning by trip: no extra exchange
+        segs = (processed.where(F.col("previous_stop_id").isNotNull())
+                .select(TRIP,
+                        F.concat("previous_stop_id", F.lit("_"), "gtfs_stop_id").alias("segment_id_full"),
+                        F.concat(C.short_stop_id("previous_stop_id"), F.lit("_"),
+                                 C.short_stop_id("gtfs_stop_id")).alias("segment_id_short")))
         return processed.join(segs, TRIP, "inner")
     raise ValueError(f"unknown mode {mode!r}")
 

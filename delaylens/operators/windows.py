@@ -19,9 +19,9 @@ by W:
   time span, not by the row count), and only the single bucket holding
   t-W is joined row by row.
 
-Targets are usually small (a grid); the planner / adaptive execution
-broadcasts them when their size allows, so the history is joined where it
-lies. Hot keys cannot overload one task: the only per-key state is the
+Targets are usually small (a grid); the bucketed target table is broadcast
+after a bounded count proves it small, so the history is joined where it
+lies and never shuffled; beyond the bound the planner shuffles both sides. Hot keys cannot overload one task: the only per-key state is the
 per-bucket aggregate table, whose size is bounded by the time span.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions.columns import epoch_us
-from delaylens.functions.joins import dimension
+from delaylens.functions.joins import broadcast_if_small, dimension
 
 
 def _bucket(us_col, width_us: int):
@@ -43,9 +43,11 @@ def _bucket(us_col, width_us: int):
 def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[str],
                        value_col: str, ts_col: str = "current_stop_departure",
                        target_col: str = "target_ts", minutes: int = 60,
-                       mode: str = "bounded") -> DataFrame:
-    """Return ``targets`` (distinct keys + target_col) with ``recent_n`` (rows),
-    ``recent_sum`` and ``recent_cnt`` (non-null values) of the window."""
+                       mode: str = "bounded", broadcast_rows: int | None = 1_000_000) -> DataFrame:
+    """Return ``targets`` (keys + target_col, expected distinct) with
+    ``recent_n`` (rows), ``recent_sum`` and ``recent_cnt`` (non-null values)
+    of the window. A broadcast hint on ``targets`` carries over to the joins
+    with the history."""
     if mode not in ("bounded", "open"):
         raise ValueError(f"unknown mode {mode!r}")
     keys = list(keys)
@@ -54,19 +56,24 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
                            F.col(value_col).cast("double").alias("_v"))
             .where(F.col("_us").isNotNull())
             .withColumn("_b", _bucket(F.col("_us"), width)))
-    tgt = (targets.select(*keys, target_col).distinct()
+    tgt = (targets.select(*keys, target_col)
            .withColumn("_t", epoch_us(target_col))
            .withColumn("_x", F.col("_t") - F.lit(width))
            .withColumn("_bx", _bucket(F.col("_x"), width)))
     ident = keys + [target_col]
 
+    def small(df):
+        # the one join with raw history rows: broadcast the target side when
+        # a bounded count proves it small, so history rows stay where they are
+        return dimension(df) if broadcast_rows is None else broadcast_if_small(df, broadcast_rows)
+
     def sums(df, prefix=""):
         return [F.count(F.lit(1)).alias(f"{prefix}n"), F.sum("_v").alias(f"{prefix}s"),
                 F.count("_v").alias(f"{prefix}c")]
 
     if mode == "bounded":
         tb = tgt.withColumn("_b", F.explode(F.array(F.col("_bx"), F.col("_bx") + 1)))
-        j = (hist.join(dimension(tb.select(*ident, "_b", "_x", "_t")), keys + ["_b"])
+        j = (hist.join(small(tb.select(*ident, "_b", "_x", "_t")), keys + ["_b"])
              .where((F.col("_us") >= F.col("_x")) & (F.col("_us") < F.col("_t"))))
         part = j.groupBy(*ident).agg(*sums(j))
         out = tgt.select(*ident).join(part, ident, "left")
@@ -77,7 +84,7 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
 
     # open: [x, inf) = rows of bucket(x) with ts >= x  +  all later buckets
     tb = tgt.select(*ident, F.col("_bx").alias("_b"), "_x")
-    j = (hist.join(dimension(tb), keys + ["_b"]).where(F.col("_us") >= F.col("_x")))
+    j = (hist.join(small(tb), keys + ["_b"]).where(F.col("_us") >= F.col("_x")))
     part = j.groupBy(*ident).agg(*sums(j, "p_"))
 
     per_bucket = hist.groupBy(*keys, "_b").agg(*sums(hist), F.lit(0).alias("_marker"))

@@ -40,3 +40,12 @@ def test_permuting_rows_changes_nothing(spark):
     b = S.hourly_stats(P.prepare_stop_times(st.orderBy(F.rand(3)).repartition(7)))
     cols = ["date", "hour", "gtfs_stop_id", "count", F.round("avg_delay", 9).alias("a")]
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
+
+
+def test_newest_sample_is_exact_top_n(spark):
+    st = _views(spark)["st"].select("rt_trip_id", "gtfs_stop_sequence", "current_stop_departure")
+    times = sorted((r[0] for r in st.select("current_stop_departure").collect()), reverse=True)
+    for n in (1, 13, len(times) // 2, len(times) - 1, len(times) + 10):
+        got = sorted((r[0] for r in S.newest_sample(st, n).select("current_stop_departure").collect()),
+                     reverse=True)
+        assert got == times[:n]

@@ -90,15 +90,14 @@ def filter_date_hours(df: DataFrame, date=None, hour_range=(0, 24),
 def filtered_stop_times(stop_times: DataFrame, stops: DataFrame, date=None,
                         hour_range=(0, 24), stop_ids: Iterable[str] | None = None) -> DataFrame:
     """Prepared stop times joined with stops, date + hour range filter,
-    optional platform id list (semi-join against a small id table)."""
+    optional platform id list."""
     st = stop_times if "base_stop_id" in stop_times.columns else prepare_stop_times(stop_times)
     cond = F.col("hour").between(*hour_range)
     if date is not None:
         cond = cond & (F.col("date") == F.lit(date).cast("date"))
     st = st.where(cond)
-    if stop_ids is not None:
-        ids = st.sparkSession.createDataFrame([(s,) for s in stop_ids], "gtfs_stop_id string")
-        st = st.join(F.broadcast(ids), "gtfs_stop_id", "left_semi")
+    if stop_ids is not None:  # a literal list: an IN filter the scan can use
+        st = st.where(F.col("gtfs_stop_id").isin(list(stop_ids)))
     dim = stops.select("base_stop_id", "stop_name", "avg_latitude", "avg_longitude")
     return st.join(dimension(dim), "base_stop_id", "inner")
 

@@ -1153,3 +1153,15 @@ from delaylens.operators import cluster as CL  # noqa: E402
 def q_delay_clusters(spark, sf_dir):
     summary, _ = CL.delay_clusters(merged(spark, sf_dir))
     return summary
+
+
+@register("time_features", f"""
+SELECT rt_trip_id, gtfs_stop_sequence, {TS('current_stop_departure')} AS current_stop_departure,
+       cast(hour(current_stop_departure) AS INTEGER) AS hour,
+       cast(isodow(current_stop_departure) - 1 AS INTEGER) AS weekday,
+       isodow(current_stop_departure) - 1 IN (5, 6) AS is_weekend
+FROM st WHERE current_stop_departure IS NOT NULL
+""")
+def q_time_features(spark, sf_dir):
+    st = views(spark, sf_dir)["st"].select("rt_trip_id", "gtfs_stop_sequence", "current_stop_departure")
+    return P.with_time_features(st)

@@ -16,7 +16,7 @@ from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
                                StructType)
 
 from delaylens.functions import columns as C
-from delaylens.functions.joins import dimension
+from delaylens.functions.joins import broadcast_if_small
 from delaylens.operators.prepare import prepare_stop_times
 from delaylens.operators.stats import hourly_stats
 
@@ -47,15 +47,21 @@ def scan_history(spark: SparkSession, path: str, stop_ids, years: Sequence[int]
     """IO1: history Parquet (partitioned by year/month/day) for some years
     and platform ids, optionally only departures after ``start``.
 
-    The year filter prunes partitions; the id list is a semi-join (the small
-    id side is broadcast by the planner); ``start`` is pushed into the scan.
+    The year filter prunes partitions and ``start`` is pushed into the scan.
+    A Python id list becomes an ``IN`` filter pushed into the Parquet reader
+    (row-group statistics and dictionaries skip non-matching data); an id
+    DataFrame is a semi-join whose id side is broadcast once a bounded count
+    proves it small (platform lists are thousands of rows), so the history
+    is never shuffled for it.
     """
     df = spark.read.option("basePath", path).parquet(path)
     if year_col in df.columns and years is not None:
         df = df.where(F.col(year_col).isin(list(years)))
     if start is not None:
         df = df.where(F.col("current_stop_departure") > F.lit(start).cast("timestamp_ntz"))
-    return df.join(dimension(_stop_id_frame(spark, stop_ids)), "gtfs_stop_id", "left_semi")
+    if not isinstance(stop_ids, DataFrame):
+        return df.where(F.col("gtfs_stop_id").isin(list(stop_ids)))
+    return df.join(broadcast_if_small(_stop_id_frame(spark, stop_ids)), "gtfs_stop_id", "left_semi")
 
 
 def write_history(df: DataFrame, path: str, mode: str = "append") -> None:

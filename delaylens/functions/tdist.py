@@ -115,11 +115,17 @@ def _expansion_col(dof: Column) -> Column:
             + F.lit(g4) / (v * v * v * v))
 
 
+@lru_cache(maxsize=1)
+def _t975_map_sql() -> str:
+    # one SQL map literal (parsed once on the JVM side, constant-folded by
+    # the optimizer) instead of hundreds of separate literal columns
+    return "map(" + ", ".join(f"{v}, {t!r}D" for v, t in t975_table()) + ")"
+
+
 def t975(dof) -> Column:
     """Two-sided 95 % t quantile as a column of the integer dof column."""
     dof = F.col(dof) if isinstance(dof, str) else dof
-    table = F.create_map(*[F.lit(x) for pair in t975_table()
-                           for x in (pair[0], pair[1])])
+    table = F.expr(_t975_map_sql())
     return (F.when(dof < 1, F.lit(None).cast("double"))
             .when(dof <= TABLE_MAX_DOF, F.element_at(table, dof.cast("int")))
             .otherwise(_expansion_col(dof)))

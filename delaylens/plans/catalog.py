@@ -56,17 +56,31 @@ def register(key: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- domain views
+_HANDLES: dict = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+    """Reuse DataFrame handles (lazy plans, no cached data) per session and
+    scale, as an application keeps its loaded frames between queries."""
+    key = (spark, sf_dir, name)  # the session object itself: ids are never recycled
+    if key not in _HANDLES:
+        _HANDLES[key] = build()
+    return _HANDLES[key]
+
+
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return fixtures.load_views(spark, sf_dir)
+    return _memo(spark, sf_dir, "views", lambda: fixtures.load_views(spark, sf_dir))
 
 
 def prepared(spark, sf_dir) -> DataFrame:
-    return P.prepare_stop_times(views(spark, sf_dir)["st"])
+    return _memo(spark, sf_dir, "prepared", lambda: P.prepare_stop_times(views(spark, sf_dir)["st"]))
 
 
 def merged(spark, sf_dir) -> DataFrame:
-    v = views(spark, sf_dir)
-    return P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"])
+    def build():
+        v = views(spark, sf_dir)
+        return P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"])
+    return _memo(spark, sf_dir, "merged", build)
 
 
 # ------------------------------------------------------------- first slice
@@ -433,8 +447,8 @@ def calendar(spark, sf_dir) -> DataFrame:
 
 def _merged_cal(spark, sf_dir):
     v = views(spark, sf_dir)
-    return (P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"]),
-            EV.match_calendar(v["matches_raw"]))
+    return (merged(spark, sf_dir),
+            _memo(spark, sf_dir, "calendar", lambda: EV.match_calendar(v["matches_raw"])))
 
 
 _FLAG_SQL = """

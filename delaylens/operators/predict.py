@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from delaylens import constants as K
 from delaylens.functions import columns as C
 from delaylens.functions.joins import dimension
+from delaylens.session import cut_lineage
 from delaylens.functions.tdist import t975
 from delaylens.operators.windows import recent_window_sums
 
@@ -171,11 +172,22 @@ def hour_slot_targets(history: DataFrame, keys: Sequence[str] = (), offset_minut
             .distinct())
 
 
+def narrow_history(rows: DataFrame, keys: Sequence[str], value_col: str,
+                   ts_col: str = "current_stop_departure") -> DataFrame:
+    """Materialise the (keys, time, value) projection of a derived history
+    once in the shared checkpoint folder. Segment rows come out of trip
+    windows (and, in ``trip`` mode, a fan-out join); the prediction reads its
+    history in several branches, which would otherwise recompute them."""
+    return cut_lineage(rows.select(*keys, ts_col, value_col))
+
+
 def predict_segments(rows: DataFrame, targets: DataFrame, keys: Sequence[str] = ("segment_id_short",),
-                     calendar: DataFrame | None = None, recent_mode: str = "bounded") -> DataFrame:
+                     calendar: DataFrame | None = None, recent_mode: str = "bounded",
+                     materialize: bool = True) -> DataFrame:
     """M8: travel-time prediction per segment (and optional direction) from
     ``trips.segment_rows`` output, in seconds."""
-    return predict(rows, targets, keys, value_col="real_travel_time_us", calendar=calendar,
+    hist = narrow_history(rows, keys, "real_travel_time_us") if materialize else rows
+    return predict(hist, targets, keys, value_col="real_travel_time_us", calendar=calendar,
                    recent_mode=recent_mode, label="travel_time", unit_divisor=1e6)
 
 

@@ -871,16 +871,18 @@ def _seg_history(spark, sf_dir, mode):
                                          label="travel_time", hist=_H_SEG_EDGE, scale=" / 1e6"))
 def q_predict_segment(spark, sf_dir):
     rows, cal = _seg_history(spark, sf_dir, "edge")
-    return PR.predict_segments(rows, PR.hour_slot_targets(rows, _SEG), _SEG, calendar=cal,
-                               recent_mode="bounded")
+    hist = PR.narrow_history(rows, _SEG, "real_travel_time_us")
+    return PR.predict_segments(hist, PR.hour_slot_targets(hist, _SEG), _SEG, calendar=cal,
+                               recent_mode="bounded", materialize=False)
 
 
 @register("predict_segment_trip", _pred_query(_SEG, "open", extra_ctes=_slot_sql(_SEG),
                                               label="travel_time", hist=_H_SEG_TRIP, scale=" / 1e6"))
 def q_predict_segment_trip(spark, sf_dir):
     rows, cal = _seg_history(spark, sf_dir, "trip")
-    return PR.predict_segments(rows, PR.hour_slot_targets(rows, _SEG), _SEG, calendar=cal,
-                               recent_mode="open")
+    hist = PR.narrow_history(rows, _SEG, "real_travel_time_us")
+    return PR.predict_segments(hist, PR.hour_slot_targets(hist, _SEG), _SEG, calendar=cal,
+                               recent_mode="open", materialize=False)
 
 
 @register("predict_segment_short_term", f"""
@@ -893,6 +895,7 @@ FROM pred
 """)
 def q_predict_segment_short_term(spark, sf_dir):
     rows, cal = _seg_history(spark, sf_dir, "edge")
+    rows = PR.narrow_history(rows, _SEG, "real_travel_time_us")
     return PR.predict_short_term(rows, rows, SHORT_START, _SEG, calendar=cal,
                                  value_col="real_travel_time_us", label="travel_time",
                                  unit_divisor=1e6)

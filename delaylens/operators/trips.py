@@ -2,6 +2,8 @@
 
 Every window is partitioned by trip and ordered by stop sequence with
 departure and platform id as tie-breakers, so results are deterministic.
+Rows without a trip id form no trip (their lags and leads are NULL) and are
+spread over partitions rather than gathered into one.
 All lags/leads share one window spec: one exchange + one sort per plan.
 A trip is small (tens of stops), so no partition of these windows can grow
 with the data beyond one trip.
@@ -18,8 +20,23 @@ from delaylens.functions.joins import dimension
 TRIP = "rt_trip_id"
 
 
+def trip_key():
+    """Window partition key: the trip id; rows without one form no trip and
+    get a row-level key instead, so they never pile up in one partition."""
+    row = F.xxhash64(F.col("gtfs_stop_id"), F.col("gtfs_stop_sequence"), F.col("current_stop_departure"))
+    return F.coalesce(F.col(TRIP), F.concat(F.lit("\u0000no-trip:"), row.cast("string")))
+
+
+TRIP_KEY = "_trip_key"
+
+
+def with_trip_key(df: DataFrame) -> DataFrame:
+    return df if TRIP_KEY in df.columns else df.withColumn(TRIP_KEY, trip_key())
+
+
 def trip_order() -> Window:
-    return (Window.partitionBy(TRIP)
+    """Window over one trip; the frame must carry ``_trip_key`` (``with_trip_key``)."""
+    return (Window.partitionBy(TRIP_KEY)
             .orderBy("gtfs_stop_sequence", "current_stop_departure", "gtfs_stop_id"))
 
 
@@ -27,8 +44,9 @@ def segments(stop_times: DataFrame) -> DataFrame:
     """Consecutive stop pairs of each trip; the first stop has none."""
     w = trip_order()
     prev = F.lag("gtfs_stop_id").over(w)
-    return (stop_times.select(TRIP, "gtfs_stop_id", "gtfs_stop_sequence", "current_stop_departure",
-                              prev.alias("previous_stop_id"))
+    return (with_trip_key(stop_times)
+            .select(TRIP, "gtfs_stop_id", "gtfs_stop_sequence", "current_stop_departure",
+                    prev.alias("previous_stop_id"))
             .where(F.col("previous_stop_id").isNotNull())
             .select(TRIP, "gtfs_stop_sequence", "previous_stop_id",
                     F.col("gtfs_stop_id").alias("current_stop_id"),
@@ -47,18 +65,18 @@ def with_real_times(stop_times: DataFrame) -> DataFrame:
     return stop_times.withColumns({"real_departure": real_dep, "real_arrival": real_arr})
 
 
-def trip_travel_times(stop_times: DataFrame) -> DataFrame:
+def trip_travel_times(stop_times: DataFrame, keep_trip_key: bool = False) -> DataFrame:
     """W2+W3: previous stop's planned/real times on one window, travel times
     in seconds (fraction kept) and the section id (NULL on first stops)."""
     w = trip_order()
-    base = with_real_times(stop_times)
+    base = with_real_times(with_trip_key(stop_times))
     lagged = base.withColumns({
         "previous_stop_departure": F.lag("current_stop_departure").over(w),
         "previous_stop_arrival": F.lag("current_stop_arrival").over(w),
         "previous_stop_id": F.lag("gtfs_stop_id").over(w),
         "real_previous_stop_departure": F.lag("real_departure").over(w),
     })
-    return lagged.withColumns({
+    out = lagged.withColumns({
         "real_travel_time_seconds": C.seconds_between("real_arrival", "real_previous_stop_departure"),
         # the same in whole microseconds: sums of it are exact and do not
         # depend on partitioning or aggregation order
@@ -70,11 +88,13 @@ def trip_travel_times(stop_times: DataFrame) -> DataFrame:
         "section_id": F.when(F.col("previous_stop_id").isNotNull(),
                              F.concat("previous_stop_id", F.lit("_"), "gtfs_stop_id")),
     })
+    return out if keep_trip_key else out.drop(TRIP_KEY)
 
 
 def with_next_stop(stop_times: DataFrame) -> DataFrame:
     """The next platform of the same trip."""
-    return stop_times.withColumn("next_stop", F.lead("gtfs_stop_id").over(trip_order()))
+    return (with_trip_key(stop_times)
+            .withColumn("next_stop", F.lead("gtfs_stop_id").over(trip_order())).drop(TRIP_KEY))
 
 
 def trip_segment_summary(processed: DataFrame, trip_id: str | None = None) -> DataFrame:
@@ -114,10 +134,11 @@ def segment_rows(stop_times: DataFrame, mode: str = "edge") -> DataFrame:
     window pass, no join, one row per stop after the first.
     ``trip``: the original many-to-many merge on trip id - every row of a
     trip is paired with every segment of that trip (k*(k-1) rows for k
-    stops). Both sides come out of windows partitioned by trip, so the join
-    is co-partitioned; it is kept for parity only.
+    stops, bounded by the route length). Both sides come out of the same
+    window partitioned by the trip key and are joined on that key, so the
+    join adds no exchange; it is opt-in, for parity only.
     """
-    processed = trip_travel_times(stop_times)
+    processed = trip_travel_times(stop_times, keep_trip_key=(mode == "trip"))
     if mode == "edge":
         return (processed.where(F.col("previous_stop_id").isNotNull())
                 .withColumns({
@@ -129,11 +150,11 @@ def segment_rows(stop_times: DataFrame, mode: str = "edge") -> DataFrame:
         # the segments come from the same windowed frame (its previous stop),
         # so both join sides share the partitioning by trip: no extra exchange
         segs = (processed.where(F.col("previous_stop_id").isNotNull())
-                .select(TRIP,
+                .select(TRIP_KEY,
                         F.concat("previous_stop_id", F.lit("_"), "gtfs_stop_id").alias("segment_id_full"),
                         F.concat(C.short_stop_id("previous_stop_id"), F.lit("_"),
                                  C.short_stop_id("gtfs_stop_id")).alias("segment_id_short")))
-        return processed.join(segs, TRIP, "inner")
+        return processed.join(segs, TRIP_KEY, "inner").drop(TRIP_KEY)
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -132,3 +132,12 @@ def test_s7_trip_mode_fan_out(spark):
     df = _trip(spark, rows)
     assert T.segment_rows(df, "trip").count() == 4 * 3 + 2 * 1
     assert T.segment_rows(df, "edge").count() == 3 + 1
+
+
+def test_rows_without_trip_form_no_trip(spark):
+    rows = [(None, "A", 1, TS(2024, 1, 1, 8), 0, TS(2024, 1, 1, 8), 0, 0),
+            (None, "B", 2, TS(2024, 1, 1, 9), 0, TS(2024, 1, 1, 9), 0, 0),
+            ("t", "C", 1, TS(2024, 1, 1, 8), 0, TS(2024, 1, 1, 8), 0, 0),
+            ("t", "D", 2, TS(2024, 1, 1, 9), 0, TS(2024, 1, 1, 9), 0, 0)]
+    got = {r["gtfs_stop_id"]: r["previous_stop_id"] for r in T.trip_travel_times(_trip(spark, rows)).collect()}
+    assert got == {"A": None, "B": None, "C": None, "D": "C"}

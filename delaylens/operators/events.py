@@ -23,10 +23,18 @@ MATCH_KEY = "kickoff"
 
 
 # ----------------------------------------------------------------- calendar
-def match_calendar(raw: DataFrame, keep_invalid: bool = False) -> DataFrame:
+def match_calendar(raw: DataFrame, keep_invalid: bool = False, event_tz: str | None = None) -> DataFrame:
     """Kickoff from 'dd.MM.yyyy' + 'HH:mm' (bad or missing -> NULL and
-    dropped), home flag from Location 'D' unless present, opponent default."""
-    df = raw.withColumn(MATCH_KEY, C.parse_match_datetime("Date", "Time"))
+    dropped), home flag from Location 'D' unless present, opponent default.
+
+    Kickoff times are local wall-clock text while stop times are UTC. By
+    default they are compared as they are (the original behaviour); with
+    ``event_tz`` (e.g. 'Europe/Prague') kickoffs are converted to UTC first.
+    """
+    kickoff = C.parse_match_datetime("Date", "Time")
+    if event_tz:
+        kickoff = F.to_utc_timestamp(kickoff.cast("timestamp"), event_tz).cast("timestamp_ntz")
+    df = raw.withColumn(MATCH_KEY, kickoff)
     if "is_home" not in df.columns:
         df = df.withColumn("is_home", F.lower(F.trim("Location")) == "d")
     elif dict(df.dtypes)["is_home"] == "string":

@@ -141,3 +141,13 @@ def test_rows_without_trip_form_no_trip(spark):
             ("t", "D", 2, TS(2024, 1, 1, 9), 0, TS(2024, 1, 1, 9), 0, 0)]
     got = {r["gtfs_stop_id"]: r["previous_stop_id"] for r in T.trip_travel_times(_trip(spark, rows)).collect()}
     assert got == {"A": None, "B": None, "C": None, "D": "C"}
+
+
+def test_s24_event_timezone_option(spark):
+    from delaylens.sources.fixtures import MATCH_SCHEMA
+    raw = spark.createDataFrame([("06.01.2024", "19:00", "D", "X"), ("06.07.2024", "19:00", "D", "Y")],
+                                MATCH_SCHEMA)
+    plain = [r["kickoff"] for r in EV.match_calendar(raw).orderBy("kickoff").collect()]
+    utc = [r["kickoff"] for r in EV.match_calendar(raw, event_tz="Europe/Prague").orderBy("kickoff").collect()]
+    assert plain == [TS(2024, 1, 6, 19), TS(2024, 7, 6, 19)]
+    assert utc == [TS(2024, 1, 6, 18), TS(2024, 7, 6, 17)]      # CET +1, CEST +2

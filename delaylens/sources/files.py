@@ -67,7 +67,8 @@ def scan_history(spark: SparkSession, path: str, stop_ids, years: Sequence[int]
 def write_history(df: DataFrame, path: str, mode: str = "append") -> None:
     """Lay out stop times as year/month/day partitions."""
     dep = F.col("current_stop_departure")
-    (df.withColumns({"year": F.year(dep), "month": F.month(dep), "day": F.dayofmonth(dep)})
+    laid = df.withColumns({"year": F.year(dep), "month": F.month(dep), "day": F.dayofmonth(dep)})
+    (balanced_for_write(laid, ["year", "month", "day"])
      .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("year", "month", "day").parquet(path))
 
@@ -122,12 +123,26 @@ def incremental_load(spark: SparkSession, target_path: str, source: DataFrame,
     return new
 
 
-def persist_stop_times(df: DataFrame, path: str, partition_by: Sequence[str] = ("date",)) -> None:
+def balanced_for_write(df: DataFrame, partition_cols: Sequence[str],
+                       spread_col: str | None = "rt_trip_id") -> DataFrame:
+    """Range-partition rows on (partition columns, a spreading column) before
+    a ``partitionBy`` write: each task then holds a contiguous slice of few
+    dates (few files per date instead of one per task and date), and a hot
+    date is split over several tasks by the spreading column instead of
+    landing in one."""
+    cols = list(partition_cols) + ([spread_col] if spread_col and spread_col in df.columns else [])
+    return df.repartitionByRange(*cols) if cols else df
+
+
+def persist_stop_times(df: DataFrame, path: str, partition_by: Sequence[str] = ("date",),
+                       balance: bool = True) -> None:
     """IO4/IO12: create or append; partitioned by date when present."""
     cols = [c for c in partition_by if c in df.columns]
     if "date" in partition_by and "date" not in df.columns and "current_stop_departure" in df.columns:
         df = df.withColumn("date", F.to_date("current_stop_departure"))
         cols = list(partition_by)
+    if balance and cols:
+        df = balanced_for_write(df, cols)
     w = df.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     (w.partitionBy(*cols) if cols else w).parquet(path)
 
@@ -151,7 +166,8 @@ def load_stop_times(raw: DataFrame, path: str) -> None:
 def hourly_stats_table(prepared: DataFrame, path: str) -> None:
     """IO16: D1 stored as a Parquet table partitioned by date; date/hour
     lookups prune partitions instead of using an index."""
-    (hourly_stats(prepared).write.mode("overwrite").partitionBy("date").parquet(path))
+    (balanced_for_write(hourly_stats(prepared), ["date"], spread_col="gtfs_stop_id")
+     .write.mode("overwrite").partitionBy("date").parquet(path))
 
 
 def ad_hoc_parquet(spark: SparkSession, glob: str, stop_name: str) -> DataFrame:

@@ -151,3 +151,14 @@ def test_s24_event_timezone_option(spark):
     utc = [r["kickoff"] for r in EV.match_calendar(raw, event_tz="Europe/Prague").orderBy("kickoff").collect()]
     assert plain == [TS(2024, 1, 6, 19), TS(2024, 7, 6, 19)]
     assert utc == [TS(2024, 1, 6, 18), TS(2024, 7, 6, 17)]      # CET +1, CEST +2
+
+
+def test_api_single_target_matches_set_based(spark):
+    from conftest import SF_CHECK
+    from delaylens import api
+    from delaylens.plans import catalog as CT
+    m, cal = CT._merged_cal(spark, SF_CHECK)
+    one = api.compute_prediction(m, "2024-01-15 08:30:00", calendar=cal).collect()
+    assert len(one) == 1 and one[0]["sample_size"] >= 5
+    nxt = api.get_next_stop(m, CT.views(spark, SF_CHECK)["stops"], "U100", 0).collect()
+    assert len(nxt) == 1 and nxt[0]["next_stop_id"]

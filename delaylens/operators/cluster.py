@@ -1,19 +1,24 @@
 """Delay-pattern clustering (M10) with pyspark.ml.
 
 Features (hour, delay, weekday) of rows with all three known are
-standardised (mean 0, unit std) and clustered by k-means (k=3, seed 42).
-Spark's scaler divides by the sample std where the original used the
-population std; both scale every feature by the same factor sqrt(n/(n-1))
-relative to each other, so the clustering problem is the same. Labels and
-exact centres depend on the initialisation and are not comparable across
-libraries; the per-cluster summary is.
+standardised (mean 0, unit population std) and clustered by k-means (k=3,
+seed 42); per cluster the delay mean/std/count, hour mean/std and weekday
+mean are reported to two decimals.
+
+The feature space is discrete - 24 hours x 7 weekdays x whole-second delays -
+so rows are first aggregated to distinct points with their multiplicity (one
+partial aggregation; at most a few hundred thousand points however large
+the history) and k-means is fitted on the weighted points: the weighted
+objective equals the objective over all rows. Only the points are
+materialised (checkpoint in the shared folder) for the iterations. Labels
+and exact centres depend on the initialisation and are not comparable
+across libraries; the per-cluster summary is.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +37,38 @@ def delay_features(data: DataFrame) -> DataFrame:
             .dropna())
 
 
+def feature_points(data: DataFrame) -> DataFrame:
+    """Distinct feature points with their row count ``w``."""
+    return delay_features(data).groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def _wmean(c):
+    return F.sum(F.col(c) * F.col("w")) / F.sum("w")
+
+
+def _wstd(c, ddof: int):
+    s1, s2, n = F.sum(F.col(c) * F.col("w")), F.sum(F.col(c) * F.col(c) * F.col("w")), F.sum("w")
+    var = (s2 - s1 * s1 / n) / (n - ddof)
+    return F.when(n > ddof, F.sqrt(F.greatest(var, F.lit(0.0))))
+
+
 def delay_clusters(data: DataFrame, k: int = K.KMEANS_K, seed: int = K.KMEANS_SEED,
                    max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Return (per-cluster summary rounded to 2 digits, labelled features)."""
-    # k-means passes over the features many times: materialise them once in
-    # the shared checkpoint folder (reliable, survives executor loss) instead
-    # of re-deriving them from the sources on every iteration
-    feats = cut_lineage(delay_features(data))
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(FEATURES), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_scaled", predictionCol="cluster"),
-    ])
-    model = pipe.fit(feats)
-    labelled = model.transform(feats).select(*FEATURES, "cluster")
+    """Return (per-cluster summary rounded to 2 digits, points with cluster and weight)."""
+    pts = cut_lineage(feature_points(data))
+    # scaling statistics: six numbers, weighted by multiplicity
+    st = pts.agg(*[x for c in FEATURES for x in (_wmean(c).alias(f"m_{c}"), _wstd(c, 0).alias(f"s_{c}"))]).first()
+    scaled = pts.withColumns({
+        f"z_{c}": (F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"] or 1.0) for c in FEATURES})
+    vec = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="_z").transform(scaled)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_z", predictionCol="cluster",
+                   weightCol="w").fit(vec)
+    labelled = model.transform(vec).select(*FEATURES, "w", "cluster")
     summary = (labelled.groupBy("cluster")
-               .agg(F.round(F.avg("delay"), 2).alias("delay_mean"),
-                    F.round(F.stddev_samp("delay"), 2).alias("delay_std"),
-                    F.count(F.lit(1)).alias("delay_count"),
-                    F.round(F.avg("hour"), 2).alias("hour_mean"),
-                    F.round(F.stddev_samp("hour"), 2).alias("hour_std"),
-                    F.round(F.avg("weekday"), 2).alias("weekday_mean")))
+               .agg(F.round(_wmean("delay"), 2).alias("delay_mean"),
+                    F.round(_wstd("delay", 1), 2).alias("delay_std"),
+                    F.sum("w").cast("long").alias("delay_count"),
+                    F.round(_wmean("hour"), 2).alias("hour_mean"),
+                    F.round(_wstd("hour", 1), 2).alias("hour_std"),
+                    F.round(_wmean("weekday"), 2).alias("weekday_mean")))
     return summary, labelled

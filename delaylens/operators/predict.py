@@ -191,6 +191,42 @@ def predict_segments(rows: DataFrame, targets: DataFrame, keys: Sequence[str] =
                    recent_mode=recent_mode, label="travel_time", unit_divisor=1e6)
 
 
+def predict_trip_mode(rows: DataFrame, signatures: DataFrame, targets: DataFrame,
+                      keys: Sequence[str] = ("segment_id_short",), calendar: DataFrame | None = None,
+                      recent_mode: str = "open") -> DataFrame:
+    """M8 in ``trip`` mode (the original trip-level merge) without the
+    k*(k-1) fan-out: ``rows``/``signatures`` come from
+    ``trips.trip_mode_samples``; predictions are made per trip-set
+    signature and mapped back to the segments of the targets."""
+    from delaylens.operators.trips import SIG_KEY
+    row_keys = [k for k in keys if k != "segment_id_short"]
+    sig_keys = [*SIG_KEY, *row_keys]
+    tg = targets.select(*keys, TARGET).distinct().join(signatures, "segment_id_short")
+    p = predict(rows, tg.select(*sig_keys, TARGET).distinct(), sig_keys,
+                value_col="real_travel_time_us", calendar=calendar, recent_mode=recent_mode,
+                label="travel_time", unit_divisor=1e6)
+    out = tg.join(p.withColumnRenamed("datetime", TARGET), [*sig_keys, TARGET])
+    cols = [c for c in p.columns if c not in sig_keys and c != "datetime"]
+    return out.select(*keys, F.col(TARGET).alias("datetime"), *cols)
+
+
+def predict_segments_trip_mode(stop_times: DataFrame, targets: DataFrame,
+                               keys: Sequence[str] = ("segment_id_short",),
+                               calendar: DataFrame | None = None, recent_mode: str = "open") -> DataFrame:
+    """Convenience: samples + signatures from raw stop times, then predict."""
+    from delaylens.operators.trips import trip_mode_samples
+    rows, sig = trip_mode_samples(stop_times, [k for k in keys if k != "segment_id_short"])
+    return predict_trip_mode(rows, sig, targets, keys, calendar=calendar, recent_mode=recent_mode)
+
+
+def trip_mode_slot_targets(rows: DataFrame, signatures: DataFrame, offset_minutes: int = 30) -> DataFrame:
+    """Every observed (segment, hour) of the ``trip``-mode samples, at
+    ``offset`` minutes past the hour - without building the fan-out."""
+    from delaylens.operators.trips import SIG_KEY
+    return (hour_slot_targets(rows, list(SIG_KEY), offset_minutes).join(signatures, list(SIG_KEY))
+            .drop(*SIG_KEY))
+
+
 def predict_weekly(history: DataFrame, keys_df: DataFrame, start, keys: Sequence[str] = (),
                    interval_minutes: int = 15, min_reliability: float = 0.0,
                    calendar: DataFrame | None = None, recent_mode: str = "bounded",

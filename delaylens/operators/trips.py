@@ -173,3 +173,53 @@ def next_stop(merged: DataFrame, stops: DataFrame) -> DataFrame:
     names = stops.select(F.col("base_stop_id").alias("next_base_stop_id"),
                          F.col("stop_name").alias("next_stop_name"))
     return best.join(dimension(names), "next_base_stop_id", "left")
+
+
+SIG_KEY = ("_h1", "_h2")
+
+
+def trip_mode_samples(stop_times: DataFrame, row_keys=("gtfs_direction_id",),
+                      materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The ``trip``-mode sample of every segment without pairing every row
+    with every segment of its trip.
+
+    In ``trip`` mode a segment's sample is the union of the rows of all trips
+    containing it (with the segment's multiplicity in each trip). Segments
+    contained in exactly the same trips therefore share one sample. Each
+    segment gets a 128-bit signature of its (trip, multiplicity) set - two
+    independent XOR-folded 64-bit hashes - and rows are joined to the
+    distinct signatures of their
+    trip only: one per route in a regular network instead of one per
+    segment.
+
+    Returns ``(rows, signatures)``: rows keyed by ``SIG_KEY`` (each row
+    repeated by the multiplicity) and the map ``segment_id_short -> SIG_KEY``; with
+    ``materialize`` both are written once to the shared checkpoint folder,
+    since predictions read them in several branches.
+    """
+    seg = F.when(F.col("previous_stop_id").isNotNull(),
+                 F.concat(C.short_stop_id("previous_stop_id"), F.lit("_"), C.short_stop_id("gtfs_stop_id")))
+    processed = (trip_travel_times(stop_times, keep_trip_key=True)
+                 .select(TRIP_KEY, "current_stop_departure", "real_travel_time_us", *row_keys,
+                         seg.alias("segment_id_short")))
+    if materialize:  # the windowed rows feed both the signatures and the samples
+        from delaylens.session import cut_lineage
+        processed = cut_lineage(processed)
+    segs = processed.where(F.col("segment_id_short").isNotNull()).select(TRIP_KEY, "segment_id_short")
+    tsm = segs.groupBy(TRIP_KEY, "segment_id_short").agg(F.count(F.lit(1)).alias("_m"))
+    h1 = F.xxhash64(F.col(TRIP_KEY), F.col("_m"))
+    h2 = F.xxhash64(F.lit("sig"), F.col("_m"), F.col(TRIP_KEY))
+    # 128-bit signature: two independent XOR-folded 64-bit hashes, kept as a
+    # two-column key (cheap to hash and compare; collisions out of reach)
+    sig = (tsm.groupBy("segment_id_short")
+           .agg(F.bit_xor(h1).alias("_h1"), F.bit_xor(h2).alias("_h2")))
+    if materialize:
+        sig = cut_lineage(sig)
+    trip_sig = tsm.join(sig, "segment_id_short").select(TRIP_KEY, *SIG_KEY, "_m").distinct()
+    cols = [TRIP_KEY, "current_stop_departure", "real_travel_time_us", *row_keys]
+    rows = (processed.select(*cols).join(trip_sig, TRIP_KEY)
+            .withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col("_m").cast("int"))))
+            .drop("_rep", "_m", TRIP_KEY))
+    if materialize:
+        rows = cut_lineage(rows)
+    return rows, sig

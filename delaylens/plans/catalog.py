@@ -879,10 +879,10 @@ def q_predict_segment(spark, sf_dir):
 @register("predict_segment_trip", _pred_query(_SEG, "open", extra_ctes=_slot_sql(_SEG),
                                               label="travel_time", hist=_H_SEG_TRIP, scale=" / 1e6"))
 def q_predict_segment_trip(spark, sf_dir):
-    rows, cal = _seg_history(spark, sf_dir, "trip")
-    hist = PR.narrow_history(rows, _SEG, "real_travel_time_us")
-    return PR.predict_segments(hist, PR.hour_slot_targets(hist, _SEG), _SEG, calendar=cal,
-                               recent_mode="open", materialize=False)
+    m, cal = _history(spark, sf_dir)
+    rows, sig = T.trip_mode_samples(m, ())
+    return PR.predict_trip_mode(rows, sig, PR.trip_mode_slot_targets(rows, sig), _SEG, calendar=cal,
+                                recent_mode="open")
 
 
 @register("predict_segment_short_term", f"""

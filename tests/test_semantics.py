@@ -162,3 +162,29 @@ def test_api_single_target_matches_set_based(spark):
     assert len(one) == 1 and one[0]["sample_size"] >= 5
     nxt = api.get_next_stop(m, CT.views(spark, SF_CHECK)["stops"], "U100", 0).collect()
     assert len(nxt) == 1 and nxt[0]["next_stop_id"]
+
+
+def test_trip_mode_signatures_equal_fan_out(spark):
+    """Per-signature samples give the same predictions as the explicit fan-out."""
+    from delaylens.operators import predict as PR
+    rows = []
+    # two trips on one route (same segments) and one trip on a branch
+    for t, stops, h in (("r1", ["A", "B", "C", "D"], 8), ("r2", ["A", "B", "C", "D"], 8),
+                        ("r3", ["A", "B", "E"], 8), ("r4", ["A", "B", "C", "D"], 8)):
+        for i, sid in enumerate(stops):
+            rows.append((t, f"U{sid}Z1P", i + 1, TS(2024, 1, 1, h, 5 * i + int(t[1])), 10 * i + int(t[1]),
+                         TS(2024, 1, 1, h, 5 * i + int(t[1])), 7 * i, 0))
+    df = _trip(spark, rows)
+    fan = T.segment_rows(df, "trip")
+    tg = spark.createDataFrame([("UA_UB", TS(2024, 1, 1, 8, 30)), ("UB_UC", TS(2024, 1, 1, 8, 30)),
+                                ("UB_UE", TS(2024, 1, 1, 8, 30))], "segment_id_short string, target_ts timestamp_ntz")
+    want = {r["segment_id_short"]: r for r in
+            PR.predict(fan, tg, ["segment_id_short"], value_col="real_travel_time_us", recent_mode="open",
+                       label="travel_time", unit_divisor=1e6).collect()}
+    srows, sig = T.trip_mode_samples(df, ())
+    got = {r["segment_id_short"]: r for r in
+           PR.predict_trip_mode(srows, sig, tg, ["segment_id_short"], recent_mode="open").collect()}
+    assert set(got) == set(want) and want
+    for k in want:
+        for c in ("sample_size", "mean_travel_time", "median_travel_time", "std_travel_time", "recent_n"):
+            assert got[k][c] == want[k][c] or abs(got[k][c] - want[k][c]) < 1e-9

@@ -7,6 +7,13 @@ sequence) are dropped while their copies can still arrive, i.e. within the
 watermark delay. State is bounded by that delay; a row older than the
 watermark is dropped whether or not it was seen before - choose the delay
 from the observed lateness.
+
+Each trigger takes all files that have arrived (Spark's default).
+``max_files_per_trigger`` is a rate limit only: files are then taken in
+arrival order, and rows of a later file that are older than the watermark
+set by earlier batches are dropped as late - so it must not be used on
+sources whose files are not written in event-time order (such as the
+multi-file output of one ST1 batch read by ST2).
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ def dedup_stop_times(stream: DataFrame, delay: str = "1 day",
 
 def incremental_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
                        checkpoint_dir: str | None = None, delay: str = "1 day",
-                       max_files_per_trigger: int | None = 1,
+                       max_files_per_trigger: int | None = None,
                        available_now: bool = True) -> StreamingQuery:
     """ST1: append new stop times from ``source_dir`` to a Parquet sink."""
     ckpt = checkpoint_dir or scratch_path(spark, "st1-checkpoint")
@@ -52,7 +59,7 @@ def incremental_stream(spark: SparkSession, source_dir: str, schema: StructType,
 
 def hourly_stats_stream(spark: SparkSession, source_dir: str, schema: StructType | None, sink_dir: str,
                         checkpoint_dir: str | None = None, delay: str = "2 hours",
-                        max_files_per_trigger: int | None = 1,
+                        max_files_per_trigger: int | None = None,
                         available_now: bool = True) -> StreamingQuery:
     """ST2: D1 over tumbling 1-hour event-time windows per platform; a window
     is appended once the watermark passes its end and never changes later.

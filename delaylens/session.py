@@ -45,6 +45,25 @@ def build_session(master: str | None = None, app_name: str = "delaylens",
     return spark
 
 
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20,
+                 max_shuffle_partitions: int = 50_000) -> dict:
+    """Settings sized to the input so tasks fit executor memory.
+
+    Shuffle partitions start at roughly input / partition size (AQE then
+    coalesces small ones and splits skewed join partitions above four times
+    the advisory size); file splits and the advisory size use the same
+    target; broadcasts stay below 64 MB.
+    """
+    parts = int(min(max_shuffle_partitions, max(200, input_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def _checkpoint_base(spark: SparkSession) -> str | None:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -84,4 +103,4 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-__all__ = ["build_session", "scratch_path", "cut_lineage", "DEFAULT_CONF", "os"]
+__all__ = ["build_session", "scratch_path", "cut_lineage", "cluster_conf", "DEFAULT_CONF", "os"]

@@ -1182,3 +1182,11 @@ FROM st WHERE current_stop_departure IS NOT NULL
 def q_time_features(spark, sf_dir):
     st = views(spark, sf_dir)["st"].select("rt_trip_id", "gtfs_stop_sequence", "current_stop_departure")
     return P.with_time_features(st)
+
+
+@register("matches_from_html")
+def q_matches_from_html(spark, sf_dir):
+    # every stored page is scanned for match-list row blocks (whole texts);
+    # the test pages carry navigation lists but no match rows
+    pages = fixtures.read_table(spark, sf_dir, "pages").select("page_id", "html")
+    return PX.matches_from_html(pages)

@@ -30,3 +30,28 @@ def test_scan_is_pruned(spark):
 def test_stop_dimension_is_broadcast(spark):
     plan = _plan(E.queries()["stop_times_with_stops"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan
+
+
+def _exchanges(df):
+    plan = _plan(df)
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") \
+        + plan.count("Exchange SinglePartition")
+
+
+def test_expected_exchange_counts(spark):
+    from delaylens.operators import prepare as P
+    from delaylens.operators import stats as S
+    from delaylens.operators import trips as T
+    from delaylens.sources import fixtures
+    st = fixtures.load_views(spark, SF_SMALL)["st"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # one aggregation: one exchange (the fixture window is pruned away)
+        assert _exchanges(S.hourly_stats(P.prepare_stop_times(st))) == 1
+        # four lags on one window spec: one exchange on top of the fixture's own window
+        assert _exchanges(T.trip_travel_times(st)) == 2
+        # lag + lead share the exchange too
+        both = T.with_next_stop(T.trip_travel_times(st, keep_trip_key=True))
+        assert _exchanges(both) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -94,14 +94,16 @@ def parse_match_datetime(date_text, time_text) -> Column:
     return ts.cast("timestamp_ntz")
 
 
-def reliability(mean, margin, n, is_peak, is_match_day) -> Column:
-    """0..100 score, one decimal, half-to-even rounding."""
+def reliability(mean: str, margin: str, n: str, is_peak: str, is_match_day: str) -> Column:
+    """0..100 score, one decimal, half-to-even rounding (column names in).
+
+    Built as one SQL expression: sample-size, interval-width and condition
+    scores weighted as fixed in ``constants``."""
     w_n, w_ci, w_cond = K.RELIABILITY_WEIGHTS
-    sample_score = F.least(F.lit(1.0), col(n) / F.lit(float(K.RELIABILITY_SAMPLE_SATURATION)))
-    rel_ci = (2.0 * col(margin)) / (F.abs(col(mean)) + 1.0)
-    ci_score = 1.0 - F.least(F.lit(1.0), rel_ci)
-    cond = (F.when(col(is_peak), F.lit(K.PEAK_FACTOR)).otherwise(F.lit(1.0))
-            * F.when(F.coalesce(col(is_match_day), F.lit(False)), F.lit(K.MATCH_DAY_FACTOR))
-            .otherwise(F.lit(1.0)))
-    score = (w_n * sample_score + w_ci * ci_score + w_cond * cond) * 100.0
-    return F.bround(score, 1)
+    sat = float(K.RELIABILITY_SAMPLE_SATURATION)
+    sql = (f"bround(({w_n}D * least(1.0D, `{n}` / {sat}D)"
+           f" + {w_ci}D * (1.0D - least(1.0D, (2.0D * `{margin}`) / (abs(`{mean}`) + 1.0D)))"
+           f" + {w_cond}D * (CASE WHEN `{is_peak}` THEN {K.PEAK_FACTOR}D ELSE 1.0D END)"
+           f" * (CASE WHEN coalesce(`{is_match_day}`, false) THEN {K.MATCH_DAY_FACTOR}D ELSE 1.0D END))"
+           f" * 100.0D, 1)")
+    return F.expr(sql)

@@ -32,18 +32,22 @@ def round6(c):
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    cols = []
+    """One projection (a single ``selectExpr``) with engine-neutral types."""
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         t = f.dataType
         if isinstance(t, DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            e = f"date_format({c}, 'yyyy-MM-dd')"
         elif isinstance(t, (TimestampType, TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            e = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         elif isinstance(t, (DoubleType, FloatType, DecimalType)):
-            c = round6(c.cast("double"))
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            v = f"CAST({c} AS DOUBLE)"
+            e = f"CASE WHEN abs({v}) < 1e12 THEN floor({v} * 1e6 + 0.5D) / 1e6 ELSE {v} END"
+        else:
+            e = c
+        exprs.append(f"{e} AS {c}")
+    return df.selectExpr(*exprs)
 
 
 def register(key: str, sql: str | None = None):

@@ -188,3 +188,18 @@ def test_trip_mode_signatures_equal_fan_out(spark):
     for k in want:
         for c in ("sample_size", "mean_travel_time", "median_travel_time", "std_travel_time", "recent_n"):
             assert got[k][c] == want[k][c] or abs(got[k][c] - want[k][c]) < 1e-9
+
+
+def test_api_match_day_and_daily_helpers(spark):
+    from conftest import SF_CHECK
+    from delaylens import api
+    from delaylens.plans import catalog as CT
+    m, cal = CT._merged_cal(spark, SF_CHECK)
+    days = {r["comparison"] for r in api.get_comparison_data(m, cal, "2024-01-14").select("comparison")
+            .distinct().collect()}
+    assert days == {"Match Day", "Day Before", "Day After", "Week Before", "Week After"}
+    d = api.get_delay_statistics(CT.prepared(spark, SF_CHECK), "2024-01-14").collect()
+    assert len(d) == 1 and d[0]["total_records"] > 0
+    rows = T.segment_rows(m, "edge")
+    one = api.compute_segment_prediction(rows, "2024-01-15 08:30:00", "U100_U101").collect()
+    assert len(one) <= 1

@@ -32,6 +32,7 @@ from delaylens.functions.tdist import t975
 from delaylens.operators.windows import recent_window_sums
 
 TARGET = "target_ts"
+GRID_BROADCAST_ROWS = 2_000_000   # grid targets broadcast to the history join up to this many
 
 
 def cell_stats(history: DataFrame, keys: Sequence[str] = (), value_col: str = "current_stop_dep_delay",
@@ -231,13 +232,19 @@ def predict_weekly(history: DataFrame, keys_df: DataFrame, start, keys: Sequence
                    interval_minutes: int = 15, min_reliability: float = 0.0,
                    calendar: DataFrame | None = None, recent_mode: str = "bounded",
                    value_col: str = "current_stop_dep_delay", label: str = "delay",
-                   unit_divisor: float | None = None) -> DataFrame:
+                   unit_divisor: float | None = None,
+                   broadcast_targets: int | None = GRID_BROADCAST_ROWS) -> DataFrame:
     """M6: a week of targets from ``start`` floored to the hour, with day name
-    and time period, keeping predictions at or above ``min_reliability``."""
+    and time period, keeping predictions at or above ``min_reliability``.
+
+    Grid targets are few (points x keys): by default they are broadcast to
+    the history join once a bounded count proves it, so the history is never
+    shuffled for the recent window."""
     tg = with_grid(_key_rows(history, keys_df, keys), start, 24 * 7, interval_minutes,
                    floor_to_hour=True)
     p = predict(history, tg, keys, value_col=value_col, calendar=calendar,
-                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor)
+                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor,
+                broadcast_targets=broadcast_targets)
     return (p.where(F.col("reliability") >= min_reliability)
             .withColumns({"day_name": C.day_name("datetime"),
                           "time_period": C.time_period(F.hour("datetime"))}))
@@ -247,10 +254,13 @@ def predict_short_term(history: DataFrame, keys_df: DataFrame, start, keys: Sequ
                        interval_minutes: int = 15, duration_hours: int = 3,
                        calendar: DataFrame | None = None, recent_mode: str = "bounded",
                        value_col: str = "current_stop_dep_delay", label: str = "delay",
-                       unit_divisor: float | None = None) -> DataFrame:
+                       unit_divisor: float | None = None,
+                       broadcast_targets: int | None = GRID_BROADCAST_ROWS) -> DataFrame:
     """M7/M9: targets every ``interval`` minutes for ``duration`` hours from
-    ``start`` (not floored): time, mean and interval bounds."""
+    ``start`` (not floored): time, mean and interval bounds (grid targets are
+    broadcast under a proven bound, as in ``predict_weekly``)."""
     tg = with_grid(_key_rows(history, keys_df, keys), start, duration_hours, interval_minutes)
     p = predict(history, tg, keys, value_col=value_col, calendar=calendar,
-                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor)
+                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor,
+                broadcast_targets=broadcast_targets)
     return p.select(*keys, "datetime", f"mean_{label}", "confidence_lower", "confidence_upper")

@@ -29,3 +29,13 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "avg_delay" in df.columns
+
+
+SF_LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("key", ["predict_segment", "predict_segment_short_term"])
+def test_segment_predictions_at_sf01(spark, key):
+    """Segment cells reach 5 rows only at sf0.1; check the non-empty results there."""
+    r = compare(spark, duck(SF_LARGE), key, QUERIES[key], ORACLE[key], SF_LARGE)
+    assert r["ok"] and r["rows"] > 0, r

@@ -36,6 +36,7 @@ SF_LARGE = "/root/testdata/sf0.1"
 
 @pytest.mark.parametrize("key", ["predict_segment", "predict_segment_short_term"])
 def test_segment_predictions_at_sf01(spark, key):
-    """Segment cells reach 5 rows only at sf0.1; check the non-empty results there."""
-    r = compare(spark, duck(SF_LARGE), key, QUERIES[key], ORACLE[key], SF_LARGE)
+    """Segment cells reach 5 rows only at sf0.1; check the non-empty results there
+    (travel-time std of ~1e4 s: floats compared up to the last printed digit)."""
+    r = compare(spark, duck(SF_LARGE), key, QUERIES[key], ORACLE[key], SF_LARGE, tolerant=True)
     assert r["ok"] and r["rows"] > 0, r

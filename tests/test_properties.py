@@ -49,3 +49,18 @@ def test_newest_sample_is_exact_top_n(spark):
         got = sorted((r[0] for r in S.newest_sample(st, n).select("current_stop_departure").collect()),
                      reverse=True)
         assert got == times[:n]
+
+
+def test_approximate_options_stay_close(spark):
+    from delaylens.operators import predict as PR
+    st = _views(spark)["st"]
+    prep = P.prepare_stop_times(st)
+    exact = {r["date"]: r["unique_stops"] for r in S.daily_stats(prep).collect()}
+    approx = {r["date"]: r["unique_stops"] for r in S.daily_stats(prep, approx_distinct=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(exact[d] - approx[d]) <= max(1, 0.1 * exact[d]) for d in exact)
+    e = {(r["hour"], r["weekday"]): r["median"] for r in PR.cell_stats(st, min_sample=1).collect()}
+    a = {(r["hour"], r["weekday"]): r["median"] for r in PR.cell_stats(st, min_sample=1, approx_median=True).collect()}
+    assert e.keys() == a.keys()
+    spread = max(abs(e[k] - a[k]) for k in e if e[k] is not None)
+    assert spread <= 60      # delays in seconds; the sketch returns an observed value near the middle

@@ -104,19 +104,20 @@ def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
                .drop("_mdate", "_hit"))
     else:
         out = out.withColumn("is_match_day", F.lit(False))
+    recent_sum = F.col("recent_sum")
     if unit_divisor is not None:
-        out = out.withColumn("recent_sum", F.col("recent_sum") / F.lit(float(unit_divisor)))
-    recent_mean = F.try_divide(F.col("recent_sum"), F.col("recent_cnt"))
+        recent_sum = recent_sum / F.lit(float(unit_divisor))
+    recent_mean = F.try_divide(recent_sum, F.col("recent_cnt"))
     corr = F.when(F.col("recent_n") >= K.MIN_RECENT, recent_mean - F.col("base_mean")) \
         .otherwise(F.lit(0.0))
-    out = out.withColumn("error_correction", corr)
-    out = out.withColumn("adjusted", F.col("base_mean") + F.col("error_correction"))
-    out = out.withColumns({
-        "is_peak_hour": C.is_peak_hour("hour"),
-        "is_weekend": C.is_weekend("weekday"),
-    })
-    out = out.withColumn("reliability", C.reliability("adjusted", "margin_error", "sample_size",
-                                                      "is_peak_hour", "is_match_day"))
+    # two projections instead of a chain of withColumn calls: the derived
+    # columns first, then the score that reads them
+    out = out.select("*", corr.alias("error_correction"),
+                     (F.col("base_mean") + corr).alias("adjusted"),
+                     C.is_peak_hour("hour").alias("is_peak_hour"),
+                     C.is_weekend("weekday").alias("is_weekend"))
+    out = out.select("*", C.reliability("adjusted", "margin_error", "sample_size",
+                                        "is_peak_hour", "is_match_day").alias("reliability"))
     return out.select(
         *keys,
         F.col(TARGET).alias("datetime"),

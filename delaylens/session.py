@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -77,22 +77,21 @@ def _checkpoint_base(spark: SparkSession) -> str | None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
-    The base is read from ``spark.checkpoint.dir``; only when the session
-    has none (local runs, tests) a private temporary folder is created and
-    registered as the checkpoint directory.
+    The base is read from ``spark.checkpoint.dir`` with its URI scheme. Where
+    the session has none, a temporary folder is made and registered, but only
+    in local mode (tests, bench), where driver and executors are one process;
+    on a cluster a missing setting is an error.
     """
     base = _checkpoint_base(spark)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder "
+                             "that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="delaylens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        try:
-            spark.sparkContext.setCheckpointDir(base)
-        except Exception:
-            pass
-    base = base.rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df):
@@ -103,4 +102,4 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-__all__ = ["build_session", "scratch_path", "cut_lineage", "cluster_conf", "DEFAULT_CONF", "os"]
+__all__ = ["build_session", "scratch_path", "cut_lineage", "cluster_conf", "DEFAULT_CONF"]

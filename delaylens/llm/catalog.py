@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylens.llm import chat, licenses, packing, pieces, quality, toxicity, urls
+from delaylens.llm import chat, embed_dedup, licenses, ngram_join, packing, pieces, quality, toxicity, urls, vafile
 from delaylens.llm.common import fold, read_table
 
 HELD_OUT = 2  # of four folds
@@ -34,10 +34,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
@@ -46,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(read_table(spark, sf_dir, "documents"))
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -76,6 +88,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars + CASE WHEN goes_on THEN 3 ELSE marks END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id"""
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_quality, op4_licenses, op6_url_filter, op7_packing, op9_chat,
-                                   op10_sentencepiece)}
-ORACLE = {"op4_licenses": licenses.oracle_sql(), "op9_chat": OP9_SQL}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_quality, op3_topk, op4_licenses, op5_embedding_dedup,
+                                   op6_url_filter, op7_packing, op8_ngram_join, op9_chat, op10_sentencepiece)}
+ORACLE = {"op3_topk": vafile.oracle_sql(), "op5_embedding_dedup": embed_dedup.oracle_sql(),
+          "op8_ngram_join": ngram_join.oracle_sql(), "op4_licenses": licenses.oracle_sql(), "op9_chat": OP9_SQL}

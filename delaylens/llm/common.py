@@ -213,3 +213,16 @@ def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if np.array_equal(before, label):
             break
     return label
+
+
+def small_pairs(bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of one group, for the groups of 2 to ``most`` rows."""
+    size = np.diff(bounds)
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in range(2, most + 1):
+        start = bounds[:-1][size == m]
+        if len(start):
+            i, j = np.triu_indices(m, 1)
+            out_i.append((start[:, None] + i).ravel())
+            out_j.append((start[:, None] + j).ravel())
+    return np.concatenate(out_i), np.concatenate(out_j)

@@ -10,9 +10,9 @@ the open pieces are cut anew into whole windows; the very last rest is cut into
 windows whose lengths are powers of two, which need no padding.
 
 Ids come from the byte-level BPE of a tokenizers JSON file. Text is cut at
-single spaces between other characters (a place where that vocabulary's pattern
-always begins a new token), distinct words are encoded once per worker, and the
-ids of a text are the words' ids in order.
+single spaces and line ends between other characters (places where that
+vocabulary's pattern always begins a new token), distinct words are encoded once
+per worker, and the ids of a text are the words' ids in order.
 
 Sequences are numbered by (task, number in the task), so no shuffle, counter or
 global order is needed and a repeated task numbers its sequences alike. Defined
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import WordTable, slices, texts_of
+from delaylens.llm.common import slices, texts_of
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -47,10 +48,22 @@ class Params:
     open_windows: int = 4096  # held at once by a task: at most 16 MB of ids
 
 
+class Words(dict):
+    """Ids of words, as bytes, encoded when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("I", self.encode(word)).tobytes()
+        return ids
+
+
 @dataclass
 class ByteBpe:
     """Ids of a byte-level BPE (tokenizers JSON), with the vocabulary's merge order as ranks."""
     spec: str = field(repr=False)
+    kept_words: int = 300_000  # distinct words whose ids a worker keeps, about
 
     @classmethod
     def load(cls, path: str) -> ByteBpe:
@@ -69,35 +82,28 @@ class ByteBpe:
                  if token not in self.special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = WordTable(self.word_ids, 300_000)
+        self.words = Words(self.fast.encode_ordinary)
         return self
 
-    def word_ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(self.fast.encode_ordinary(w), "<u4").tobytes() for w in words]
-
     def units(self, text: str) -> list[str]:
-        """The text cut before each single space between two characters that are no white space."""
-        words = text.split(" ")
-        if len(words) == 1:
-            return words
-        if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
+        """The text cut before each single space, and around each single line end, between characters that are no white space."""
+        words = text.replace("\n", " ").split(" ")
+        if "" in words or "\0" in text or list(map(str.strip, words)) != words:
             return [text]
-        return [words[0], *[" " + w for w in words[1:]]]
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         docs = [self.units(t) for t in texts]
-        # texts with other white space, and whole words of great length, are not kept
-        short = [i for i, d in enumerate(docs) if len(d) > 1]
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):
                 out[i] = np.array(self.exact.encode(t, add_special_tokens=False).ids, "<u4")
-            elif len(docs[i]) == 1:
+            elif len(docs[i]) == 1:  # one word, or other white space: encoded whole, not kept
                 out[i] = np.array(self.fast.encode_ordinary(t), "<u4")
-        short = [i for i in short if out[i] is None]
-        values = self.words.prepare([docs[i] for i in short])
-        for i in short:
-            out[i] = np.frombuffer(b"".join(map(values.__getitem__, docs[i])), "<u4")
+            else:
+                out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, docs[i])), "<u4")
+        if len(self.words) > self.kept_words:
+            self.words.clear()
         return out
 
 
@@ -192,7 +198,7 @@ def pack(documents: DataFrame, path: str, params: Params = Params()) -> DataFram
         for k, window in enumerate(sequences):
             offset = 0
             for doc_id, start, ids, n in window:
-                for c, v in zip(cols, (doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, first + k, offset)):
+                for c, v in zip(cols, (doc_id, start, len(ids), zlib.crc32(ids), n, first + k, offset)):
                     c.append(v)
                 offset += len(ids)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],

@@ -20,6 +20,9 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     """Links (a, b), a > b, after one star step; ``larger``: larger neighbours take the node's minimum."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else links
     low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    # dealt anew, so that both sides of the join come from shuffles of their own: only then can adaptive
+    # execution split the links of a node that very many others point to
+    low = low.repartition(F.xxhash64("a", F.lit(1)))
     # large star: every larger neighbour of a goes to a's minimum; small star: a and its smaller neighbours do
     moved = both.join(low, "a").where(F.col("b") > F.col("a") if larger else F.col("b") != F.col("low"))
     out = moved.select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -291,14 +291,15 @@ def keep_one(documents: DataFrame, params: Params = Params()) -> DataFrame:
     one stays.
     """
     columns = documents.columns
+    gone_id, place = (next(x for k in range(len(columns) + 1) if (x := f"_{name}{k}") not in columns) for name in ("gone", "place"))
     joined = similarity_join(documents, params)
-    gone = (joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    docs = documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    gone = joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone_id)).distinct()
+    docs = documents.join(gone, documents["doc_id"] == gone[gone_id], "left_anti")
     order = Window.partitionBy("doc_id").orderBy("text")
     some_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\f\x0B]")
     ids = F.col("doc_id").isNotNull()
     # rows without id are never ranked together: they pass beside the window
-    ranked = docs.where(ids).withColumn("_row", F.row_number().over(order)).where((F.col("_row") == 1) | ~some_words)
+    ranked = docs.where(ids).withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | ~some_words)
     return ranked.select(*columns).unionByName(docs.where(~ids).select(*columns))
 
 

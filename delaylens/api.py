@@ -50,8 +50,8 @@ def compute_segment_prediction(segment_rows: DataFrame, target_datetime, segment
 
 def get_next_stop(merged: DataFrame, stops: DataFrame, base_stop_id: str, direction: int) -> DataFrame:
     """Next stop (name) of one station and direction."""
-    return (T.next_stop(merged.where(F.col("gtfs_direction_id") == direction), stops)
-            .where(F.col("base_stop_id") == base_stop_id))
+    return (T.next_stop(merged, stops)  # the lead runs over whole trips, rows of both directions
+            .where((F.col("gtfs_direction_id") == direction) & (F.col("base_stop_id") == base_stop_id)))
 
 
 def get_comparison_data(data: DataFrame, calendar: DataFrame, match_date) -> DataFrame:

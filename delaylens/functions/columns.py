@@ -34,8 +34,8 @@ def epoch_us(ts) -> Column:
 
 def add_seconds(ts, seconds) -> Column:
     """ts + seconds; NULL seconds give NULL. Fractional seconds are rounded
-    to whole seconds first, as an integer cast in the SQL engine would."""
-    return F.timestamp_add("SECOND", F.round(col(seconds)).cast("bigint"), col(ts))
+    half to even first (2.5 gives 2), as the original's integer cast does."""
+    return F.timestamp_add("SECOND", F.bround(col(seconds)).cast("bigint"), col(ts))
 
 
 def seconds_between(end, start) -> Column:

@@ -1,11 +1,11 @@
 """Match-day impact.
 
-The match calendar is a small dimension (a few hundred rows a season); the
-planner broadcasts it by its estimated size and every per-match analysis runs for all
-matches at once: stop times are tagged with (match, comparison day) by an
-equi-join on date against the calendar exploded by the five day offsets,
-then pre-aggregated to (match, day, hour) cells before any per-window logic,
-so nothing downstream of the join grows with the data.
+Every analysis runs for all matches at once. Statistics aggregate the history
+to cells first, (date, hour) sums and counts or (date, hour, delay) counts where
+a median is asked for, with map-side combining, and only those cells meet the
+match calendar, so no join moves the raw history. Operators that return tagged
+history rows (``event_flag``, ``comparison_days``) broadcast the calendar after
+a bounded count proves its size.
 """
 
 from __future__ import annotations
@@ -80,6 +80,38 @@ def event_flag(data: DataFrame, calendar: DataFrame) -> DataFrame:
     return joined.withColumn("is_event", F.coalesce(F.col("_hit"), F.lit(False))).drop("_mdate", "_hit")
 
 
+def hour_cells(data: DataFrame) -> DataFrame:
+    """Per (date, hour): sum and count of known delays and the row count."""
+    return (data.groupBy(F.to_date("current_stop_departure").alias("day"), F.hour("current_stop_departure").alias("hour"))
+            .agg(F.sum(DELAY).alias("s"), F.count(DELAY).alias("c"), F.count(F.lit(1)).alias("n")))
+
+
+def delay_cells(data: DataFrame, by_hour: bool) -> DataFrame:
+    """Per (date[, hour], delay): the row count. Delays are whole seconds, so the cells are
+    bounded by the days and the range of delays, not by the rows."""
+    keys = [F.to_date("current_stop_departure").alias("day")]
+    keys += [F.hour("current_stop_departure").alias("hour")] if by_hour else []
+    return data.groupBy(*keys, DELAY).agg(F.count(F.lit(1)).alias("n"))
+
+
+def flagged_cells(cells: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Cells with ``is_event``: their day is a match date."""
+    dates = calendar.select(F.col("match_date").alias("day")).distinct().withColumn("_hit", F.lit(True))
+    return (cells.join(dimension(dates), "day", "left")
+            .withColumn("is_event", F.coalesce("_hit", F.lit(False))).drop("_hit"))
+
+
+def moments():
+    """mean, median_delay, var (sample) and known, from counted delays; exact sums for whole delays."""
+    n = F.when(F.col(DELAY).isNotNull(), F.col("n")).otherwise(0)
+    known, total = F.sum(n), F.sum(F.col(DELAY) * n)
+    mean = F.try_divide(total, known)
+    squares = F.sum(F.col(DELAY).cast("double") * F.col(DELAY) * n)
+    var = F.when(known > 1, F.greatest(squares - total * mean, F.lit(0.0)) / (known - 1))
+    median = F.percentile(F.when(F.col(DELAY).isNotNull(), F.col(DELAY)), 0.5, F.greatest(n, F.lit(1)))
+    return (mean.alias("mean"), median.cast("double").alias("median_delay"), var.alias("var"), known.alias("known"))
+
+
 def event_stats(data: DataFrame, calendar: DataFrame, with_p_value: bool = False) -> DataFrame:
     """Per is_event the delay mean, median, max, min, std and count of
     known delays; each row also carries Welch's t (event minus regular), its
@@ -88,15 +120,11 @@ def event_stats(data: DataFrame, calendar: DataFrame, with_p_value: bool = False
 
     NULL delays are dropped before the test (the original propagated NaN).
     """
-    flagged = event_flag(data.select("current_stop_departure", DELAY), calendar)
-    g = (flagged.groupBy("is_event")
-         .agg(F.avg(DELAY).alias("avg_delay"),
-              F.median(DELAY).cast("double").alias("median_delay"),
-              F.max(DELAY).alias("max_delay"),
-              F.min(DELAY).alias("min_delay"),
-              F.stddev_samp(DELAY).alias("std_delay"),
-              F.count(DELAY).alias("total_records"),
-              F.var_samp(DELAY).alias("_var")))
+    cells = flagged_cells(delay_cells(data, by_hour=False), calendar)
+    g = cells.groupBy("is_event").agg(*moments(), F.max(DELAY).alias("max_delay"), F.min(DELAY).alias("min_delay"))
+    g = (g.withColumns({"avg_delay": F.col("mean"), "std_delay": F.sqrt("var"), "_var": F.col("var")})
+         .select("is_event", "avg_delay", "median_delay", "max_delay", "min_delay", "std_delay",
+                 F.col("known").alias("total_records"), "_var"))
     both = Window.partitionBy(F.lit(0))  # the two aggregated rows only
 
     def pick(c, flag):
@@ -105,11 +133,12 @@ def event_stats(data: DataFrame, calendar: DataFrame, with_p_value: bool = False
     m1, m2 = pick("avg_delay", True), pick("avg_delay", False)
     v1, v2 = pick("_var", True), pick("_var", False)
     n1, n2 = pick("total_records", True), pick("total_records", False)
-    se2 = v1 / n1 + v2 / n2
+    se2 = F.try_divide(v1, n1) + F.try_divide(v2, n2)
     ok_t = (n1 > 1) & (n2 > 1)
-    t = F.when(ok_t, (m1 - m2) / F.sqrt(se2))
-    dof = F.when(ok_t, (se2 * se2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)))
-    d = F.when((n1 > 0) & (n2 > 0), (m1 - m2) / F.sqrt((v1 + v2) / 2.0))
+    # constant delays have no variance: t, dof and effect size are then undefined (NULL)
+    t = F.when(ok_t, F.try_divide(m1 - m2, F.sqrt(se2)))
+    dof = F.when(ok_t, F.try_divide(se2 * se2, (v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)))
+    d = F.when((n1 > 0) & (n2 > 0), F.try_divide(m1 - m2, F.sqrt((v1 + v2) / 2.0)))
     out = g.withColumns({"t_statistic": t, "welch_dof": dof, "effect_size": d}).drop("_var")
     if with_p_value:
         out = out.withColumn("p_value", two_sided_p(F.col("t_statistic"), F.col("welch_dof")))
@@ -118,12 +147,10 @@ def event_stats(data: DataFrame, calendar: DataFrame, with_p_value: bool = False
 
 def event_hourly_stats(data: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per (is_event, hour): mean, median, std and count of known delays."""
-    flagged = event_flag(data.select("current_stop_departure", DELAY), calendar)
-    g = (flagged.groupBy("is_event", F.hour("current_stop_departure").alias("hour"))
-         .agg(F.avg(DELAY).alias("mean_delay"),
-              F.median(DELAY).cast("double").alias("median_delay"),
-              F.stddev_samp(DELAY).alias("std_delay"),
-              F.count(DELAY).alias("count")))
+    cells = flagged_cells(delay_cells(data, by_hour=True), calendar)
+    g = (cells.groupBy("is_event", "hour").agg(*moments())
+         .select("is_event", "hour", F.col("mean").alias("mean_delay"), "median_delay",
+                 F.sqrt("var").alias("std_delay"), F.col("known").alias("count")))
     return g.withColumn("day_type", F.when(F.col("is_event"), F.lit(K.DAY_TYPE_EVENT[0]))
                         .otherwise(F.lit(K.DAY_TYPE_EVENT[1])))
 
@@ -136,9 +163,8 @@ def overall_impact(data: DataFrame, calendar: DataFrame) -> DataFrame:
     Hour cells are pre-aggregated, the calendar counted, and both are
     combined by one global aggregation over their union (no join).
     """
-    flagged = event_flag(data.select("current_stop_departure", DELAY), calendar)
-    cells = (flagged.groupBy("is_event", F.hour("current_stop_departure").alias("hour"))
-             .agg(F.sum(DELAY).alias("s"), F.count(DELAY).alias("c")))
+    cells = (flagged_cells(hour_cells(data), calendar).groupBy("is_event", "hour")
+             .agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
     cal = calendar.select(F.lit(True).alias("is_match"), F.col("is_home"))
     u = cells.withColumn("is_match", F.lit(False)).unionByName(cal, allowMissingColumns=True)
     ev, reg = F.col("is_event") == True, F.col("is_event") == False  # noqa: E712
@@ -160,31 +186,33 @@ def overall_impact(data: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------- per-match views
+def comparison_calendar(calendar: DataFrame, labels=None) -> DataFrame:
+    """The calendar once per comparison day (``_day``)."""
+    offs = [o for o in K.COMPARISON_OFFSETS if labels is None or o[0] in labels]
+    off_arr = F.array(*[F.struct(F.lit(lbl).alias("comparison"), F.lit(d).alias("offset"))
+                        for lbl, d in offs])
+    return (calendar.select(MATCH_KEY, "match_date", "kickoff_hour", "is_home", "Opponent")
+            .withColumn("_o", F.explode(off_arr))
+            .select("*", F.col("_o.comparison").alias("comparison"),
+                    F.date_add("match_date", F.col("_o.offset")).alias("_day"))
+            .drop("_o"))
+
+
 def comparison_days(data: DataFrame, calendar: DataFrame, labels=None) -> DataFrame:
     """Stop-time rows tagged with (match, comparison day) for the match
     day, the days before/after and the weeks before/after - all matches."""
-    offs = K.COMPARISON_OFFSETS if labels is None else [o for o in K.COMPARISON_OFFSETS
-                                                        if o[0] in labels]
-    off_arr = F.array(*[F.struct(F.lit(lbl).alias("comparison"), F.lit(d).alias("offset"))
-                        for lbl, d in offs])
-    cal = (calendar.select(MATCH_KEY, "match_date", "kickoff_hour", "is_home", "Opponent")
-           .withColumn("_o", F.explode(off_arr))
-           .select("*", F.col("_o.comparison").alias("comparison"),
-                   F.date_add("match_date", F.col("_o.offset")).alias("_day"))
-           .drop("_o"))
-    return (data.join(dimension(cal), F.to_date("current_stop_departure") == F.col("_day"))
+    return (data.join(dimension(comparison_calendar(calendar, labels)),
+                      F.to_date("current_stop_departure") == F.col("_day"))
             .drop("_day"))
 
 
 def match_day_cells(data: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per (match, comparison day, hour) for match day and week before:
     sum and count of known delays and the row count."""
-    tagged = comparison_days(data.select("current_stop_departure", DELAY), calendar,
-                             labels=("Match Day", "Week Before"))
-    return (tagged.groupBy(MATCH_KEY, "kickoff_hour", "is_home", "comparison",
-                           F.hour("current_stop_departure").alias("hour"))
-            .agg(F.sum(DELAY).alias("s"), F.count(DELAY).alias("c"),
-                 F.count(F.lit(1)).alias("n")))
+    days = comparison_calendar(calendar, ("Match Day", "Week Before"))
+    return (hour_cells(data).join(dimension(days), F.col("day") == F.col("_day"))
+            .groupBy(MATCH_KEY, "kickoff_hour", "is_home", "comparison", "hour")
+            .agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("n").alias("n")))
 
 
 def _is(label):
@@ -212,11 +240,11 @@ def match_windows(calendar: DataFrame) -> DataFrame:
 def match_hour_windows(data: DataFrame, calendar: DataFrame) -> DataFrame:
     """Hour cells of match day / week before inside each window
     (start <= hour < end, no wrap past midnight)."""
-    cells = match_day_cells(data, calendar).drop("kickoff_hour", "is_home")
-    w = match_windows(calendar)
-    cond = ((w[MATCH_KEY] == cells[MATCH_KEY]) & (cells["hour"] >= w["start_hour"])
-            & (cells["hour"] < w["end_hour"]))
-    return w.join(cells, cond, "left").drop(cells[MATCH_KEY])
+    # both sides come from the calendar: the cells' key gets a name of its own
+    cells = match_day_cells(data, calendar).drop("kickoff_hour", "is_home").withColumnRenamed(MATCH_KEY, "_match")
+    cond = ((F.col(MATCH_KEY) == F.col("_match")) & (F.col("hour") >= F.col("start_hour"))
+            & (F.col("hour") < F.col("end_hour")))
+    return match_windows(calendar).join(cells, cond, "left").drop("_match")
 
 
 def match_window_stats(data: DataFrame, calendar: DataFrame) -> DataFrame:

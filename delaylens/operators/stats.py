@@ -125,7 +125,7 @@ SAMPLE_LEVELS_US = (3_600_000_000, 60_000_000, 1_000_000)   # hour, minute, seco
 
 
 def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_stop_departure",
-                  levels_us=SAMPLE_LEVELS_US) -> DataFrame:
+                  levels_us=SAMPLE_LEVELS_US, ties=("rt_trip_id", "gtfs_stop_sequence")) -> DataFrame:
     """IO10/O1: the newest ``n`` rows by departure (NULL departures last).
 
     ``orderBy().limit(n)`` would make every partition send its own top ``n``
@@ -156,7 +156,8 @@ def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_
         lo, hi = edge["b"] * width, (edge["b"] + 1) * width
     else:
         above = df.where(us >= hi)
-        boundary = df.where((us >= lo) & (us < hi)).orderBy(ts.desc()).limit(k)
+        # rows of one instant are taken in the order of ``ties``, so the same rows whatever the files
+        boundary = df.where((us >= lo) & (us < hi)).orderBy(ts.desc(), *[c for c in ties if c in df.columns]).limit(k)
         return above.unionByName(boundary)
     # only reached on the first level (each boundary bucket holds >= k rows):
     # fewer than n non-null rows - all of them, then NULL departures

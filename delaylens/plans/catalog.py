@@ -60,31 +60,17 @@ def register(key: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- domain views
-_HANDLES: dict = {}
-
-
-def _memo(spark: SparkSession, sf_dir: str, name: str, build):
-    """Reuse DataFrame handles (lazy plans, no cached data) per session and
-    scale, as an application keeps its loaded frames between queries."""
-    key = (spark, sf_dir, name)  # the session object itself: ids are never recycled
-    if key not in _HANDLES:
-        _HANDLES[key] = build()
-    return _HANDLES[key]
-
-
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return _memo(spark, sf_dir, "views", lambda: fixtures.load_views(spark, sf_dir))
+    return fixtures.load_views(spark, sf_dir)
 
 
 def prepared(spark, sf_dir) -> DataFrame:
-    return _memo(spark, sf_dir, "prepared", lambda: P.prepare_stop_times(views(spark, sf_dir)["st"]))
+    return P.prepare_stop_times(views(spark, sf_dir)["st"])
 
 
 def merged(spark, sf_dir) -> DataFrame:
-    def build():
-        v = views(spark, sf_dir)
-        return P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"])
-    return _memo(spark, sf_dir, "merged", build)
+    v = views(spark, sf_dir)
+    return P.stop_times_with_stops(P.with_stop_keys(v["st"]), v["stops"])
 
 
 # ------------------------------------------------------------- first slice
@@ -224,12 +210,12 @@ def q_high_water_mark(spark, sf_dir):
 @register("newest_sample", f"""
 SELECT rt_trip_id, gtfs_stop_id, {TS('current_stop_departure')} AS current_stop_departure,
        current_stop_dep_delay, gtfs_stop_sequence
-FROM st ORDER BY current_stop_departure DESC NULLS LAST LIMIT 300000
+FROM st ORDER BY current_stop_departure DESC NULLS LAST, rt_trip_id, gtfs_stop_sequence LIMIT 600
 """)
 def q_newest_sample(spark, sf_dir):
     st = views(spark, sf_dir)["st"].select("rt_trip_id", "gtfs_stop_id", "current_stop_departure",
                                            "current_stop_dep_delay", "gtfs_stop_sequence")
-    return S.newest_sample(st)
+    return S.newest_sample(st, 600)
 
 
 @register("filter_date_hours", f"""
@@ -282,29 +268,22 @@ from delaylens.operators import trips as T  # noqa: E402
 _ORDER = "PARTITION BY rt_trip_id ORDER BY gtfs_stop_sequence, current_stop_departure, gtfs_stop_id"
 
 _PROCESSED_SQL = f"""
-base AS (
-  SELECT *,
-    current_stop_departure + INTERVAL 1 SECOND * cast(round(current_stop_dep_delay) AS BIGINT) AS real_departure,
-    CASE WHEN current_stop_arr_delay IS NOT NULL
-         THEN current_stop_arrival + INTERVAL 1 SECOND * cast(round(current_stop_arr_delay) AS BIGINT)
-         ELSE current_stop_departure + INTERVAL 1 SECOND * cast(round(current_stop_dep_delay) AS BIGINT)
-    END AS real_arrival
+shifted AS (
+  SELECT *, row_number() OVER ({_ORDER}) AS place,
+         make_timestamp(epoch_us(current_stop_departure) + 1000000 * CAST(current_stop_dep_delay AS BIGINT)) AS real_departure,
+         if(current_stop_arr_delay IS NULL, real_departure,
+            make_timestamp(epoch_us(current_stop_arrival) + 1000000 * CAST(current_stop_arr_delay AS BIGINT))) AS real_arrival
   FROM __SRC__
 ),
-calc AS (
-  SELECT *,
-    lag(current_stop_departure) OVER ({_ORDER}) AS previous_stop_departure,
-    lag(current_stop_arrival) OVER ({_ORDER}) AS previous_stop_arrival,
-    lag(gtfs_stop_id) OVER ({_ORDER}) AS previous_stop_id,
-    lag(real_departure) OVER ({_ORDER}) AS real_previous_stop_departure
-  FROM base
-),
 processed AS (
-  SELECT *,
-    (epoch_us(real_arrival) - epoch_us(real_previous_stop_departure)) / 1e6 AS real_travel_time_seconds,
-    (epoch_us(current_stop_arrival) - epoch_us(previous_stop_departure)) / 1e6 AS planned_travel_time_seconds,
-    previous_stop_id || '_' || gtfs_stop_id AS section_id
-  FROM calc
+  SELECT here.* EXCLUDE (place), before.gtfs_stop_id AS previous_stop_id,
+         before.current_stop_arrival AS previous_stop_arrival, before.current_stop_departure AS previous_stop_departure,
+         before.real_departure AS real_previous_stop_departure,
+         (epoch_us(here.current_stop_arrival) - epoch_us(before.current_stop_departure)) / 1e6 AS planned_travel_time_seconds,
+         (epoch_us(here.real_arrival) - epoch_us(before.real_departure)) / 1e6 AS real_travel_time_seconds,
+         concat_ws('_', before.gtfs_stop_id, if(before.gtfs_stop_id IS NULL, NULL, here.gtfs_stop_id)) AS joined_ids,
+         nullif(joined_ids, '') AS section_id
+  FROM shifted here LEFT JOIN shifted before ON before.rt_trip_id = here.rt_trip_id AND before.place = here.place - 1
 )"""
 
 
@@ -313,12 +292,11 @@ def processed_sql(src: str = "st") -> str:
 
 
 @register("segments", f"""
-WITH s AS (SELECT rt_trip_id, gtfs_stop_id, gtfs_stop_sequence,
-                  lag(gtfs_stop_id) OVER ({_ORDER}) AS previous_stop_id FROM st)
-SELECT rt_trip_id, gtfs_stop_sequence, previous_stop_id, gtfs_stop_id AS current_stop_id,
-       previous_stop_id || '_' || gtfs_stop_id AS segment_id_full,
-       split_part(previous_stop_id, 'Z', 1) || '_' || split_part(gtfs_stop_id, 'Z', 1) AS segment_id_short
-FROM s WHERE previous_stop_id IS NOT NULL
+WITH numbered AS (SELECT rt_trip_id, gtfs_stop_id, gtfs_stop_sequence, row_number() OVER ({_ORDER}) AS place FROM st)
+SELECT b.rt_trip_id, b.gtfs_stop_sequence, a.gtfs_stop_id AS previous_stop_id, b.gtfs_stop_id AS current_stop_id,
+       concat(a.gtfs_stop_id, '_', b.gtfs_stop_id) AS segment_id_full,
+       concat(regexp_replace(a.gtfs_stop_id, 'Z.*', ''), '_', regexp_replace(b.gtfs_stop_id, 'Z.*', '')) AS segment_id_short
+FROM numbered a JOIN numbered b ON a.rt_trip_id = b.rt_trip_id AND b.place = a.place + 1
 """)
 def q_segments(spark, sf_dir):
     return T.segments(views(spark, sf_dir)["st"])
@@ -452,7 +430,7 @@ def calendar(spark, sf_dir) -> DataFrame:
 def _merged_cal(spark, sf_dir):
     v = views(spark, sf_dir)
     return (merged(spark, sf_dir),
-            _memo(spark, sf_dir, "calendar", lambda: EV.match_calendar(v["matches_raw"])))
+            EV.match_calendar(v["matches_raw"]))
 
 
 _FLAG_SQL = """

@@ -13,7 +13,7 @@ VIEWS = """
 st AS (
   SELECT
     cast(user_id AS VARCHAR) || '_' || cast(cast(ts AS DATE) AS VARCHAR) AS rt_trip_id,
-    'U' || cast(100 + (event_id * 7 + user_id) % 11 AS VARCHAR)
+    'U' || cast(100 + (event_id * 7 + user_id) % 27 AS VARCHAR)
       || CASE WHEN event_id % 13 = 0 THEN 'S1'
               ELSE 'Z' || cast(1 + user_id % 4 AS VARCHAR) || 'P' END AS gtfs_stop_id,
     ts AS current_stop_departure,
@@ -35,7 +35,7 @@ stops AS (
          n_name AS stop_name,
          cast(50.095 + 0.001 * n_nationkey AS DOUBLE) AS avg_latitude,
          cast(14.404 + 0.003 * n_nationkey AS DOUBLE) AS avg_longitude
-  FROM nation WHERE n_nationkey < 10
+  FROM nation
 ),
 matches_raw AS (
   SELECT * FROM (VALUES

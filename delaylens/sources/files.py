@@ -87,7 +87,15 @@ def stop_id_list(stops: DataFrame, column: str = "all_stop_ids") -> DataFrame:
 
 
 def high_water_mark_value(target: DataFrame):
-    """Newest departure of the target (one scalar) or None when empty."""
+    """Newest departure of the target (one scalar) or None when empty.
+
+    A target with a ``date`` column is read in its newest dates only: the
+    newest date comes from the partitions, departures from that date on.
+    """
+    if "date" in target.columns:
+        newest = target.agg(F.max("date").alias("d")).first()["d"]
+        if newest is not None:
+            target = target.where((F.col("date") >= F.lit(newest)) | F.col("date").isNull())
     row = target.agg(F.max("current_stop_departure").alias("m")).first()
     return None if row is None else row["m"]
 
@@ -98,8 +106,9 @@ def incremental_rows(target: DataFrame | None, source: DataFrame, exact: bool =
     Missing or empty target -> everything. By default the threshold is the
     original one: the mark plus one second, truncated to whole seconds, rows
     strictly after it. ``exact=True`` takes rows strictly after the mark.
-    The threshold is a literal, so it reaches the source scan (and date
-    partition pruning). The streaming form (ST1) also keeps late rows.
+    The threshold is a literal, so it reaches the source scan; a source with a
+    ``date`` column also gets the implied bound on it, which prunes date
+    partitions. The streaming form (ST1) also keeps late rows.
     """
     hwm = None if target is None else high_water_mark_value(target)
     if hwm is None:
@@ -107,6 +116,8 @@ def incremental_rows(target: DataFrame | None, source: DataFrame, exact: bool =
     lit = F.lit(hwm).cast("timestamp_ntz")
     threshold = lit if exact else F.date_trunc("second", F.timestamp_add("SECOND", F.lit(1), lit)) \
         .cast("timestamp_ntz")
+    if "date" in source.columns:
+        source = source.where((F.col("date") >= F.lit(hwm.date())) | F.col("date").isNull())
     return source.where(F.col("current_stop_departure") > threshold)
 
 
@@ -114,24 +125,21 @@ def incremental_load(spark: SparkSession, target_path: str, source: DataFrame,
                      exact: bool = False) -> DataFrame:
     """IO3+IO4: append the new rows to the Parquet table at ``target_path``
     (created on first use) and return the new rows' frame."""
-    try:
-        target = spark.read.parquet(target_path)
-    except Exception:  # no table yet
-        target = None
+    p = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+    exists = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    # a table that is there but cannot be read is an error, not a first load
+    target = spark.read.parquet(target_path) if exists else None
     new = incremental_rows(target, source, exact=exact)
     persist_stop_times(new, target_path)
     return new
 
 
-def balanced_for_write(df: DataFrame, partition_cols: Sequence[str],
-                       spread_col: str | None = "rt_trip_id") -> DataFrame:
-    """Range-partition rows on (partition columns, a spreading column) before
-    a ``partitionBy`` write: each task then holds a contiguous slice of few
-    dates (few files per date instead of one per task and date), and a hot
-    date is split over several tasks by the spreading column instead of
-    landing in one."""
-    cols = list(partition_cols) + ([spread_col] if spread_col and spread_col in df.columns else [])
-    return df.repartitionByRange(*cols) if cols else df
+def balanced_for_write(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
+    """Deal rows by the partition columns before a ``partitionBy`` write with
+    a REBALANCE hint: few files per date, and adaptive execution splits a hot
+    date over several tasks by measured size. No sampling pass, so the plan
+    below runs once."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_cols]) if partition_cols else df
 
 
 def persist_stop_times(df: DataFrame, path: str, partition_by: Sequence[str] = ("date",),
@@ -166,7 +174,7 @@ def load_stop_times(raw: DataFrame, path: str) -> None:
 def hourly_stats_table(prepared: DataFrame, path: str) -> None:
     """IO16: D1 stored as a Parquet table partitioned by date; date/hour
     lookups prune partitions instead of using an index."""
-    (balanced_for_write(hourly_stats(prepared), ["date"], spread_col="gtfs_stop_id")
+    (balanced_for_write(hourly_stats(prepared), ["date"])
      .write.mode("overwrite").partitionBy("date").parquet(path))
 
 
@@ -209,11 +217,14 @@ def upsert_stops(existing: DataFrame, updates: DataFrame, key: str = "base_stop_
                  order_col: str | None = None) -> DataFrame:
     """IO11: insert new keys, replace existing ones (by column name).
 
-    Several updates of one key keep the greatest ``order_col`` (or an
-    arbitrary one when no order is given).
+    Several updates of one key keep the greatest ``order_col``, the last one
+    written. Rows of a DataFrame have no order of their own: without
+    ``order_col`` a repeated key is an error.
     """
     if order_col is None:
-        upd = updates.dropDuplicates([key])
+        if updates.groupBy(key).count().where(F.col("count") > 1).limit(1).count():
+            raise ValueError(f"several updates of one {key}: name the column that orders them")
+        upd = updates
     else:
         upd = (updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), F.col(order_col)).alias("_r"))
                .select("_r.*"))

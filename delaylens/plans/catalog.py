@@ -827,14 +827,20 @@ def q_predict_short_term(spark, sf_dir):
 
 
 # segments: history = segment rows of the merged stop times
-_H_SEG_EDGE = f"""{processed_sql('merged')},
+# (three platform ids by stop sequence, so that segments repeat often enough to have populated cells)
+_DENSE = """dense AS (
+  SELECT * REPLACE ('U' || cast(100 + gtfs_stop_sequence % 3 AS VARCHAR) || 'Z1P' AS gtfs_stop_id) FROM merged)"""
+
+_H_SEG_EDGE = f"""{_DENSE},
+{processed_sql('dense')},
 h AS (SELECT split_part(previous_stop_id, 'Z', 1) || '_' || split_part(gtfs_stop_id, 'Z', 1) AS segment_id_short,
              gtfs_direction_id, current_stop_departure AS ts,
              epoch_us(real_arrival) - epoch_us(real_previous_stop_departure) AS v
       FROM processed WHERE previous_stop_id IS NOT NULL AND current_stop_departure IS NOT NULL)"""
 
-_H_SEG_TRIP = f"""{processed_sql('merged')},
-sg AS (SELECT rt_trip_id, lag(gtfs_stop_id) OVER ({_ORDER}) AS p, gtfs_stop_id AS c FROM merged),
+_H_SEG_TRIP = f"""{_DENSE},
+{processed_sql('dense')},
+sg AS (SELECT rt_trip_id, lag(gtfs_stop_id) OVER ({_ORDER}) AS p, gtfs_stop_id AS c FROM dense),
 h AS (SELECT split_part(sg.p, 'Z', 1) || '_' || split_part(sg.c, 'Z', 1) AS segment_id_short,
              processed.gtfs_direction_id, processed.current_stop_departure AS ts,
              epoch_us(processed.real_arrival) - epoch_us(processed.real_previous_stop_departure) AS v
@@ -844,8 +850,14 @@ h AS (SELECT split_part(sg.p, 'Z', 1) || '_' || split_part(sg.c, 'Z', 1) AS segm
 _SEG = ["segment_id_short"]
 
 
-def _seg_history(spark, sf_dir, mode):
+def _dense_history(spark, sf_dir):
     m, cal = _history(spark, sf_dir)
+    dense = F.concat(F.lit("U"), (F.lit(100) + F.col("gtfs_stop_sequence") % 3).cast("string"), F.lit("Z1P"))
+    return m.withColumn("gtfs_stop_id", dense), cal
+
+
+def _seg_history(spark, sf_dir, mode):
+    m, cal = _dense_history(spark, sf_dir)
     return T.segment_rows(m, mode), cal
 
 
@@ -861,7 +873,7 @@ def q_predict_segment(spark, sf_dir):
 @register("predict_segment_trip", _pred_query(_SEG, "open", extra_ctes=_slot_sql(_SEG),
                                               label="travel_time", hist=_H_SEG_TRIP, scale=" / 1e6"))
 def q_predict_segment_trip(spark, sf_dir):
-    m, cal = _history(spark, sf_dir)
+    m, cal = _dense_history(spark, sf_dir)
     rows, sig = T.trip_mode_samples(m, ())
     return PR.predict_trip_mode(rows, sig, PR.trip_mode_slot_targets(rows, sig), _SEG, calendar=cal,
                                 recent_mode="open")

@@ -86,7 +86,7 @@ def hourly_trends(merged: DataFrame, dates=None) -> DataFrame:
 
 def stop_map(merged: DataFrame, hour_range=(0, 24), date=None) -> DataFrame:
     """D6 (+P10, P11): per date and station: mean position, name, mean delay
-    (NULL as 0), its colour class and minutes."""
+    (NULL as 0), its colour class and minutes, and the marker's tooltip where it has a position."""
     f = filter_date_hours(merged.select("date", "current_stop_departure", DELAY, "base_stop_id",
                                         "stop_name", "avg_latitude", "avg_longitude"),
                           date=date, hour_range=hour_range)
@@ -95,8 +95,13 @@ def stop_map(merged: DataFrame, hour_range=(0, 24), date=None) -> DataFrame:
                 F.avg("avg_longitude").alias("avg_longitude"),
                 F.min("stop_name").alias("stop_name"),
                 F.avg(DELAY).alias("avg_delay")))
+    seconds = F.bround("avg_delay", 0).cast("bigint").cast("string")
+    minutes = (F.bround(C.to_minutes("avg_delay") * 100, 0).cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string")
+    tooltip = F.concat("stop_name", F.lit(" - Avg Delay: "), seconds, F.lit(" secs ("), minutes, F.lit(" mins)"))
     return agg.withColumns({"color": C.delay_color("avg_delay"),
-                            "avg_delay_min": C.to_minutes("avg_delay")})
+                            "avg_delay_min": C.to_minutes("avg_delay"),
+                            "tooltip": F.when(F.col("avg_latitude").isNotNull() & F.col("avg_longitude").isNotNull(),
+                                              tooltip)})
 
 
 def heatmap_points(stop_map_df: DataFrame) -> DataFrame:
@@ -125,8 +130,9 @@ SAMPLE_LEVELS_US = (3_600_000_000, 60_000_000, 1_000_000)   # hour, minute, seco
 
 
 def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_stop_departure",
-                  levels_us=SAMPLE_LEVELS_US, ties=("rt_trip_id", "gtfs_stop_sequence")) -> DataFrame:
-    """IO10/O1: the newest ``n`` rows by departure (NULL departures last).
+                  levels_us=SAMPLE_LEVELS_US, ties=("rt_trip_id", "gtfs_stop_sequence"), ordered: bool = False) -> DataFrame:
+    """IO10/O1: the newest ``n`` rows by departure (NULL departures last);
+    ``ordered`` also returns them in that order (a range-partitioned sort).
 
     ``orderBy().limit(n)`` would make every partition send its own top ``n``
     rows to one final task. Instead the exact cutoff is located with
@@ -137,6 +143,7 @@ def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_
     row (boundary bucket and the count above it) to the driver.
     """
     ts = F.col(ts_col)
+    order = [ts.desc_nulls_last(), *[c for c in ties if c in df.columns]]
     us = F.unix_micros(ts.cast("timestamp"))
     lo = hi = None                       # current candidate range [lo, hi) in micros
     k = n
@@ -157,10 +164,12 @@ def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_
     else:
         above = df.where(us >= hi)
         # rows of one instant are taken in the order of ``ties``, so the same rows whatever the files
-        boundary = df.where((us >= lo) & (us < hi)).orderBy(ts.desc(), *[c for c in ties if c in df.columns]).limit(k)
-        return above.unionByName(boundary)
+        boundary = df.where((us >= lo) & (us < hi)).orderBy(*order).limit(k)
+        sample = above.unionByName(boundary)
+        return sample.orderBy(*order) if ordered else sample
     # only reached on the first level (each boundary bucket holds >= k rows):
     # fewer than n non-null rows - all of them, then NULL departures
     taken = df.where(ts.isNotNull())
     nulls = df.where(ts.isNull()).limit(max(k - taken.count(), 0))
-    return taken.unionByName(nulls)
+    sample = taken.unionByName(nulls)
+    return sample.orderBy(*order) if ordered else sample

@@ -97,6 +97,13 @@ def with_next_stop(stop_times: DataFrame) -> DataFrame:
             .withColumn("next_stop", F.lead("gtfs_stop_id").over(trip_order())).drop(TRIP_KEY))
 
 
+def in_trip_order(df: DataFrame) -> DataFrame:
+    """O2: rows by trip, then stop sequence (departure and platform break ties);
+    a range-partitioned sort, for results that are shown or written in order."""
+    keys = [TRIP, "gtfs_stop_sequence", "current_stop_departure", "gtfs_stop_id", "current_stop_id"]
+    return df.orderBy(*[c for c in keys if c in df.columns])
+
+
 def trip_segment_summary(processed: DataFrame, trip_id: str | None = None) -> DataFrame:
     """Per (trip, section): first planned/real start and last planned/real
     end along the stop sequence (NULLs skipped), travel times and start delay.

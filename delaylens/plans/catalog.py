@@ -168,7 +168,10 @@ SELECT {D('date')} AS date, base_stop_id, {R('avg_latitude')} AS avg_latitude,
        CASE WHEN avg_delay <= 60 THEN 'green' WHEN avg_delay <= 120 THEN 'yellow'
             WHEN avg_delay <= 180 THEN 'orange' WHEN avg_delay <= 300 THEN 'red'
             ELSE 'darkred' END AS color,
-       {R('avg_delay / 60.0')} AS avg_delay_min
+       {R('avg_delay / 60.0')} AS avg_delay_min,
+       CASE WHEN avg_latitude IS NOT NULL AND avg_longitude IS NOT NULL THEN
+         stop_name || ' - Avg Delay: ' || cast(cast(round_even(avg_delay, 0) AS BIGINT) AS VARCHAR) || ' secs ('
+         || cast(cast(round_even(avg_delay / 60.0, 2) AS DECIMAL(18, 2)) AS VARCHAR) || ' mins)' END AS tooltip
 FROM m
 """)
 def q_stop_map(spark, sf_dir):
@@ -491,12 +494,6 @@ def q_event_stats(spark, sf_dir):
     return EV.event_stats(*_merged_cal(spark, sf_dir))
 
 
-@register("welch_test")
-def q_welch_test(spark, sf_dir):
-    return EV.event_stats(*_merged_cal(spark, sf_dir), with_p_value=True).select(
-        "is_event", "t_statistic", "welch_dof", "p_value")
-
-
 @register("cohens_d", f"""
 WITH q AS ({_EVENT_STATS_SQL.strip()})
 SELECT is_event, effect_size FROM q
@@ -1178,9 +1175,5 @@ def q_time_features(spark, sf_dir):
     return P.with_time_features(st)
 
 
-@register("matches_from_html")
-def q_matches_from_html(spark, sf_dir):
-    # every stored page is scanned for match-list row blocks (whole texts);
-    # the test pages carry navigation lists but no match rows
-    pages = fixtures.read_table(spark, sf_dir, "pages").select("page_id", "html")
-    return PX.matches_from_html(pages)
+
+from delaylens.plans import calendar_catalog  # noqa: E402,F401

@@ -12,8 +12,12 @@ direction) uses
   match day.
 
 Targets are rows of a DataFrame, so a whole grid (or every stop and
-direction) is answered by one aggregation, one equi-join and one recent-
-window pass instead of two scans of the history per target.
+direction) is answered at once instead of with two scans of the history per
+target. Cells, observed target slots and recent sums can all be read from the
+history counted by (keys, minute, value), ``minute_counts``: one scan and one
+map-side-combined aggregation, written once, whose size is bounded by the keys,
+the minutes covered and the range of values. That is exact for targets on whole
+minutes; for others pass the raw rows.
 """
 
 from __future__ import annotations
@@ -29,10 +33,30 @@ from delaylens.functions import columns as C
 from delaylens.functions.joins import dimension
 from delaylens.session import cut_lineage
 from delaylens.functions.tdist import t975
-from delaylens.operators.windows import recent_window_sums
+from delaylens.operators.windows import ROWS, recent_window_sums
 
 TARGET = "target_ts"
-GRID_BROADCAST_ROWS = 2_000_000   # grid targets broadcast to the history join up to this many
+
+
+def minute_counts(history: DataFrame, keys: Sequence[str] = (), value_col: str = "current_stop_dep_delay",
+                  ts_col: str = "current_stop_departure") -> DataFrame:
+    """History as (keys, minute, value) with the number of rows, in the checkpoint folder.
+
+    Rows without a departure go; null values stay counted. Usable wherever
+    this module takes a history, for targets on whole minutes.
+    """
+    minute = F.date_trunc("minute", ts_col).cast("timestamp_ntz")
+    return cut_lineage(history.where(F.col(ts_col).isNotNull())
+                       .groupBy(*keys, minute.alias(ts_col), value_col)
+                       .agg(F.count(F.lit(1)).alias(ROWS)))
+
+
+def _reduced(history: DataFrame, keys: Sequence[str], value_col: str, start) -> DataFrame:
+    """``minute_counts`` of raw rows if the grid starts on a whole minute, else the history as it is."""
+    s = _ts(start)
+    if ROWS in history.columns or s.second or s.microsecond:
+        return history
+    return minute_counts(history, keys, value_col)
 
 
 def cell_stats(history: DataFrame, keys: Sequence[str] = (), value_col: str = "current_stop_dep_delay",
@@ -41,17 +65,34 @@ def cell_stats(history: DataFrame, keys: Sequence[str] = (), value_col: str = "c
     """M1: per (hour, weekday, *keys): n (all rows), mean, std, median; n >= min_sample.
 
     ``approx_median`` swaps the exact median (a value->count map per cell)
-    for ``percentile_approx`` when cells hold very many distinct values.
+    for ``percentile_approx`` when cells hold very many distinct values; it
+    needs raw rows, not ``minute_counts``.
     """
     v = F.col(value_col)
-    med = F.percentile_approx(v, 0.5, 10000) if approx_median else F.median(v)
     g = (history.where(F.col(ts_col).isNotNull())
-         .groupBy(F.hour(ts_col).alias("hour"), C.weekday(ts_col).alias("weekday"), *keys)
-         .agg(F.count(F.lit(1)).alias("sample_size"),
-              F.avg(v).alias("base_mean"),
-              F.stddev_samp(v).alias("std"),
-              med.cast("double").alias("median")))
-    return g.where(F.col("sample_size") >= min_sample)
+         .groupBy(F.hour(ts_col).alias("hour"), C.weekday(ts_col).alias("weekday"), *keys))
+    if ROWS in history.columns:
+        if approx_median:
+            raise ValueError("approx_median needs raw rows, not minute_counts")
+        cells = _counted_stats(g, v)
+    else:
+        med = F.percentile_approx(v, 0.5, 10000) if approx_median else F.median(v)
+        cells = g.agg(F.count(F.lit(1)).alias("sample_size"),
+                      F.avg(v).alias("base_mean"),
+                      F.stddev_samp(v).alias("std"),
+                      med.cast("double").alias("median"))
+    return cells.where(F.col("sample_size") >= min_sample)
+
+
+def _counted_stats(grouped, v) -> DataFrame:
+    """The same four statistics from counted values; sums of whole numbers are exact."""
+    n = F.col(ROWS)
+    known = F.sum(F.when(v.isNotNull(), n))
+    total, squares = F.sum(v * n), F.sum(v.cast("double") * v * n)
+    mean = total / known
+    var = F.when(known > 1, F.greatest(squares - total * mean, F.lit(0.0)) / (known - 1))
+    return grouped.agg(F.sum(n).alias("sample_size"), mean.alias("base_mean"), F.sqrt(var).alias("std"),
+                       F.percentile(v, 0.5, n).cast("double").alias("median"))
 
 
 def confidence_interval(cells: DataFrame) -> DataFrame:
@@ -74,17 +115,17 @@ def match_dates(calendar: DataFrame | None) -> DataFrame | None:
 def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
             value_col: str = "current_stop_dep_delay", ts_col: str = "current_stop_departure",
             calendar: DataFrame | None = None, recent_mode: str = "bounded",
-            label: str = "delay", approx_median: bool = False, unit_divisor: float | None = None,
-            broadcast_targets: int | None = None) -> DataFrame:
+            label: str = "delay", approx_median: bool = False, unit_divisor: float | None = None) -> DataFrame:
     """M5 (and M8 with travel times): one row per predictable target.
 
     ``targets`` has ``target_ts`` plus the ``keys`` columns. ``recent_mode``
     ``bounded`` uses [t-60min, t); ``open`` keeps the original filter
     (departure >= t-60min, no upper bound), which lets past targets see later
-    rows.
+    rows. ``history`` holds raw rows or their ``minute_counts``.
     """
     keys = list(keys)
-    hist = history.select(*keys, ts_col, value_col).where(F.col(ts_col).isNotNull())
+    counted = [ROWS] if ROWS in history.columns else []
+    hist = history.select(*keys, ts_col, value_col, *counted).where(F.col(ts_col).isNotNull())
     cells = cell_stats(hist, keys, value_col, ts_col, approx_median=approx_median)
     if unit_divisor is not None:
         cells = cells.withColumns({c: F.col(c) / F.lit(float(unit_divisor))
@@ -94,8 +135,7 @@ def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
     tg = tg.withColumns({"hour": F.hour(TARGET), "weekday": C.weekday(TARGET)})
     base = tg.join(cells, ["hour", "weekday", *keys], "inner")
     recent = recent_window_sums(hist, tg.select(*keys, TARGET), keys, value_col, ts_col=ts_col,
-                                target_col=TARGET, minutes=K.RECENT_WINDOW_MINUTES, mode=recent_mode,
-                                broadcast_rows=broadcast_targets)
+                                target_col=TARGET, minutes=K.RECENT_WINDOW_MINUTES, mode=recent_mode)
     out = base.join(recent, [*keys, TARGET], "inner")
     md = match_dates(calendar)
     if md is not None:
@@ -233,19 +273,19 @@ def predict_weekly(history: DataFrame, keys_df: DataFrame, start, keys: Sequence
                    interval_minutes: int = 15, min_reliability: float = 0.0,
                    calendar: DataFrame | None = None, recent_mode: str = "bounded",
                    value_col: str = "current_stop_dep_delay", label: str = "delay",
-                   unit_divisor: float | None = None,
-                   broadcast_targets: int | None = GRID_BROADCAST_ROWS) -> DataFrame:
+                   unit_divisor: float | None = None, reduce: bool = True) -> DataFrame:
     """M6: a week of targets from ``start`` floored to the hour, with day name
     and time period, keeping predictions at or above ``min_reliability``.
 
-    Grid targets are few (points x keys): by default they are broadcast to
-    the history join once a bounded count proves it, so the history is never
-    shuffled for the recent window."""
+    ``keys_df`` names the keys, best a dimension such as the stops: keys
+    without history give no rows. The raw history is read once, into
+    ``minute_counts`` (``reduce=False``: used as it is)."""
+    if reduce:
+        history = _reduced(history, keys, value_col, grid_times(start, 0, floor_to_hour=True)[0])
     tg = with_grid(_key_rows(history, keys_df, keys), start, 24 * 7, interval_minutes,
                    floor_to_hour=True)
     p = predict(history, tg, keys, value_col=value_col, calendar=calendar,
-                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor,
-                broadcast_targets=broadcast_targets)
+                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor)
     return (p.where(F.col("reliability") >= min_reliability)
             .withColumns({"day_name": C.day_name("datetime"),
                           "time_period": C.time_period(F.hour("datetime"))}))
@@ -255,13 +295,13 @@ def predict_short_term(history: DataFrame, keys_df: DataFrame, start, keys: Sequ
                        interval_minutes: int = 15, duration_hours: int = 3,
                        calendar: DataFrame | None = None, recent_mode: str = "bounded",
                        value_col: str = "current_stop_dep_delay", label: str = "delay",
-                       unit_divisor: float | None = None,
-                       broadcast_targets: int | None = GRID_BROADCAST_ROWS) -> DataFrame:
+                       unit_divisor: float | None = None, reduce: bool = True) -> DataFrame:
     """M7/M9: targets every ``interval`` minutes for ``duration`` hours from
-    ``start`` (not floored): time, mean and interval bounds (grid targets are
-    broadcast under a proven bound, as in ``predict_weekly``)."""
+    ``start`` (not floored): time, mean and interval bounds; keys and history
+    as in ``predict_weekly``."""
+    if reduce:
+        history = _reduced(history, keys, value_col, start)
     tg = with_grid(_key_rows(history, keys_df, keys), start, duration_hours, interval_minutes)
     p = predict(history, tg, keys, value_col=value_col, calendar=calendar,
-                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor,
-                broadcast_targets=broadcast_targets)
+                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor)
     return p.select(*keys, "datetime", f"mean_{label}", "confidence_lower", "confidence_upper")

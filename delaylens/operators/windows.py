@@ -19,10 +19,10 @@ by W:
   time span, not by the row count), and only the single bucket holding
   t-W is joined row by row.
 
-Targets are usually small (a grid); the bucketed target table is broadcast
-after a bounded count proves it small, so the history is joined where it
-lies and never shuffled; beyond the bound the planner shuffles both sides. Hot keys cannot overload one task: the only per-key state is the
-per-bucket aggregate table, whose size is bounded by the time span.
+The history may hold raw rows or counted ones (a column ``_rows``): counted by
+minute and value it is bounded by the time span, so that one hour of a hot key,
+or of all rows where there are no keys, is no larger than 60 minutes times the
+range of values. The planner picks the join by the sizes it measures.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions.columns import epoch_us
-from delaylens.functions.joins import broadcast_if_small, dimension
+
+ROWS = "_rows"  # rows that a counted history row stands for
 
 
 def _bucket(us_col, width_us: int):
@@ -43,16 +44,16 @@ def _bucket(us_col, width_us: int):
 def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[str],
                        value_col: str, ts_col: str = "current_stop_departure",
                        target_col: str = "target_ts", minutes: int = 60,
-                       mode: str = "bounded", broadcast_rows: int | None = 1_000_000) -> DataFrame:
+                       mode: str = "bounded") -> DataFrame:
     """Return ``targets`` (keys + target_col, expected distinct) with
     ``recent_n`` (rows), ``recent_sum`` and ``recent_cnt`` (non-null values)
-    of the window. A broadcast hint on ``targets`` carries over to the joins
-    with the history."""
+    of the window."""
     if mode not in ("bounded", "open"):
         raise ValueError(f"unknown mode {mode!r}")
     keys = list(keys)
     width = minutes * 60 * 1_000_000
-    hist = (history.select(*keys, epoch_us(ts_col).alias("_us"),
+    n = F.col(ROWS) if ROWS in history.columns else F.lit(1)
+    hist = (history.select(*keys, epoch_us(ts_col).alias("_us"), n.cast("bigint").alias("_n"),
                            F.col(value_col).cast("double").alias("_v"))
             .where(F.col("_us").isNotNull())
             .withColumn("_b", _bucket(F.col("_us"), width)))
@@ -62,20 +63,15 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
            .withColumn("_bx", _bucket(F.col("_x"), width)))
     ident = keys + [target_col]
 
-    def small(df):
-        # the one join with raw history rows: broadcast the target side when
-        # a bounded count proves it small, so history rows stay where they are
-        return dimension(df) if broadcast_rows is None else broadcast_if_small(df, broadcast_rows)
-
-    def sums(df, prefix=""):
-        return [F.count(F.lit(1)).alias(f"{prefix}n"), F.sum("_v").alias(f"{prefix}s"),
-                F.count("_v").alias(f"{prefix}c")]
+    def sums(prefix=""):
+        return [F.sum("_n").alias(f"{prefix}n"), F.sum(F.col("_v") * F.col("_n")).alias(f"{prefix}s"),
+                F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias(f"{prefix}c")]
 
     if mode == "bounded":
         tb = tgt.withColumn("_b", F.explode(F.array(F.col("_bx"), F.col("_bx") + 1)))
-        j = (hist.join(small(tb.select(*ident, "_b", "_x", "_t")), keys + ["_b"])
+        j = (hist.join(tb.select(*ident, "_b", "_x", "_t"), keys + ["_b"])
              .where((F.col("_us") >= F.col("_x")) & (F.col("_us") < F.col("_t"))))
-        part = j.groupBy(*ident).agg(*sums(j))
+        part = j.groupBy(*ident).agg(*sums())
         out = tgt.select(*ident).join(part, ident, "left")
         return out.select(*ident,
                           F.coalesce("n", F.lit(0)).alias("recent_n"),
@@ -84,10 +80,10 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
 
     # open: [x, inf) = rows of bucket(x) with ts >= x  +  all later buckets
     tb = tgt.select(*ident, F.col("_bx").alias("_b"), "_x")
-    j = (hist.join(small(tb), keys + ["_b"]).where(F.col("_us") >= F.col("_x")))
-    part = j.groupBy(*ident).agg(*sums(j, "p_"))
+    j = (hist.join(tb, keys + ["_b"]).where(F.col("_us") >= F.col("_x")))
+    part = j.groupBy(*ident).agg(*sums("p_"))
 
-    per_bucket = hist.groupBy(*keys, "_b").agg(*sums(hist), F.lit(0).alias("_marker"))
+    per_bucket = hist.groupBy(*keys, "_b").agg(*sums(), F.lit(0).alias("_marker"))
     markers = (tgt.select(*keys, F.col("_bx").alias("_b")).distinct()
                .withColumns({"n": F.lit(0).cast("bigint"), "s": F.lit(None).cast("double"),
                              "c": F.lit(0).cast("bigint"), "_marker": F.lit(1)}))

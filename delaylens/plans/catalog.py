@@ -750,7 +750,8 @@ def q_confidence_interval(spark, sf_dir):
 
 def _predict_global(spark, sf_dir, mode):
     m, cal = _history(spark, sf_dir)
-    return PR.predict(m, PR.hour_slot_targets(m), [], calendar=cal, recent_mode=mode)
+    counts = PR.minute_counts(m)
+    return PR.predict(counts, PR.hour_slot_targets(counts), [], calendar=cal, recent_mode=mode)
 
 
 @register("predict_stop_delay", _pred_query([], "bounded", extra_ctes=_slot_sql([])))
@@ -769,7 +770,8 @@ _SD = ["base_stop_id", "gtfs_direction_id"]
 @register("predict_stop_direction", _pred_query(_SD, "bounded", extra_ctes=_slot_sql(_SD)))
 def q_predict_stop_direction(spark, sf_dir):
     m, cal = _history(spark, sf_dir)
-    return PR.predict(m, PR.hour_slot_targets(m, _SD), _SD, calendar=cal, recent_mode="bounded")
+    counts = PR.minute_counts(m, _SD)
+    return PR.predict(counts, PR.hour_slot_targets(counts, _SD), _SD, calendar=cal, recent_mode="bounded")
 
 
 @register("error_correction", _pred_query([], "bounded", extra_ctes=_slot_sql([])).replace(
@@ -807,7 +809,7 @@ FROM pred WHERE reliability >= 0.0
 """)
 def q_predict_weekly(spark, sf_dir):
     m, cal = _history(spark, sf_dir)
-    return PR.predict_weekly(m, m, WEEK_START, ["base_stop_id"], calendar=cal)
+    return PR.predict_weekly(m, views(spark, sf_dir)["stops"], WEEK_START, ["base_stop_id"], calendar=cal)
 
 
 @register("predict_short_term", f"""
@@ -820,7 +822,7 @@ FROM pred
 """)
 def q_predict_short_term(spark, sf_dir):
     m, cal = _history(spark, sf_dir)
-    return PR.predict_short_term(m, m, SHORT_START, ["base_stop_id"], calendar=cal)
+    return PR.predict_short_term(m, views(spark, sf_dir)["stops"], SHORT_START, ["base_stop_id"], calendar=cal)
 
 
 # segments: history = segment rows of the merged stop times
@@ -889,7 +891,7 @@ def q_predict_segment_short_term(spark, sf_dir):
     rows = PR.narrow_history(rows, _SEG, "real_travel_time_us")
     return PR.predict_short_term(rows, rows, SHORT_START, _SEG, calendar=cal,
                                  value_col="real_travel_time_us", label="travel_time",
-                                 unit_divisor=1e6)
+                                 unit_divisor=1e6, reduce=False)
 
 
 # ------------------------------------------------------- sources and sinks

@@ -66,11 +66,15 @@ def _brute(rows, targets, keys, mode, match_days=()):
 
 @pytest.mark.parametrize("keys", [(), ("base_stop_id",), ("base_stop_id", "gtfs_direction_id")])
 @pytest.mark.parametrize("mode", ["bounded", "open"])
-def test_predict_matches_brute_force(spark, keys, mode):
+@pytest.mark.parametrize("counted", [False, True])
+def test_predict_matches_brute_force(spark, keys, mode, counted):
     rows = _history(7)
     hist = spark.createDataFrame(rows, "base_stop_id string, gtfs_direction_id int, "
                                        "current_stop_departure timestamp_ntz, current_stop_dep_delay int")
-    times = [dt.datetime(2024, 1, 8, 8, 20), dt.datetime(2024, 1, 8, 8, 0), dt.datetime(2024, 1, 9, 13, 45, 12),
+    if counted:  # exact for targets on whole minutes
+        hist = PR.minute_counts(hist, list(keys))
+    times = [dt.datetime(2024, 1, 8, 8, 20), dt.datetime(2024, 1, 8, 8, 0),
+             dt.datetime(2024, 1, 9, 13, 45, 0 if counted else 12),
              dt.datetime(2024, 1, 3, 0, 0), dt.datetime(2024, 1, 15, 8, 30)]
     key_vals = {(): [()], ("base_stop_id",): [("U0",), ("U1",), ("U2",)],
                 ("base_stop_id", "gtfs_direction_id"): [("U0", 0), ("U1", 1), ("U2", 0)]}[keys]

@@ -8,9 +8,13 @@ back to none. A url's score is the difference of its two log likelihoods
 divided by its length; the threshold is calibrated on held-out urls that rules
 decide (a fifth, by crc32), where it makes the mean of both classes' errors least.
 
-Counts cover every url that a rule decides. They are kept in a table of
-``Params.slots`` hashed slots: tasks add up their own, Spark sums them by slot,
-and that table, whose size does not depend on the data, is broadcast.
+Counts cover every url that a rule decides and that is not held out. They are a
+Spark table that grows with the urls: a row for each byte and longest context,
+under an exact key, added up in tasks first. Counts of shorter contexts are sums
+of these. The urls to be judged are dealt to chunks of bounded size; the distinct
+keys of each chunk are joined to the blended estimates and come back to the
+chunk, so no worker holds the table. At every context length at most 256 rows
+share a context and 257 a shorter key, so that no group of a join grows.
 
 Defined results: NULL urls are empty; without ``://`` host and path are empty and
 no rule fits; empty urls score 0; with no accepted or no rejected url to learn
@@ -24,10 +28,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import mix
+from delaylens.llm.common import materialise, slices
 
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -36,46 +41,53 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 @dataclass(frozen=True)
 class Params:
-    order: int = 5            # characters of context, at most
-    slots: int = 1 << 19
+    order: int = 5            # characters of context, at most (6 fit a key)
     strength: float = 2.0     # weight of the shorter contexts' estimate, in characters
     bins_per_unit: int = 400  # of the histogram that the threshold is chosen from
+    chunk_rows: int = 4096    # urls scored together, at most
+    chunk_bytes: int = 1 << 20
+
+    def __post_init__(self):
+        if not 0 <= self.order <= 6:
+            raise ValueError("a key holds contexts of 0 to 6 bytes")
 
 
 @dataclass(frozen=True)
 class Model:
     params: Params
-    counts: np.ndarray = field(repr=False)  # 2 x slots: rejected, accepted
+    counts: DataFrame = field(repr=False)  # key of the longest context and its byte, rejected, accepted
 
     def scores(self, urls: list[str]) -> np.ndarray:
-        """Log likelihood, accepted minus rejected, per byte."""
-        raw = [u.encode("utf-8", "surrogatepass") for u in urls]
-        row, contexts, characters = places(raw, self.params)
-        p = np.full((2, len(row)), 1 / 256)
-        a = self.params.strength
-        for context, character in zip(contexts, characters):
-            p = (self.counts[:, character] + a * p) / (self.counts[:, context] + a)
-        ratio = np.bincount(row, weights=np.log(p[1]) - np.log(p[0]), minlength=len(urls))
-        return ratio / np.maximum(np.fromiter(map(len, raw), np.int64, len(raw)), 1)
-
-
-def places(raw: list[bytes], params: Params) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Row of every byte and, for each context length, the slots of its context and of context and byte."""
+        """Log likelihood, accepted minus rejected, per byte, of a few urls."""
+        rows = self.counts.sparkSession.createDataFrame(list(enumerate(urls)), "row long, url string")
+        out = np.zeros(len(urls))
+        for r in with_scores(rows, self).collect():
+            out[r["row"]] = r["score"]
+        return out
+
+
+def key_base(n: int) -> int:
+    """Keys of ``n`` characters of context are below this; a longer key modulo it is its shorter one."""
+    return 256 * 257 ** n
+
+
+def places(raw: list[bytes], params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of every byte: the byte itself, then its context from the nearest character on, in base 257."""
     length = np.fromiter(map(len, raw), np.int64, len(raw))
-    points = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
+    points = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     row = np.repeat(np.arange(len(raw)), length)
     place = np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length)
-    h = np.full(len(points), 0x9E3779B97F4A7C15, np.uint64)
-    contexts, characters = [], []
-    for n in range(params.order + 1):
-        if n:  # one more character of context; 0 stands before the url's start
-            before = np.zeros(len(points), np.uint64)
-            before[n:] = points[: len(points) - n]
-            before[place < n] = 0
-            h = mix(h ^ (before + np.uint64(n << 16)))
-        contexts.append((mix(h ^ np.uint64(1 << 40)) % np.uint64(params.slots)).astype(np.int64))
-        characters.append((mix(h ^ (points << np.uint64(44))) % np.uint64(params.slots)).astype(np.int64))
-    return row, contexts, characters
+    keys = points.copy()
+    for n in range(1, params.order + 1):
+        before = np.zeros(len(points), np.int64)  # 0 stands before the url's start
+        before[n:] = points[: max(0, len(points) - n)] + 1
+        before[place < n] = 0
+        keys += before * key_base(n - 1)
+    return row, keys
+
+
+def raw_of(urls) -> list[bytes]:
+    return [(u or "").encode("utf-8", "surrogatepass") for u in urls.to_pylist()]
 
 
 def host(url: Column) -> Column:
@@ -105,40 +117,88 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def fit(decided: DataFrame, params: Params = Params()) -> Model:
-    """Count the contexts of all urls of ``decided`` (url, accepted)."""
+    """Count the bytes of all urls of ``decided`` (url, accepted) by their longest contexts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, params.slots), np.int64)
-        for batch in batches:
+        for batch in slices(batches, "url", params.chunk_bytes, params.chunk_rows):
             accepted = np.asarray(batch.column("accepted"), bool)
-            urls = np.array(batch.column("url").to_pylist(), object)
-            for k in (0, 1):
-                own = [u.encode("utf-8", "surrogatepass") for u in urls[accepted == bool(k)]]
-                _, contexts, characters = places(own, params)
-                for at in (*contexts, *characters):
-                    counts[k] += np.bincount(at, minlength=params.slots)
-        some = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some]) for c in counts)],
-                                         ["slot", "rejected", "accepted"])
-
-    table = (decided.select("url", "accepted").mapInArrow(run, "slot long, rejected long, accepted long")
-             .groupBy("slot").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")).toArrow())
-    counts = np.zeros((2, params.slots))
-    at = table.column("slot").to_numpy()
-    counts[0, at], counts[1, at] = table.column("rejected").to_numpy(), table.column("accepted").to_numpy()
+            row, keys = places(raw_of(batch.column("url")), params)
+            key, at = np.unique(keys, return_inverse=True)
+            n = [np.bincount(at[accepted[row] == bool(k)], minlength=len(key)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, n)], ["key", "rejected", "accepted"])
+
+    counts, _ = materialise(
+        summed(decided.select("url", "accepted").mapInArrow(run, "key long, rejected long, accepted long"), "key"),
+        "url-counts")
     return Model(params, counts)
 
 
+def summed(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted"))
+
+
+def ratios(counts: DataFrame, params: Params) -> DataFrame:
+    """key, ratio: log of the accepted model's blended estimate over the rejected model's, for every key of ``counts``."""
+    shorter = F.array(*(F.struct(F.lit(n).alias("n"), (F.col("key") % F.lit(key_base(n))).alias("key"))
+                        for n in range(params.order + 1)))
+    every = summed(counts.select(F.explode(shorter).alias("k"), "rejected", "accepted")
+                   .select("k.n", "k.key", "rejected", "accepted"), "n", "key")
+    context = Window.partitionBy("n", F.shiftright("key", 8))
+    known, _ = materialise(every.withColumn("all_rejected", F.sum("rejected").over(context))
+                           .withColumn("all_accepted", F.sum("accepted").over(context)), "url-contexts")
+    a, out = F.lit(params.strength), None
+    for n in range(params.order + 1):
+        here = known.where(F.col("n") == n)
+        if out is None:
+            here = here.withColumns({"p_rejected": F.lit(1 / 256), "p_accepted": F.lit(1 / 256)})
+        else:
+            here = (here.withColumn("shorter", F.col("key") % F.lit(key_base(n - 1)))
+                    .join(out.withColumnRenamed("key", "shorter"), "shorter"))
+        out = here.select("key", *(((F.col(k) + a * F.col(f"p_{k}")) / (F.col(f"all_{k}") + a)).alias(f"p_{k}")
+                                   for k in ("rejected", "accepted")))
+    return out.select("key", (F.log("p_accepted") - F.log("p_rejected")).alias("ratio"))
+
+
 def with_scores(urls: DataFrame, model: Model) -> DataFrame:
     """``urls`` (page_id, url, ...) with a column ``score``; other columns pass through."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
+    params, columns = model.params, urls.columns
+    typed = ", ".join(f"`{c}` {t}" for c, t in urls.dtypes)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array(shared.value.scores(batch.column("url").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+    def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for k, batch in enumerate(slices(batches, "url", params.chunk_bytes, params.chunk_rows)):
+            chunk = pa.array(np.full(batch.num_rows, first + k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, chunk], [*columns, "_chunk"])
 
-    return urls.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in urls.dtypes) + ", score double")
+    def wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column("_chunk").to_numpy()
+            for c in np.unique(chunk):
+                _, keys = places(raw_of(batch.column("url").filter(pa.array(chunk == c))), params)
+                keys = np.unique(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(keys)], ["_chunk", "key"])
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        raw = raw_of(rows.column("url"))
+        row, keys = places(raw, params)
+        key, at = np.unique(known.column("key").to_numpy(), return_index=True)
+        ratio = known.column("ratio").to_numpy()[at]
+        total = np.bincount(row, weights=ratio[np.searchsorted(key, keys)], minlength=len(raw))
+        length = np.maximum(np.fromiter(map(len, raw), np.int64, len(raw)), 1)
+        return rows.select(columns).append_column("score", pa.array(total / length))
+
+    # written once: the chunks stay the same whatever is run again
+    rows, _ = materialise(urls.mapInArrow(chunks, typed + ", _chunk long"), "url-chunks")
+    asked, _ = materialise(rows.select("url", "_chunk").mapInArrow(wanted, "_chunk long, key long"), "url-keys")
+    none = F.lit(0).cast("long")
+    counts = model.counts.unionByName(asked.select("key", none.alias("rejected"), none.alias("accepted")))
+    known = asked.join(ratios(counts, params), "key").select("_chunk", "key", "ratio")
+    return rows.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(score, typed + ", score double")
+
+
+def both_classes(model: Model) -> bool:
+    n = model.counts.agg(F.sum("rejected"), F.sum("accepted")).first()
+    return all(n)
 
 
 def calibrate(scored: DataFrame, params: Params = Params()) -> float:
@@ -165,7 +225,7 @@ def judge(pages: DataFrame, rules=RULES, params: Params = Params()) -> DataFrame
                .select("page_id", "url", (F.col("rule_verdict") == "allow").alias("accepted")))
     held_out = F.crc32(F.col("url").cast("binary")) % 5 == 0
     model = fit(decided.where(~held_out), params)
-    if model.counts.any(1).all():
+    if both_classes(model):
         threshold = calibrate(with_scores(decided.where(held_out), model), params)
     else:
         threshold = float("-inf")

@@ -161,6 +161,34 @@ def test_url_models_equal_counts_in_dictionaries(spark):
     assert good > 0 > bad
 
 
+def test_url_models_tell_all_contexts_apart(spark):
+    rnd = random.Random(8)
+    rows = [("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100)), i % 2 == 0) for i in range(3_000)]
+    params = urls.Params()
+    counts = [Counter(), Counter()]
+    for u, ok in rows:
+        for at in range(len(u)):
+            for n in range(params.order + 1):
+                context = (n, u[max(0, at - n): at])
+                counts[ok][context] += 1
+                counts[ok][context, u[at]] += 1
+    assert len(counts[0] | counts[1]) > 2 * (1 << 19)  # far more than any table of fixed size held
+    some = [u for u, _ in rows[::300]] + ["never/seen"]
+    want = []
+    for u in some:
+        total = 0.0
+        for at, c in enumerate(u):
+            p = [1 / 256, 1 / 256]
+            for n in range(params.order + 1):
+                context = (n, u[max(0, at - n): at])
+                p = [(counts[k][context, c] + params.strength * p[k]) / (counts[k][context] + params.strength) for k in (0, 1)]
+            assert 0 < min(p) and max(p) < 1
+            total += np.log(p[1]) - np.log(p[0])
+        want.append(total / len(u))
+    model = urls.fit(spark.createDataFrame(rows, "url string, accepted boolean"), params)
+    assert model.scores(some) == pytest.approx(want, abs=1e-9)
+
+
 def test_licenses_in_whole_parts_and_pieces(spark):
     texts = ["Released under the MIT License. MIT  license; mit-license", "Permission is hereby granted, free of any charge",
              "permission is granted hereby", "the GNU General Public License, version 3", "general public", None, "", "é MIT\nLICENSE",

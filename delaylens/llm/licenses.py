@@ -7,8 +7,10 @@ template would begin. Votes are counted by diagonal; one with a vote for every
 pair of its template is a whole occurrence. The others are merged with
 neighbouring diagonals (words put in or left out move the rest of a passage by a
 few) and a merged span counts if it covers enough of the template within
-little more than the template's length. Hits are compared word by word, so a
-hash that agrees by chance counts for nothing.
+little more than the template's length. What it covers is verified: the longest
+run of hits whose template positions rise with their places in the text, so that
+a pair counts once however often the text repeats it. Hits are compared word by
+word, so a hash that agrees by chance counts for nothing.
 
 The texts are read once; only hits and one row per text are shuffled, grouped
 by text. Defined results: NULL texts are empty; a text without words has zero
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phrases whose every occurrence counts, and their labels.
@@ -58,6 +60,17 @@ def template_pairs(spark, base=BASE, passages=PASSAGES) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, is_base boolean, pairs int, at int, first string, second string")
 
 
+def rising(hits: Column, pairs: Column) -> Column:
+    """Most of the hits (pos, back: minus the template position) of which both positions rise together."""
+
+    def longer(best, hit):  # best: for each template position, the longest run that ends there
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), -hit["back"])), F.lit(0))
+        return F.transform(best, lambda v, k: F.when(k == -hit["back"], F.greatest(v, before + 1)).otherwise(v))
+
+    # of one place's hits the highest template position comes first, so that no two of them make a run
+    return F.aggregate(F.array_sort(hits), F.array_repeat(F.lit(0), pairs), longer, F.array_max)
+
+
 def scan(documents: DataFrame, base=BASE, passages=PASSAGES, params: Params = Params()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     spark = documents.sparkSession
@@ -80,7 +93,8 @@ def scan(documents: DataFrame, base=BASE, passages=PASSAGES, params: Params = Pa
     text = ["doc_id", "text_hash", "n_words"]
     votes = (hits.withColumn("diagonal", F.col("pos") - F.col("at"))
              .groupBy(*text, "template", "label", "is_base", "pairs", "diagonal")
-             .agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+             .agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"),
+                  F.collect_set("at").alias("ats"))
              .repartition(*text))
     # rows that repeat a text vote as often as they are
     copies = Window.partitionBy(*text)
@@ -89,15 +103,17 @@ def scan(documents: DataFrame, base=BASE, passages=PASSAGES, params: Params = Pa
              .withColumn("whole", F.coalesce(F.col("n") == F.col("pairs"), F.lit(False))))
     along = Window.partitionBy(*text, "template", "whole").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
+    places = F.transform("ats", lambda at: F.struct((F.col("diagonal") + at).alias("pos"), (-at).alias("back")))
     spans = (votes.withColumn("begins", F.when(F.col("whole") | step.isNull() | (step > params.gap), 1).otherwise(0))
              .withColumn("span", F.sum("begins").over(along))
+             .withColumn("places", places)
              .groupBy(*text, "copies", "template", "label", "is_base", "pairs", "whole", "span")
-             .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-                  F.min("diagonal").alias("diagonal"))
-             .withColumn("covers", F.least(F.col("n") / F.col("pairs"), F.lit(1.0)))
-             .withColumn("counts", F.col("whole") | (
-                 (F.col("covers") >= params.coverage)
-                 & (F.col("high") - F.col("low") + 2 <= params.stretch * (F.col("pairs") + 1)))))
+             .agg(F.min("low").alias("low"), F.max("high").alias("high"),
+                  F.min("diagonal").alias("diagonal"), F.flatten(F.collect_list("places")).alias("hits"))
+             .withColumn("fits", F.col("high") - F.col("low") + 2 <= params.stretch * (F.col("pairs") + 1))
+             .withColumn("covers", F.when(F.col("whole"), F.lit(1.0))
+                         .when(F.col("fits"), rising(F.col("hits"), F.col("pairs")) / F.col("pairs")))
+             .withColumn("counts", F.col("whole") | (F.col("fits") & (F.col("covers") >= params.coverage))))
     place = F.when(F.col("is_base") & F.col("whole"), F.col("diagonal").cast("long"))
 
     def joined(condition):

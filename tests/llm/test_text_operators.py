@@ -209,6 +209,53 @@ def test_licenses_in_whole_parts_and_pieces(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_spans_cover_rising_template_positions(spark):
+    rnd = random.Random(9)
+    texts = ["2.0, 2.0, 2.0", "public license public license", "apache license, 2.0 version 2.0", "mozilla the public license",
+             "gnu general x public license version", "license version general public gnu general"]
+    words = "gnu lesser general public license version 2 0 apache mozilla and use in source binary forms x".split()
+    texts += [" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 25))) for _ in range(400)]
+    params = licenses.Params()
+
+    def run_of(hits):  # longest run over all subsets that rise, by recursion
+        best = {}
+        for i, j in sorted(hits, reverse=True):
+            best[i, j] = 1 + max((n for (x, y), n in best.items() if x > i and y > j), default=0)
+        return max(best.values())
+
+    for repeat in (1, 3):  # rows that repeat a text are judged like one
+        got = {r.doc_id: r for r in licenses.scan(frame(spark, texts).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeat))))
+                                                  .drop("again")).collect()}
+        for k, t in enumerate(texts):
+            w = re.findall("[a-z0-9]+", t)
+            labels, score = set(), 0.0
+            for phrase, label in (*licenses.BASE, *licenses.PASSAGES):
+                p = phrase.split()
+                hits = [(i, j) for i in range(len(w) - 1) for j in range(len(p) - 1) if w[i:i + 2] == p[j:j + 2]]
+                by = defaultdict(list)
+                for i, j in hits:
+                    by[i - j].append((i, j))
+                spans, last = [], None
+                for d in sorted(by):
+                    if len(by[d]) == len(p) - 1:
+                        labels.add(label)
+                        score = 1.0
+                    elif last is not None and d - last <= params.gap:
+                        spans[-1] += by[d]
+                        last = d
+                    else:
+                        spans.append(list(by[d]))
+                        last = d
+                for span in spans:
+                    at = [i for i, _ in span]
+                    share = run_of(span) / (len(p) - 1)
+                    if share >= params.coverage and max(at) - min(at) + 2 <= params.stretch * len(p):
+                        labels.add(label)
+                        score = max(score, share)
+            assert (got[k].labels, got[k].score) == (",".join(sorted(labels)), pytest.approx(score)), t
+        assert [got[k].labels for k in range(5)] == ["", "", "apache", "", "gpl"]
+
+
 def check_packing(rows, ids_of, window=1024):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -8,7 +8,8 @@ back to none. A url's score is the difference of its two log likelihoods
 divided by its length; the threshold is calibrated on held-out urls that rules
 decide (a fifth, by crc32), where it makes the mean of both classes' errors least.
 
-Counts cover every url that a rule decides and that is not held out. They are a
+The models that judge count every url that a rule decides; for the threshold alone
+the held-out urls are scored by models of the others. Counts are a
 Spark table that grows with the urls: a row for each byte and longest context,
 under an exact key, added up in tasks first. Counts of shorter contexts are sums
 of these. The urls to be judged are dealt to chunks of bounded size; the distinct
@@ -65,6 +66,10 @@ class Model:
             out[r["row"]] = r["score"]
         return out
 
+    def plus(self, other: Model) -> Model:
+        """The model of both models' urls."""
+        return Model(self.params, summed(self.counts.unionByName(other.counts), "key"))
+
 
 def key_base(n: int) -> int:
     """Keys of ``n`` characters of context are below this; a longer key modulo it is its shorter one."""
@@ -229,6 +234,7 @@ def judge(pages: DataFrame, rules=RULES, params: Params = Params()) -> DataFrame
         threshold = calibrate(with_scores(decided.where(held_out), model), params)
     else:
         threshold = float("-inf")
+    model = model.plus(fit(decided.where(held_out), params))
     by_score = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")
     return with_scores(urls, model).select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_score).alias("verdict"), "score")

@@ -189,6 +189,18 @@ def test_url_models_tell_all_contexts_apart(spark):
     assert model.scores(some) == pytest.approx(want, abs=1e-9)
 
 
+def test_url_models_that_judge_count_the_held_out_urls_too(spark):
+    links = [f"http://{name}.{end}{i}" for i in range(12) for name, end in (("good", "org/"), ("spam", "com/de/"))]
+    assert 0 < sum(zlib.crc32(u.encode()) % 5 == 0 for u in links) < len(links)
+    odd = next(u for u in (f"http://b.com/de/zqzqzq{i}" for i in range(99)) if zlib.crc32(u.encode()) % 5 == 0)
+    links += [odd, "http://new.net/zqzqzq"]
+    rows = [(i, u, "h") for i, u in enumerate(links)]
+    got = [r.score for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    decided = [(u, ".org/" in u) for u in links[:-1]]
+    every = urls.fit(spark.createDataFrame(decided, "url string, accepted boolean"))
+    assert got == pytest.approx(every.scores(links), abs=1e-9)
+
+
 def test_licenses_in_whole_parts_and_pieces(spark):
     texts = ["Released under the MIT License. MIT  license; mit-license", "Permission is hereby granted, free of any charge",
              "permission is granted hereby", "the GNU General Public License, version 3", "general public", None, "", "é MIT\nLICENSE",

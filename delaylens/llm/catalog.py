@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylens.llm import chat, embed_dedup, licenses, ngram_join, packing, pieces, quality, toxicity, urls, vafile
+from delaylens.llm import (chat, embed_dedup, filter_audit, licenses, ngram_join, packing, pieces, quality, toxicity,
+                           trie_dedup, urls, vafile, vector_codes)
 from delaylens.llm.common import fold, read_table
 
 HELD_OUT = 2  # of four folds
@@ -71,6 +72,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -89,6 +102,9 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 QUERIES = {q.__name__: q for q in (op1_toxicity, op2_quality, op3_topk, op4_licenses, op5_embedding_dedup,
-                                   op6_url_filter, op7_packing, op8_ngram_join, op9_chat, op10_sentencepiece)}
+                                   op6_url_filter, op7_packing, op8_ngram_join, op9_chat, op10_sentencepiece,
+                                   op11_exact_dedup, op12_filter_audit, op13_vector_codes)}
 ORACLE = {"op3_topk": vafile.oracle_sql(), "op5_embedding_dedup": embed_dedup.oracle_sql(),
-          "op8_ngram_join": ngram_join.oracle_sql(), "op4_licenses": licenses.oracle_sql(), "op9_chat": OP9_SQL}
+          "op8_ngram_join": ngram_join.oracle_sql(), "op4_licenses": licenses.oracle_sql(), "op9_chat": OP9_SQL,
+          "op11_exact_dedup": trie_dedup.oracle_sql(), "op12_filter_audit": filter_audit.oracle_sql(),
+          "op13_vector_codes": vector_codes.oracle_sql()}

@@ -35,6 +35,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join of ``rows`` with one row of ``groups`` per ``key``, whatever the largest group.
+
+    ``size`` is the number of rows of a group, ``total`` that of all rows. Groups of at least a
+    ``share``-th of all rows are at most ``share``, so their side is broadcast; what is left is
+    joined by a shuffle in which no key has more than that part of the rows. ``rows`` is read
+    twice and should be a written table. NULL keys meet nothing.
+    """
+    hot = F.broadcast(groups.where(F.col(size) * share >= total))
+    usual = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) * share < total), key, "left")
+    return usual.unionByName(rows.join(hot, key))
+
+
 def fold(doc_id: Column, folds: int = 4) -> Column:
     """crc32 of the id's text modulo ``folds``; NULL ids have no fold (NULL)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

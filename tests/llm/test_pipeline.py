@@ -55,5 +55,5 @@ def test_run_packs_what_the_stages_keep(spark):
 
 def test_entry_registers_all():
     names = [k for k in __spark_entry__.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import block_pairs, group_bounds, local_components, materialise, meets, mix, runs
+from delaylens.llm.common import (block_pairs, group_bounds, join_groups, local_components, materialise, meets, mix,
+                                  runs)
 from delaylens.llm.components import connected
 from delaylens.llm.vafile import usable
 
@@ -67,7 +68,7 @@ def rotations(dim: int, params: Params) -> np.ndarray:
 
 
 def codes(distinct: DataFrame, params: Params) -> DataFrame:
-    """rep, n, dim, vec (doubles), signs (packed), factors (doubles), keys (one per band) of each distinct vector."""
+    """node, n, dim, unit (doubles), signs (packed), factors (doubles), keys (one per band) of each distinct vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -89,13 +90,13 @@ def codes(distinct: DataFrame, params: Params) -> DataFrame:
                 number = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(params.band, dtype=np.uint64))
                 keys = mix(number + mix(np.arange(params.bands, dtype=np.uint64) + np.uint64(dim << 20))[None, :])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("n"), part.column("dim"),
+                    [part.column("node"), part.column("n"), part.column("dim"),
                      pa.array([x.tobytes() for x in unit]), pa.array([x.tobytes() for x in np.packbits(sign, axis=1)]),
                      pa.array([x.tobytes() for x in factor]),
                      pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                    ["rep", "n", "dim", "unit", "signs", "factors", "keys"])
+                    ["node", "n", "dim", "unit", "signs", "factors", "keys"])
 
-    return distinct.mapInArrow(run, "rep long, n long, dim int, unit binary, signs binary, factors binary, keys array<long>")
+    return distinct.mapInArrow(run, "node long, n long, dim int, unit binary, signs binary, factors binary, keys array<long>")
 
 
 def linked_pairs(unit: np.ndarray, signs: np.ndarray, factors: np.ndarray, turn: np.ndarray, compare: np.ndarray,
@@ -121,15 +122,16 @@ def near_duplicates(embeddings: DataFrame, params: Params = Params()) -> DataFra
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     takes_part = (F.col("vec_id").isNotNull() & usable(F.col("embedding"))
                   & F.exists("embedding", lambda x: x != 0))
+    # a vector is known by its number in the written table: an id may stand on several vectors
     distinct, _ = materialise(rows.where(takes_part).groupBy("embedding")
-                              .agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-                              .withColumn("dim", F.size("embedding")), "vectors")
+                              .agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+                              .withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}), "vectors")
     params = params.for_rows(distinct.count())
     table, _ = materialise(codes(distinct, params), "codes")
-    bands = table.select("rep", F.posexplode("keys").alias("band", "key"))
+    bands = table.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = bands.join(sizes, "key").join(table, "rep")
-    dealt = block_pairs(members, "key", "size", params.block, F.xxhash64("rep"))
+    members = bands.join(sizes, "key").join(table, "node")
+    dealt = block_pairs(members, "key", "size", params.block, F.xxhash64("node"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
@@ -152,22 +154,25 @@ def near_duplicates(embeddings: DataFrame, params: Params = Params()) -> DataFra
                 keys = np.stack(part.column("keys").to_pylist())
                 first = (keys[i] == keys[j]).argmax(1) == part.column("band")[0].as_py()
                 i, j = i[first], j[first]
-                n, rep = part.column("n").to_numpy(), part.column("rep").to_numpy()
+                n, node = part.column("n").to_numpy(), part.column("node").to_numpy()
                 links = np.bincount(i, weights=n[j], minlength=len(n)) + np.bincount(j, weights=n[i], minlength=len(n))
                 label = local_components(len(n), i, j)
                 some = np.flatnonzero(links)
-                found.append((rep[some], rep[label[some]], links[some].astype(np.int64)))
+                found.append((node[some], node[label[some]], links[some].astype(np.int64)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
                                                  ["node", "label", "links"])
 
-    links, _ = materialise(dealt.select("key", "lo", "hi", "own", "band", "rep", "n", "dim", "unit", "signs", "factors", "keys")
+    links, _ = materialise(dealt.select("key", "lo", "hi", "own", "band", "node", "n", "dim", "unit", "signs", "factors", "keys")
                            .mapInArrow(run, "node long, label long, links long"), "vector-links")
-    component = connected(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    classes = (distinct.join(links.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
-               .join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    component, _ = materialise(connected(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                               .join(distinct.select("node", "least"), "node"), "vector-components")
+    lowest = component.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = join_groups(component.select("node", "component"), lowest, "component", "size", component.count())
+    classes = (distinct.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+               .join(named.select("node", "component_id"), "node", "left")
                .select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                       F.coalesce("component", "rep").alias("component_id")))
+                       F.coalesce("component_id", "least").alias("component_id")))
     key = F.when(takes_part, F.col("embedding"))
     out = (rows.select("vec_id", key.alias("embedding")).join(classes, "embedding", "left")
            .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

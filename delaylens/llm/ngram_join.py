@@ -20,8 +20,9 @@ sets is at least ``Params.threshold``.
 
 Defined results: NULL and empty texts, and rows without doc_id, link with
 nothing and are a class of their own; texts of fewer than n words link with
-texts of the same words only; rows that repeat a text link with each other; rows
-of one doc_id are one document for classes; an empty table gives no rows.
+texts of the same words only; rows that repeat a text link with each other; an id
+that stands on several texts is a document per row, each with the links and the
+class of its own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import (WordTable, block_pairs, group_bounds, local_components, materialise, meets, mix, runs,
-                                  slices, small_pairs, texts_of)
+from delaylens.llm.common import (WordTable, block_pairs, group_bounds, join_groups, local_components, materialise, meets,
+                                  mix, runs, slices, small_pairs, texts_of)
 from delaylens.llm.components import connected
 
 
@@ -117,7 +118,8 @@ def seeds(count: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, params: Params) -> DataFrame:
-    """doc_id, key (digest of the words, NULL without words), keys (band keys) and values (MinHash, 16 bits each)."""
+    """doc_id, raw (digest of the text), key (digest of the words, NULL without words), keys (band keys) and values
+    (MinHash, 16 bits each)."""
     bands, rows = params.shape()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +139,17 @@ def signatures(documents: DataFrame, params: Params) -> DataFrame:
                     band_keys[i] = h[at].view(np.int64)
                     values[i] = m[at].astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())),
-                 pa.array(values, pa.binary())], ["doc_id", "key", "keys", "values"])
+                [part.column("doc_id"), part.column("raw"), pa.array(keys, pa.binary()),
+                 pa.array(band_keys, pa.list_(pa.int64())), pa.array(values, pa.binary())],
+                ["doc_id", "raw", "key", "keys", "values"])
 
-    return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(run, "doc_id long, key binary, keys array<long>, values binary"))
+    return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", raw_digest(F.col("text")).alias("raw"))
+            .mapInArrow(run, "doc_id long, raw binary, key binary, keys array<long>, values binary"))
+
+
+def raw_digest(text: Column) -> Column:
+    """MD5 of the text as it is; with the id it tells rows apart that are not mere repeats."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def candidate_links(texts: DataFrame, params: Params) -> DataFrame:
@@ -149,17 +157,17 @@ def candidate_links(texts: DataFrame, params: Params) -> DataFrame:
     bands, rows = params.shape()
     total = bands * rows
     least = total * params.threshold - params.deviations * math.sqrt(total * params.threshold * (1 - params.threshold))
-    banded = texts.select("rep", F.explode("keys").alias("band"))
+    banded = texts.select("node", F.explode("keys").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = banded.join(sizes, "band").join(texts.select("rep", "values"), "rep")
-    dealt = block_pairs(members, "band", "size", params.block, F.xxhash64("rep"))
+    members = banded.join(sizes, "band").join(texts.select("node", "values"), "node")
+    dealt = block_pairs(members, "band", "size", params.block, F.xxhash64("node"))
     group = ["band", "lo", "hi"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in runs(batches, group):
             bounds = group_bounds(whole, group)
-            rep = whole.column("rep").to_numpy()
-            value = np.frombuffer(b"".join(whole.column("values").to_pylist()), np.uint16).reshape(len(rep), -1)
+            node = whole.column("node").to_numpy()
+            value = np.frombuffer(b"".join(whole.column("values").to_pylist()), np.uint16).reshape(len(node), -1)
             i, j = small_pairs(bounds, 24)
             out_i, out_j = [], []
             for at in range(0, len(i), 20_000):
@@ -178,38 +186,37 @@ def candidate_links(texts: DataFrame, params: Params) -> DataFrame:
                     out_i.append(near[0] + a)
                     out_j.append(near[1] + a)
             if out_i:
-                label = local_components(len(rep), np.concatenate(out_i), np.concatenate(out_j))
-                some = np.flatnonzero(label != np.arange(len(rep)))
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[label[some]])], ["a", "b"])
+                label = local_components(len(node), np.concatenate(out_i), np.concatenate(out_j))
+                some = np.flatnonzero(label != np.arange(len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], ["a", "b"])
 
-    return (dealt.select("band", "lo", "hi", "own", "rep", "values").mapInArrow(run, "a long, b long")
+    return (dealt.select("band", "lo", "hi", "own", "node", "values").mapInArrow(run, "a long, b long")
             .where(F.col("a") != F.col("b")))
 
 
 def verify(documents: DataFrame, texts: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
     """node, label, links: every cluster's texts compared pair by pair on their full n-gram sets."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = (clusters.join(texts.select(F.col("rep").alias("node"), "key", "n"), "node")
-               .join(sizes, "component").select("node", "component", "size", "key", "n"))
-    wanted = (documents.select(F.col("doc_id").cast("long").alias("node"), "text")
-              .join(members, "node"))
+    members = (clusters.join(texts.select("node", "first", "key", "n"), "node")
+               .join(sizes, "component").select("node", "component", "size", "key", "n", "first.*"))
+    wanted = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", raw_digest(F.col("text")).alias("raw"))
+              .join(members, ["doc_id", "raw"]))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(params.n)
         for part in slices(batches, "text", 4 << 20):
             keys, grams = reader.read(texts_of(part))
-            # another text under the same id is not the one meant
-            own = pa.array([k == w for k, w in zip(keys, part.column("key").to_pylist())])
-            out = pa.RecordBatch.from_arrays(
-                [part.column("component"), part.column("size"), part.column("node"), part.column("n"), part.column("key"),
+            if keys != part.column("key").to_pylist():
+                raise ValueError("the texts changed between two reads")
+            yield pa.RecordBatch.from_arrays(
+                [part.column("component"), part.column("size"), part.column("node"), part.column("n"),
                  pa.array([np.unique(g).tobytes() for g in grams], pa.binary())],
-                ["component", "size", "node", "n", "key", "grams"])
-            yield out.filter(own)
+                ["component", "size", "node", "n", "grams"])
 
-    # rows of one text that repeat its id are dropped where the sets meet (below)
+    # rows that repeat id and text are dropped where the sets meet (below)
     members = wanted.select("node", "component", "size", "key", "n", "text").mapInArrow(
-        sets, "component long, size long, node long, n long, key binary, grams binary")
-    dealt = block_pairs(members, "component", "size", params.set_block, F.xxhash64("node", "key"))
+        sets, "component long, size long, node long, n long, grams binary")
+    dealt = block_pairs(members, "component", "size", params.set_block, F.xxhash64("node"))
     group = ["component", "lo", "hi"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,15 +225,13 @@ def verify(documents: DataFrame, texts: DataFrame, clusters: DataFrame, params:
             found = []
             for a, b in zip(bounds, bounds[1:]):
                 part = whole.slice(a, b - a)
-                once = {(node, key): k for k, (node, key) in
-                        enumerate(zip(part.column("node").to_pylist(), part.column("key").to_pylist()))}
-                part = part.take(sorted(once.values()))
+                part = part.take(np.sort(np.unique(part.column("node").to_numpy(), return_index=True)[1]))
                 if part.num_rows < 2:
                     continue
                 node, n = part.column("node").to_numpy(), part.column("n").to_numpy()
                 compare = meets(part.column("lo")[0].as_py(), part.column("hi")[0].as_py(), part.column("own").to_numpy())
                 grams = [np.frombuffer(g, np.uint64) for g in part.column("grams").to_pylist()]
-                near = compare & (node[:, None] != node[None, :]) & (jaccard(grams) >= params.threshold)
+                near = compare & (jaccard(grams) >= params.threshold)
                 i, j = np.nonzero(near)
                 links = np.bincount(i, weights=n[j], minlength=len(n)) + np.bincount(j, weights=n[i], minlength=len(n))
                 label = local_components(len(n), i, j)
@@ -236,7 +241,7 @@ def verify(documents: DataFrame, texts: DataFrame, clusters: DataFrame, params:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
                                                  ["node", "label", "links"])
 
-    return dealt.select("component", "lo", "hi", "own", "node", "n", "key", "grams").mapInArrow(
+    return dealt.select("component", "lo", "hi", "own", "node", "n", "grams").mapInArrow(
         run, "node long, label long, links long")
 
 
@@ -257,50 +262,62 @@ def jaccard(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return both / np.maximum(size[:, None] + size[None, :] - both, 1)
 
 
-def similarity_join(documents: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, class_id (smallest doc_id reachable by links) and n_links (other rows linked directly) of every row."""
+def classified(documents: DataFrame, params: Params) -> DataFrame:
+    """doc_id, raw, key, class (a number), class_id, first (the class's smallest doc_id and raw) and n_links of every row.
+
+    Texts are known by their number in the written table, as an id may stand on several texts.
+    """
     rows, _ = materialise(signatures(documents, params), "signatures")
     part = rows.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # keys and values follow from the text, so any of a text's rows has them
     texts, _ = materialise(part.groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("keys").alias("keys"),
-        F.min("values").alias("values")), "texts")
+        F.min(F.struct("doc_id", "raw")).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys"),
+        F.min("values").alias("values")).withColumn("node", F.monotonically_increasing_id()), "texts")
     clusters, _ = materialise(connected(candidate_links(texts, params)), "clusters")
     links, _ = materialise(verify(documents, texts, clusters, params), "text-links")
-    # ids whose rows hold several texts join those texts' classes
-    same = part.join(texts.select("key", "rep"), "key").where(F.col("doc_id") != F.col("rep"))
-    several = (part.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y"))
-               .where(F.col("x") != F.col("y")).select("doc_id"))
-    across = same.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    component = connected(links.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(across))
-    counts = links.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = (texts.select("key", "rep", "n").join(counts, "rep", "left")
-               .join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    component, _ = materialise(connected(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                               .join(texts.select("node", "first"), "node"), "text-components")
+    lowest = component.groupBy("component").agg(F.min("first").alias("low"), F.count("*").alias("size"))
+    named = join_groups(component.select("node", "component"), lowest, "component", "size", component.count())
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = (texts.select("key", "node", "first", "n").join(counts, "node", "left")
+               .join(named.select("node", "component", "low"), "node", "left")
                .select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                       F.coalesce("component", "rep").alias("class_id")))
+                       F.coalesce("component", "node").alias("class"), F.coalesce("low", "first").alias("first")))
     takes_part = F.col("doc_id").isNotNull()
-    return (rows.select("doc_id", F.when(takes_part, F.col("key")).alias("key")).join(classes, "key", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+    return (rows.select("doc_id", "raw", F.when(takes_part, F.col("key")).alias("key")).join(classes, "key", "left")
+            .select("doc_id", "raw", "key", "class", F.coalesce("first.doc_id", "doc_id").alias("class_id"), "first",
                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
 
 
+def similarity_join(documents: DataFrame, params: Params = Params()) -> DataFrame:
+    """doc_id, class_id (smallest doc_id reachable by links) and n_links (other rows linked directly) of every row."""
+    return classified(documents, params).select("doc_id", "class_id", "n_links")
+
+
 def keep_one(documents: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of ``documents``, all columns, with one document (smallest id) of each class.
+    """The rows of ``documents``, all columns, with one row of each class.
 
-    Rows without id stay, as do rows without words; of rows that repeat an id
-    one stays.
+    The row of smallest doc_id stays (of several texts of that id in one class
+    the one of smallest digest, of rows that repeat both any one), so a row goes
+    only if a row of its own class stays. Rows without id stay, as do rows
+    without words; unrelated texts of one id all stay.
     """
     columns = documents.columns
-    gone_id, place = (next(x for k in range(len(columns) + 1) if (x := f"_{name}{k}") not in columns) for name in ("gone", "place"))
-    joined = similarity_join(documents, params)
-    gone = joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone_id)).distinct()
-    docs = documents.join(gone, documents["doc_id"] == gone[gone_id], "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("text")
+    raw, gone_id, place = (next(x for k in range(len(columns) + 1) if (x := f"_{name}{k}") not in columns)
+                           for name in ("raw", "gone", "place"))
+    joined = classified(documents, params)
+    gone = (joined.where(F.col("class").isNotNull() & (F.struct("doc_id", "raw") != F.col("first")))
+            .select(F.col("doc_id").alias(gone_id), F.col("raw").alias(place)).distinct())
+    keyed = documents.withColumn(raw, raw_digest(F.col("text")))
+    docs = keyed.join(gone, (keyed["doc_id"] == gone[gone_id]) & (keyed[raw] == gone[place]), "left_anti")
+    # any row of several that repeat id and text
+    order = Window.partitionBy("doc_id", raw).orderBy(raw)
     some_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\f\x0B]")
-    ids = F.col("doc_id").isNotNull()
-    # rows without id are never ranked together: they pass beside the window
-    ranked = docs.where(ids).withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | ~some_words)
-    return ranked.select(*columns).unionByName(docs.where(~ids).select(*columns))
+    ranked = F.col("doc_id").isNotNull() & some_words
+    # rows without id or words are never ranked together: they pass beside the window
+    first = docs.where(ranked).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return first.select(*columns).unionByName(docs.where(~F.coalesce(ranked, F.lit(False))).select(*columns))
 
 
 def oracle_sql(params: Params = Params()) -> str:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.llm.common import join_groups, materialise
-from delaylens.llm.vafile import usable
+from delaylens.llm.vafile import usable, whole
 
 
 @dataclass(frozen=True)
@@ -63,13 +63,6 @@ def cuts(dim: int, parts: int) -> list[int]:
     return [p * dim // parts for p in range(parts + 1)]
 
 
-def whole(values: np.ndarray, dim: int) -> np.ndarray:
-    """floor(256 * x) as 64-bit integers, within the bound of the docstring."""
-    bits = (62 - max(0, int(dim - 1).bit_length())) // 2 - 1
-    scaled = np.floor(256 * values.astype(np.float64))
-    return np.clip(scaled, -(1 << bits), 1 << bits).astype(np.int64)
-
-
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a - b) ** 2).sum(-1)
 

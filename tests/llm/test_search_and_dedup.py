@@ -46,10 +46,11 @@ def vectors(seed=0, n=260):
     return rows
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize("bits", [8, 2])
+def test_topk_equals_brute_force(spark, bits):
     rows = vectors()
     got = vafile.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0,
-                        vafile.Params(block=64, query_block=8, step=4)).collect()
+                        vafile.Params(block=64, products=500, bits=bits)).collect()
     good = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v, *_ in rows
             if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = set()
@@ -61,17 +62,65 @@ def test_topk_equals_brute_force(spark):
 
 
 def test_topk_repeated_ids_and_empty_table(spark):
-    rows = [(0, [1.0], "x", "y"), (0, [1.0], "x", "y"), (1, [0.5], "x", "y"), (1, [0.25], "x", "y")]
-    got = vafile.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0).collect()
-    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 256 * 64)]
+    """Every row but the query's own is a candidate, whatever its id; rows of one id are queries of their own."""
+    rows = [(0, [1.0], "x", "y"), (0, [1.0], "x", "y"), (1, [0.5], "x", "y"), (1, [0.25], "x", "y"), (2, [], "x", "y")]
+    got = vafile.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 2 == 0).collect()
+    want = [(0, 1, 0, 256 * 256), (0, 2, 1, 256 * 128), (0, 3, 1, 256 * 64)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want * 2)
     assert vafile.search(spark.createDataFrame([], VECTORS), F.col("vec_id") == 0).count() == 0
 
 
-def test_bounds_hold_for_every_pair():
+def test_topk_of_one_id_on_many_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i // 7 * 10, [float(x) for x in rng.standard_normal(6)], "x", "y") for i in range(140)]
+    got = vafile.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 50 == 0, vafile.Params(k=4, block=32)).collect()
+    v = [np.floor(256 * np.float32(r[1]).astype(float)).astype(int) for r in rows]
+    want = []
+    for q in range(140):
+        if rows[q][0] % 50 == 0:
+            best = sorted((-int(v[q] @ v[c]), rows[c][0]) for c in range(140) if c != q)[:4]
+            want += [(rows[q][0], r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_bounds_hold_for_every_pair_and_spare_exact_reads():
     rng = np.random.default_rng(4)
     exact, queries = rng.integers(-300, 300, (200, 9)), rng.integers(-300, 300, (50, 9)).astype(float)
-    bound = vafile.Cells(exact, 3).upper_bounds(queries)
-    assert (bound >= queries @ exact.T).all()
+    for bits in (3, 8):
+        grid = vafile.Grid(exact.min(0), exact.max(0), bits)
+        middle, off = grid.bounds(queries, grid.encode(exact))
+        assert (np.abs(middle - queries @ exact.T) <= off[:, None]).all()
+    q, c, *_ = vafile.survivors(np.arange(200), grid.encode(exact), 1_000 + np.arange(50), queries, grid, 5)
+    assert len(q) <= 0.05 * 50 * 200  # eight bits leave a few more than k a query
+
+
+def test_links_of_one_id_on_several_vectors(spark):
+    """Ids do not stand for vectors: every row has the links of its own."""
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = [a + 0.01 * np.eye(8)[2], b + 0.01 * np.eye(8)[2], b + 0.01 * np.eye(8)[3]]
+    rows = [(1, a), (1, b), (2, near[0]), (3, near[1]), (4, near[2]), (4, near[2])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, [float(x) for x in v], "x", "y") for i, v in rows], VECTORS)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [
+        (1, 1, 1), (1, 3, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (4, 3, 1)]
+
+
+@pytest.mark.parametrize("copies", [3, 70])
+def test_links_of_copies_equal_sql(spark, tmp_path, copies):
+    """The given vectors link with nothing, so near copies are added by one rule here and in SQL: row by row."""
+    import duckdb
+
+    table = f"""
+      SELECT vec_id, embedding FROM read_parquet('/root/testdata/sf0.01/embeddings.parquet')
+      UNION ALL SELECT 1000000 + 1000 * vec_id + c AS vec_id,
+        [CAST(x + 0.004 * ((CAST(i AS BIGINT) * 7 + c * 13 + vec_id) % 11 - 5) AS FLOAT) FOR x, i IN embedding] AS embedding
+      FROM read_parquet('/root/testdata/sf0.01/embeddings.parquet'), range({copies}) AS r(c) WHERE vec_id % 10 = 3"""
+    con = duckdb.connect()
+    con.execute(f"COPY ({table}) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    want = con.execute(embed_dedup.oracle_sql()).fetchall()
+    got = embed_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), embed_dedup.Params(block=64)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(want)
+    assert max(r.n_links for r in got) >= copies
 
 
 @pytest.mark.parametrize("block", [768, 16])
@@ -159,6 +208,19 @@ def test_one_document_of_each_class_stays(spark):
     assert ngram_join.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_one_id_on_several_texts(spark):
+    """Links, classes and the row that stays go by text, not by id."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{p}{rng.randrange(999)}" for _ in range(60)) for p in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more"), (4, b + " x"), (5, c), (5, c + " tail"), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "c", "n", "g", "p") for i, t in rows], DOCS)
+    got = ngram_join.similarity_join(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [
+        (1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2), (5, 5, 0), (5, 5, 0), (5, 5, 1), (5, 5, 1)]
+    kept = sorted((r.doc_id, (r.text or "")[:1]) for r in ngram_join.keep_one(docs).collect())
+    assert kept == [(1, "a"), (1, "b"), (5, ""), (5, ""), (5, "c")]
+
+
 def test_bands_reach_the_recall():
     p = ngram_join.Params()
     bands, rows = p.shape()

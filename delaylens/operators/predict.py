@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from delaylens import constants as K
 from delaylens.functions import columns as C
 from delaylens.functions.joins import dimension
-from delaylens.session import cut_lineage
+from delaylens.session import materialise
 from delaylens.functions.tdist import t975
-from delaylens.operators.windows import ROWS, recent_window_sums
+from delaylens.operators.medians import VALUE, WEIGHT, brackets, exact_medians
+from delaylens.operators.windows import KNOWN, LEAST, MOST, ROWS, SQUARES, SUM, recent_window_sums
 
 TARGET = "target_ts"
 
@@ -46,9 +47,9 @@ def minute_counts(history: DataFrame, keys: Sequence[str] = (), value_col: str =
     this module takes a history, for targets on whole minutes.
     """
     minute = F.date_trunc("minute", ts_col).cast("timestamp_ntz")
-    return cut_lineage(history.where(F.col(ts_col).isNotNull())
+    return materialise(history.where(F.col(ts_col).isNotNull())
                        .groupBy(*keys, minute.alias(ts_col), value_col)
-                       .agg(F.count(F.lit(1)).alias(ROWS)))
+                       .agg(F.count(F.lit(1)).alias(ROWS)), "minute-counts")
 
 
 def _reduced(history: DataFrame, keys: Sequence[str], value_col: str, start) -> DataFrame:
@@ -61,27 +62,65 @@ def _reduced(history: DataFrame, keys: Sequence[str], value_col: str, start) ->
 
 def cell_stats(history: DataFrame, keys: Sequence[str] = (), value_col: str = "current_stop_dep_delay",
                ts_col: str = "current_stop_departure", min_sample: int = K.MIN_SAMPLE,
-               approx_median: bool = False) -> DataFrame:
+               approx_median: bool = False, median: str = "exact", values: DataFrame | None = None) -> DataFrame:
     """M1: per (hour, weekday, *keys): n (all rows), mean, std, median; n >= min_sample.
 
-    ``approx_median`` swaps the exact median (a value->count map per cell)
-    for ``percentile_approx`` when cells hold very many distinct values; it
-    needs raw rows, not ``minute_counts``.
+    ``median`` is ``exact`` (a value->count map per cell, for values of few
+    kinds such as whole seconds), ``bounded`` (exact too, by distributed
+    selection with bounded state, for whole-number values of many kinds such as
+    microseconds), ``approx`` (``percentile_approx``, raw rows only; the same
+    as ``approx_median``) or ``none`` (the column is NULL). A history of moments
+    takes its medians from ``values``: keys, hour, weekday, ``_value``, ``_weight``.
     """
+    median = "approx" if approx_median else median
+    if median not in ("exact", "bounded", "approx", "none"):
+        raise ValueError(f"unknown median {median!r}")
     v = F.col(value_col)
-    g = (history.where(F.col(ts_col).isNotNull())
-         .groupBy(F.hour(ts_col).alias("hour"), C.weekday(ts_col).alias("weekday"), *keys))
-    if ROWS in history.columns:
-        if approx_median:
+    groups = ["hour", "weekday", *keys]
+    dated = history.where(F.col(ts_col).isNotNull())
+    g = dated.groupBy(F.hour(ts_col).alias("hour"), C.weekday(ts_col).alias("weekday"), *keys)
+    enough = F.col("sample_size") >= min_sample
+    moments = SUM in history.columns
+    if ROWS in history.columns and not moments:
+        if median == "approx":
             raise ValueError("approx_median needs raw rows, not minute_counts")
-        cells = _counted_stats(g, v)
+        return _counted_stats(g, v).where(enough)
+    if not moments and median in ("exact", "approx"):
+        med = F.percentile_approx(v, 0.5, 10000) if median == "approx" else F.median(v)
+        return g.agg(F.count(F.lit(1)).alias("sample_size"), F.avg(v).alias("base_mean"),
+                     F.stddev_samp(v).alias("std"), med.cast("double").alias("median")).where(enough)
+    if moments:
+        cells = _moment_stats(g)
     else:
-        med = F.percentile_approx(v, 0.5, 10000) if approx_median else F.median(v)
-        cells = g.agg(F.count(F.lit(1)).alias("sample_size"),
-                      F.avg(v).alias("base_mean"),
-                      F.stddev_samp(v).alias("std"),
-                      med.cast("double").alias("median"))
-    return cells.where(F.col("sample_size") >= min_sample)
+        cells = g.agg(F.count(F.lit(1)).alias("sample_size"), F.avg(v).alias("base_mean"), F.stddev_samp(v).alias("std"),
+                      F.count(v).alias(KNOWN), F.min(v).alias(LEAST), F.max(v).alias(MOST))
+        values = dated.select(*keys, F.hour(ts_col).alias("hour"), C.weekday(ts_col).alias("weekday"),
+                              v.alias(VALUE), F.lit(1).alias(WEIGHT))
+    cells = cells.where(enough)
+    kept = [*groups, "sample_size", "base_mean", "std"]
+    if median == "none" or values is None:
+        return cells.select(*kept, F.lit(None).cast("double").alias("median"))
+    cells = materialise(cells, "cells")
+    found = exact_medians(values, brackets(cells, groups, KNOWN, LEAST, MOST, "base_mean", "std"), groups)
+    return cells.join(found, groups, "left").select(*kept, "median")
+
+
+def _moment_stats(grouped) -> DataFrame:
+    """Cells of a history of moments; squares about a whole number near the mean are exact."""
+    sums = grouped.agg(F.sum(ROWS).alias("sample_size"), F.sum(KNOWN).alias(KNOWN), F.sum(SUM).alias(SUM),
+                       F.sum(SQUARES).alias(SQUARES), F.min(LEAST).alias(LEAST), F.max(MOST).alias(MOST))
+    k, total = F.col(KNOWN), F.col(SUM)
+    mean = F.try_divide(total.cast("double"), k)
+    near = F.round(mean).cast("decimal(19,0)")
+
+    def whole(c):
+        return c.cast("decimal(38,0)")
+
+    about = whole(F.col(SQUARES) - whole(near * total) * 2 + whole(whole(near * near) * k.cast("decimal(18,0)")))
+    rest = (total - whole(near * k.cast("decimal(18,0)"))).cast("double")
+    var = F.when(k > 1, (about.cast("double") - rest * rest / k) / (k - 1))
+    return sums.withColumns({"base_mean": mean, "std": F.sqrt(F.greatest(var, F.lit(0.0)))}).withColumn(
+        "std", F.when(k > 1, F.col("std")))
 
 
 def _counted_stats(grouped, v) -> DataFrame:
@@ -115,18 +154,20 @@ def match_dates(calendar: DataFrame | None) -> DataFrame | None:
 def predict(history: DataFrame, targets: DataFrame, keys: Sequence[str] = (),
             value_col: str = "current_stop_dep_delay", ts_col: str = "current_stop_departure",
             calendar: DataFrame | None = None, recent_mode: str = "bounded",
-            label: str = "delay", approx_median: bool = False, unit_divisor: float | None = None) -> DataFrame:
+            label: str = "delay", approx_median: bool = False, unit_divisor: float | None = None,
+            median: str = "exact", values: DataFrame | None = None) -> DataFrame:
     """M5 (and M8 with travel times): one row per predictable target.
 
     ``targets`` has ``target_ts`` plus the ``keys`` columns. ``recent_mode``
     ``bounded`` uses [t-60min, t); ``open`` keeps the original filter
     (departure >= t-60min, no upper bound), which lets past targets see later
-    rows. ``history`` holds raw rows or their ``minute_counts``.
+    rows. ``history`` holds raw rows, their ``minute_counts`` or moments;
+    ``median`` and ``values`` as in ``cell_stats``.
     """
     keys = list(keys)
-    counted = [ROWS] if ROWS in history.columns else []
-    hist = history.select(*keys, ts_col, value_col, *counted).where(F.col(ts_col).isNotNull())
-    cells = cell_stats(hist, keys, value_col, ts_col, approx_median=approx_median)
+    used = [c for c in (value_col, ROWS, KNOWN, SUM, SQUARES, LEAST, MOST) if c in history.columns]
+    hist = history.select(*keys, ts_col, *used).where(F.col(ts_col).isNotNull())
+    cells = cell_stats(hist, keys, value_col, ts_col, approx_median=approx_median, median=median, values=values)
     if unit_divisor is not None:
         cells = cells.withColumns({c: F.col(c) / F.lit(float(unit_divisor))
                                    for c in ("base_mean", "std", "median")})
@@ -220,60 +261,61 @@ def narrow_history(rows: DataFrame, keys: Sequence[str], value_col: str,
     once in the shared checkpoint folder. Segment rows come out of trip
     windows (and, in ``trip`` mode, a fan-out join); the prediction reads its
     history in several branches, which would otherwise recompute them."""
-    return cut_lineage(rows.select(*keys, ts_col, value_col))
+    return materialise(rows.select(*keys, ts_col, value_col), "history")
 
 
 def predict_segments(rows: DataFrame, targets: DataFrame, keys: Sequence[str] = ("segment_id_short",),
                      calendar: DataFrame | None = None, recent_mode: str = "bounded",
-                     materialize: bool = True) -> DataFrame:
+                     materialize: bool = True, approx_median: bool = False) -> DataFrame:
     """M8: travel-time prediction per segment (and optional direction) from
-    ``trips.segment_rows`` output, in seconds."""
+    ``trips.segment_rows`` output, in seconds. Medians are exact with bounded
+    state (``medians.exact_medians``) unless ``approx_median``."""
     hist = narrow_history(rows, keys, "real_travel_time_us") if materialize else rows
     return predict(hist, targets, keys, value_col="real_travel_time_us", calendar=calendar,
-                   recent_mode=recent_mode, label="travel_time", unit_divisor=1e6)
+                   recent_mode=recent_mode, label="travel_time", unit_divisor=1e6,
+                   median="approx" if approx_median else "bounded")
 
 
-def predict_trip_mode(rows: DataFrame, signatures: DataFrame, targets: DataFrame,
-                      keys: Sequence[str] = ("segment_id_short",), calendar: DataFrame | None = None,
-                      recent_mode: str = "open") -> DataFrame:
-    """M8 in ``trip`` mode (the original trip-level merge) without the
-    k*(k-1) fan-out: ``rows``/``signatures`` come from
-    ``trips.trip_mode_samples``; predictions are made per trip-set
-    signature and mapped back to the segments of the targets."""
-    from delaylens.operators.trips import SIG_KEY
-    row_keys = [k for k in keys if k != "segment_id_short"]
-    sig_keys = [*SIG_KEY, *row_keys]
-    tg = targets.select(*keys, TARGET).distinct().join(signatures, "segment_id_short")
-    p = predict(rows, tg.select(*sig_keys, TARGET).distinct(), sig_keys,
-                value_col="real_travel_time_us", calendar=calendar, recent_mode=recent_mode,
-                label="travel_time", unit_divisor=1e6)
-    out = tg.join(p.withColumnRenamed("datetime", TARGET), [*sig_keys, TARGET])
-    cols = [c for c in p.columns if c not in sig_keys and c != "datetime"]
-    return out.select(*keys, F.col(TARGET).alias("datetime"), *cols)
-
+def predict_trip_mode(trips: DataFrame, targets: DataFrame | None = None, keys: Sequence[str] = ("segment_id_short",),
+                      calendar: DataFrame | None = None, recent_mode: str = "open", step_minutes: int = 30,
+                      with_median: bool = True) -> DataFrame:
+    """M8 in ``trip`` mode (the original trip-level merge) as a product of sparse tables.
 
-def predict_segments_trip_mode(stop_times: DataFrame, targets: DataFrame,
-                               keys: Sequence[str] = ("segment_id_short",),
-                               calendar: DataFrame | None = None, recent_mode: str = "open") -> DataFrame:
-    """Convenience: samples + signatures from raw stop times, then predict."""
-    from delaylens.operators.trips import trip_mode_samples
-    rows, sig = trip_mode_samples(stop_times, [k for k in keys if k != "segment_id_short"])
-    return predict_trip_mode(rows, sig, targets, keys, calendar=calendar, recent_mode=recent_mode)
+    ``trips`` comes from ``trips.stored_trips`` and has the keys besides the
+    segment. Counts, means, deviations and recent errors come from moments per
+    slot, exact for targets on whole slots of ``step_minutes`` (a divisor of
+    60; other targets are an error); medians from weighted per-trip values
+    (``with_median=False``: NULL). Without ``targets`` every observed (keys,
+    hour) is predicted at 30 minutes past the hour.
+    """
+    from delaylens.operators.trips import trip_mode_moments, trip_mode_values
+    if 60 % step_minutes:
+        raise ValueError("slots must divide the hour")
+    row_keys = [k for k in keys if k != "segment_id_short"]
+    history = trip_mode_moments(trips, row_keys, step_minutes)
+    if targets is None:
+        targets = hour_slot_targets(history, keys)
+    elif not targets.where(C.epoch_us(TARGET) % (step_minutes * 60_000_000) != 0).isEmpty():
+        raise ValueError(f"targets must lie on whole slots of {step_minutes} minutes")
+    return predict(history, targets, keys, value_col="real_travel_time_us", calendar=calendar, recent_mode=recent_mode,
+                   label="travel_time", unit_divisor=1e6, median="bounded" if with_median else "none",
+                   values=trip_mode_values(trips, row_keys))
 
 
-def trip_mode_slot_targets(rows: DataFrame, signatures: DataFrame, offset_minutes: int = 30) -> DataFrame:
-    """Every observed (segment, hour) of the ``trip``-mode samples, at
-    ``offset`` minutes past the hour - without building the fan-out."""
-    from delaylens.operators.trips import SIG_KEY
-    return (hour_slot_targets(rows, list(SIG_KEY), offset_minutes).join(signatures, list(SIG_KEY))
-            .drop(*SIG_KEY))
+def predict_segments_trip_mode(stop_times: DataFrame, targets: DataFrame | None = None,
+                               keys: Sequence[str] = ("segment_id_short",), calendar: DataFrame | None = None,
+                               recent_mode: str = "open", step_minutes: int = 30) -> DataFrame:
+    """Convenience: from raw stop times."""
+    from delaylens.operators.trips import stored_trips
+    return predict_trip_mode(stored_trips(stop_times, [k for k in keys if k != "segment_id_short"]), targets, keys,
+                             calendar=calendar, recent_mode=recent_mode, step_minutes=step_minutes)
 
 
 def predict_weekly(history: DataFrame, keys_df: DataFrame, start, keys: Sequence[str] = (),
                    interval_minutes: int = 15, min_reliability: float = 0.0,
                    calendar: DataFrame | None = None, recent_mode: str = "bounded",
                    value_col: str = "current_stop_dep_delay", label: str = "delay",
-                   unit_divisor: float | None = None, reduce: bool = True) -> DataFrame:
+                   unit_divisor: float | None = None, reduce: bool = True, median: str = "exact") -> DataFrame:
     """M6: a week of targets from ``start`` floored to the hour, with day name
     and time period, keeping predictions at or above ``min_reliability``.
 
@@ -285,7 +327,7 @@ def predict_weekly(history: DataFrame, keys_df: DataFrame, start, keys: Sequence
     tg = with_grid(_key_rows(history, keys_df, keys), start, 24 * 7, interval_minutes,
                    floor_to_hour=True)
     p = predict(history, tg, keys, value_col=value_col, calendar=calendar,
-                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor)
+                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor, median=median)
     return (p.where(F.col("reliability") >= min_reliability)
             .withColumns({"day_name": C.day_name("datetime"),
                           "time_period": C.time_period(F.hour("datetime"))}))
@@ -302,6 +344,7 @@ def predict_short_term(history: DataFrame, keys_df: DataFrame, start, keys: Sequ
     if reduce:
         history = _reduced(history, keys, value_col, start)
     tg = with_grid(_key_rows(history, keys_df, keys), start, duration_hours, interval_minutes)
+    # the result has no median; counted histories keep theirs, which is pruned away
     p = predict(history, tg, keys, value_col=value_col, calendar=calendar,
-                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor)
+                recent_mode=recent_mode, label=label, unit_divisor=unit_divisor, median="none")
     return p.select(*keys, "datetime", f"mean_{label}", "confidence_lower", "confidence_upper")

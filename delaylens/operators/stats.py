@@ -126,7 +126,7 @@ def high_water_mark(df: DataFrame) -> DataFrame:
     return df.agg(F.max("current_stop_departure").alias("max_departure"))
 
 
-SAMPLE_LEVELS_US = (3_600_000_000, 60_000_000, 1_000_000)   # hour, minute, second
+SAMPLE_LEVELS_US = (3_600_000_000, 1_000_000)   # hour, second
 
 
 def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_stop_departure",
@@ -135,41 +135,43 @@ def newest_sample(df: DataFrame, n: int = K.SAMPLE_ROWS, ts_col: str = "current_
     ``ordered`` also returns them in that order (a range-partitioned sort).
 
     ``orderBy().limit(n)`` would make every partition send its own top ``n``
-    rows to one final task. Instead the exact cutoff is located with
-    histograms of ever finer time buckets, each computed only over the
-    previous level's boundary bucket (a pushed-down range filter): every row
-    newer than the boundary second passes by a plain filter and only the
-    rows of that one second go through a top-k. Each level hands one small
-    row (boundary bucket and the count above it) to the driver.
+    rows to one final task. Here the table is read twice. The first read, of
+    one column, counts rows by second, with counts by hour added up from them;
+    from these the boundary second follows (where the n-th row lies) and how
+    many of its rows are wanted. The second read takes every newer row, and
+    the wanted ones of the boundary second in the order of departure and
+    ``ties``; each task keeps that many of them at most.
     """
+    if n < 1:
+        return df.limit(0)
     ts = F.col(ts_col)
-    order = [ts.desc_nulls_last(), *[c for c in ties if c in df.columns]]
+    coarse, fine = levels_us
     us = F.unix_micros(ts.cast("timestamp"))
-    lo = hi = None                       # current candidate range [lo, hi) in micros
-    k = n
-    for width in levels_us:
-        cand = df.where(ts.isNotNull())
-        if lo is not None:
-            cand = cand.where((us >= lo) & (us < hi))
-        hist = cand.groupBy(F.floor(us / F.lit(float(width))).cast("bigint").alias("b")).count()
-        newer = F.sum("count").over(Window.orderBy(F.col("b").desc())
-                                    .rowsBetween(Window.unboundedPreceding, -1))
-        edge = (hist.withColumn("newer", F.coalesce(newer, F.lit(0)))
-                .where((F.col("newer") < k) & (F.col("newer") + F.col("count") >= k))
-                .select("b", "newer").first())
-        if edge is None:                 # fewer than k non-null rows in range: take all of them
-            break
-        k -= edge["newer"]
-        lo, hi = edge["b"] * width, (edge["b"] + 1) * width
+    order = [ts.desc_nulls_last(), *[c for c in ties if c in df.columns]]
+    # NULL departures are one bucket below all others
+    seconds = (df.groupBy(F.floor(us / F.lit(float(fine))).cast("bigint").alias("b")).count()
+               .withColumn("h", F.floor(F.col("b") * F.lit(fine) / F.lit(float(coarse))).cast("bigint")))
+    before = Window.unboundedPreceding
+    hours = seconds.groupBy("h").agg(F.sum("count").alias("of_hour"))
+    newer = F.coalesce(F.sum("of_hour").over(Window.orderBy(F.col("h").desc_nulls_last()).rowsBetween(before, -1)), F.lit(0))
+    # hours of the table's whole span are few; one of them holds the n-th row
+    hour = hours.withColumn("newer", newer).where((F.col("newer") < n) & (F.col("newer") + F.col("of_hour") >= n)).select("h", "newer")
+    inside = seconds.join(F.broadcast(hour.withColumnRenamed("h", "_h")), F.col("h").eqNullSafe(F.col("_h")))
+    above = F.coalesce(F.sum("count").over(Window.orderBy(F.col("b").desc_nulls_last()).rowsBetween(before, -1)), F.lit(0)) + F.col("newer")
+    edge = (inside.withColumn("above", above).where((F.col("above") < n) & (F.col("above") + F.col("count") >= n))
+            .select("b", "above").first())
+    if edge is None:                     # no more than n rows: all of them
+        return df.orderBy(*order) if ordered else df
+    second, wanted = edge["b"], n - edge["above"]
+    if second is None:                   # all dated rows, and some without a departure
+        sure, boundary = ts.isNotNull(), ts.isNull()
     else:
-        above = df.where(us >= hi)
-        # rows of one instant are taken in the order of ``ties``, so the same rows whatever the files
-        boundary = df.where((us >= lo) & (us < hi)).orderBy(*order).limit(k)
-        sample = above.unionByName(boundary)
-        return sample.orderBy(*order) if ordered else sample
-    # only reached on the first level (each boundary bucket holds >= k rows):
-    # fewer than n non-null rows - all of them, then NULL departures
-    taken = df.where(ts.isNotNull())
-    nulls = df.where(ts.isNull()).limit(max(k - taken.count(), 0))
-    sample = taken.unionByName(nulls)
+        sure, boundary = us >= (second + 1) * fine, (us >= second * fine) & (us < (second + 1) * fine)
+        df = df.where(us >= second * fine)
+    # a newer row is a group of its own, the boundary's rows are one: the limit reaches every task before the shuffle
+    names = df.columns
+    group, place = (next(x for k in range(len(names) + 1) if (x := f"_{name}{k}") not in names) for name in ("group", "place"))
+    grouped = df.where(sure | boundary).withColumn(group, F.when(sure, F.monotonically_increasing_id()).otherwise(-1))
+    ranked = grouped.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    sample = ranked.where(F.col(place) <= wanted).select(*names)
     return sample.orderBy(*order) if ordered else sample

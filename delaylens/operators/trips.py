@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from delaylens.functions import columns as C
 from delaylens.functions.joins import dimension
+from delaylens.operators.medians import VALUE, WEIGHT
+from delaylens.operators.windows import KNOWN, LEAST, MOST, ROWS, SQUARES, SUM
+from delaylens.session import bucketed, materialise
 
 TRIP = "rt_trip_id"
 
@@ -182,51 +185,61 @@ def next_stop(merged: DataFrame, stops: DataFrame) -> DataFrame:
     return best.join(dimension(names), "next_base_stop_id", "left")
 
 
-SIG_KEY = ("_h1", "_h2")
+INCIDENCE = "_times"  # how often a segment occurs in a trip
 
 
-def trip_mode_samples(stop_times: DataFrame, row_keys=("gtfs_direction_id",),
-                      materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The ``trip``-mode sample of every segment without pairing every row
-    with every segment of its trip.
+def stored_trips(stop_times: DataFrame, row_keys=()) -> DataFrame:
+    """Travel time and segment of every stop row, written once in buckets of the
+    trip key: what follows groups and joins by trip without another exchange.
+    First stops have neither a segment nor a travel time."""
+    segment = F.when(F.col("previous_stop_id").isNotNull(),
+                     F.concat(C.short_stop_id("previous_stop_id"), F.lit("_"), C.short_stop_id("gtfs_stop_id")))
+    rows = trip_travel_times(stop_times, keep_trip_key=True).select(
+        TRIP_KEY, "current_stop_departure", "real_travel_time_us", *row_keys, segment.alias("segment_id_short"))
+    return bucketed(rows, TRIP_KEY, "trips")
 
-    In ``trip`` mode a segment's sample is the union of the rows of all trips
-    containing it (with the segment's multiplicity in each trip). Segments
-    contained in exactly the same trips therefore share one sample. Each
-    segment gets a 128-bit signature of its (trip, multiplicity) set - two
-    independent XOR-folded 64-bit hashes - and rows are joined to the
-    distinct signatures of their
-    trip only: one per route in a regular network instead of one per
-    segment.
 
-    Returns ``(rows, signatures)``: rows keyed by ``SIG_KEY`` (each row
-    repeated by the multiplicity) and the map ``segment_id_short -> SIG_KEY``; with
-    ``materialize`` both are written once to the shared checkpoint folder,
-    since predictions read them in several branches.
+def incidence(trips: DataFrame) -> DataFrame:
+    """The sparse trip x segment table: how often each segment occurs in each trip."""
+    return (trips.where(F.col("segment_id_short").isNotNull()).groupBy(TRIP_KEY, "segment_id_short")
+            .agg(F.count(F.lit(1)).alias(INCIDENCE)))
+
+
+def trip_mode_moments(trips: DataFrame, row_keys=(), step_minutes: int = 30) -> DataFrame:
+    """``trip``-mode samples of all segments as moments per slot of ``step_minutes``.
+
+    In ``trip`` mode the sample of a segment is every row of every trip that
+    contains it, once per occurrence. Counts and sums of such a sample are a
+    product of two sparse tables, segment x trip (``incidence``) and trip x
+    slot (rows, known values, sum, sum of squares, extremes), so rows never
+    meet segments one by one. ``trips`` comes from ``stored_trips``: both
+    factors and their join stay in its buckets, and partial sums per segment
+    and slot are all that is shuffled.
     """
-    seg = F.when(F.col("previous_stop_id").isNotNull(),
-                 F.concat(C.short_stop_id("previous_stop_id"), F.lit("_"), C.short_stop_id("gtfs_stop_id")))
-    processed = (trip_travel_times(stop_times, keep_trip_key=True)
-                 .select(TRIP_KEY, "current_stop_departure", "real_travel_time_us", *row_keys,
-                         seg.alias("segment_id_short")))
-    if materialize:  # the windowed rows feed both the signatures and the samples
-        from delaylens.session import cut_lineage
-        processed = cut_lineage(processed)
-    segs = processed.where(F.col("segment_id_short").isNotNull()).select(TRIP_KEY, "segment_id_short")
-    tsm = segs.groupBy(TRIP_KEY, "segment_id_short").agg(F.count(F.lit(1)).alias("_m"))
-    h1 = F.xxhash64(F.col(TRIP_KEY), F.col("_m"))
-    h2 = F.xxhash64(F.lit("sig"), F.col("_m"), F.col(TRIP_KEY))
-    # 128-bit signature: two independent XOR-folded 64-bit hashes, kept as a
-    # two-column key (cheap to hash and compare; collisions out of reach)
-    sig = (tsm.groupBy("segment_id_short")
-           .agg(F.bit_xor(h1).alias("_h1"), F.bit_xor(h2).alias("_h2")))
-    if materialize:
-        sig = cut_lineage(sig)
-    trip_sig = tsm.join(sig, "segment_id_short").select(TRIP_KEY, *SIG_KEY, "_m").distinct()
-    cols = [TRIP_KEY, "current_stop_departure", "real_travel_time_us", *row_keys]
-    rows = (processed.select(*cols).join(trip_sig, TRIP_KEY)
-            .withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col("_m").cast("int"))))
-            .drop("_rep", "_m", TRIP_KEY))
-    if materialize:
-        rows = cut_lineage(rows)
-    return rows, sig
+    us, width = C.epoch_us("current_stop_departure"), step_minutes * 60_000_000
+    slot = F.timestamp_micros(us - F.pmod(us, F.lit(width))).cast("timestamp_ntz")
+    v = F.col("real_travel_time_us")
+    exact = v.cast("decimal(19,0)")
+    per_trip = (trips.where(F.col("current_stop_departure").isNotNull())
+                .groupBy(TRIP_KEY, *row_keys, slot.alias("current_stop_departure"))
+                .agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("k"), F.sum(exact).alias("s"),
+                     F.sum(exact * exact).alias("q"), F.min(v).alias("a"), F.max(v).alias("z")))
+    times = F.col(INCIDENCE)
+    whole = times.cast("decimal(10,0)")
+    return materialise(
+        incidence(trips).join(per_trip, TRIP_KEY).groupBy("segment_id_short", *row_keys, "current_stop_departure")
+        .agg(F.sum(times * F.col("n")).alias(ROWS), F.sum(times * F.col("k")).alias(KNOWN),
+             F.sum((whole * F.col("s")).cast("decimal(38,0)")).alias(SUM),
+             F.sum((whole * F.col("q")).cast("decimal(38,0)")).alias(SQUARES),
+             F.min("a").alias(LEAST), F.max("z").alias(MOST)), "trip-moments")
+
+
+def trip_mode_values(trips: DataFrame, row_keys=()) -> DataFrame:
+    """The same samples as weighted values: per-trip counts by (hour, weekday, keys, value) times the incidence."""
+    v = F.col("real_travel_time_us")
+    ts = F.col("current_stop_departure")
+    counts = (trips.where(ts.isNotNull() & v.isNotNull())
+              .groupBy(TRIP_KEY, *row_keys, F.hour(ts).alias("hour"), C.weekday(ts).alias("weekday"), v.alias(VALUE))
+              .agg(F.count(F.lit(1)).alias("c")))
+    return (incidence(trips).join(counts, TRIP_KEY)
+            .select("segment_id_short", *row_keys, "hour", "weekday", VALUE, (F.col("c") * F.col(INCIDENCE)).alias(WEIGHT)))

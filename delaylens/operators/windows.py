@@ -19,8 +19,9 @@ by W:
   time span, not by the row count), and only the single bucket holding
   t-W is joined row by row.
 
-The history may hold raw rows or counted ones (a column ``_rows``): counted by
-minute and value it is bounded by the time span, so that one hour of a hot key,
+The history may hold raw rows, counted ones (a column ``_rows``) or moments (a
+column ``_sum``, one row per keys and time slot; exact for targets on whole slots,
+if slots divide the window). Counted by minute and value it is bounded by the time span, so that one hour of a hot key,
 or of all rows where there are no keys, is no larger than 60 minutes times the
 range of values. The planner picks the join by the sizes it measures.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from delaylens.functions.columns import epoch_us
 
 ROWS = "_rows"  # rows that a counted history row stands for
+# a history of moments has these too: rows with a value, their sum, sum of squares and extremes
+KNOWN, SUM, SQUARES, LEAST, MOST = "_known", "_sum", "_squares", "_least", "_most"
 
 
 def _bucket(us_col, width_us: int):
@@ -52,9 +55,13 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
         raise ValueError(f"unknown mode {mode!r}")
     keys = list(keys)
     width = minutes * 60 * 1_000_000
-    n = F.col(ROWS) if ROWS in history.columns else F.lit(1)
-    hist = (history.select(*keys, epoch_us(ts_col).alias("_us"), n.cast("bigint").alias("_n"),
-                           F.col(value_col).cast("double").alias("_v"))
+    n = (F.col(ROWS) if ROWS in history.columns else F.lit(1)).cast("bigint")
+    if SUM in history.columns:
+        total, known = F.col(SUM).cast("double"), F.col(KNOWN)
+    else:
+        v = F.col(value_col).cast("double")
+        total, known = v * n, F.when(v.isNotNull(), n).otherwise(0)
+    hist = (history.select(*keys, epoch_us(ts_col).alias("_us"), n.alias("_n"), total.alias("_s"), known.alias("_c"))
             .where(F.col("_us").isNotNull())
             .withColumn("_b", _bucket(F.col("_us"), width)))
     tgt = (targets.select(*keys, target_col)
@@ -64,8 +71,7 @@ def recent_window_sums(history: DataFrame, targets: DataFrame, keys: Sequence[st
     ident = keys + [target_col]
 
     def sums(prefix=""):
-        return [F.sum("_n").alias(f"{prefix}n"), F.sum(F.col("_v") * F.col("_n")).alias(f"{prefix}s"),
-                F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias(f"{prefix}c")]
+        return [F.sum("_n").alias(f"{prefix}n"), F.sum("_s").alias(f"{prefix}s"), F.sum("_c").alias(f"{prefix}c")]
 
     if mode == "bounded":
         tb = tgt.withColumn("_b", F.explode(F.array(F.col("_bx"), F.col("_bx") + 1)))

@@ -873,9 +873,7 @@ def q_predict_segment(spark, sf_dir):
                                               label="travel_time", hist=_H_SEG_TRIP, scale=" / 1e6"))
 def q_predict_segment_trip(spark, sf_dir):
     m, cal = _dense_history(spark, sf_dir)
-    rows, sig = T.trip_mode_samples(m, ())
-    return PR.predict_trip_mode(rows, sig, PR.trip_mode_slot_targets(rows, sig), _SEG, calendar=cal,
-                                recent_mode="open")
+    return PR.predict_trip_mode(T.stored_trips(m), None, _SEG, calendar=cal, recent_mode="open")
 
 
 @register("predict_segment_short_term", f"""
@@ -1178,4 +1176,4 @@ def q_time_features(spark, sf_dir):
 
 
 
-from delaylens.plans import calendar_catalog  # noqa: E402,F401
+from delaylens.plans import calendar_catalog, stored_catalog  # noqa: E402,F401

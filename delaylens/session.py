@@ -94,6 +94,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df, name: str):
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it
+    back: later reads are columnar, prune columns and carry sizes."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df, key: str, name: str):
+    """Write ``df`` once as Parquet in buckets of ``key`` to the shared checkpoint
+    folder and read it back: groupings and joins on ``key`` need no exchange.
+
+    The catalog knows the table only while this call reads it.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, name))
+     .saveAsTable(table))
+    out = spark.table(table)  # resolved here; the files outlive the name
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     spark = df.sparkSession
@@ -102,4 +127,4 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-__all__ = ["build_session", "scratch_path", "cut_lineage", "cluster_conf", "DEFAULT_CONF"]
+__all__ = ["build_session", "scratch_path", "materialise", "bucketed", "cut_lineage", "cluster_conf", "DEFAULT_CONF"]

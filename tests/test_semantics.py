@@ -164,8 +164,8 @@ def test_api_single_target_matches_set_based(spark):
     assert len(nxt) == 1 and nxt[0]["next_stop_id"]
 
 
-def test_trip_mode_signatures_equal_fan_out(spark):
-    """Per-signature samples give the same predictions as the explicit fan-out."""
+def test_trip_mode_product_equals_fan_out(spark):
+    """The product of incidence and moments gives the same predictions as the explicit fan-out."""
     from delaylens.operators import predict as PR
     rows = []
     # two trips on one route (same segments) and one trip on a branch
@@ -181,9 +181,9 @@ def test_trip_mode_signatures_equal_fan_out(spark):
     want = {r["segment_id_short"]: r for r in
             PR.predict(fan, tg, ["segment_id_short"], value_col="real_travel_time_us", recent_mode="open",
                        label="travel_time", unit_divisor=1e6).collect()}
-    srows, sig = T.trip_mode_samples(df, ())
+    trips = T.stored_trips(df)
     got = {r["segment_id_short"]: r for r in
-           PR.predict_trip_mode(srows, sig, tg, ["segment_id_short"], recent_mode="open").collect()}
+           PR.predict_trip_mode(trips, tg, ["segment_id_short"], recent_mode="open").collect()}
     assert set(got) == set(want) and want
     for k in want:
         for c in ("sample_size", "mean_travel_time", "median_travel_time", "std_travel_time", "recent_n"):

@@ -1157,7 +1157,56 @@ def q_hourly_stats_stream(spark, sf_dir):
 from delaylens.operators import cluster as CL  # noqa: E402
 
 
-@register("delay_clusters")
+def _clusters_sql(k: int, max_iter: int) -> str:
+    """The start and all iterations as relations; once the centres stay, further iterations change nothing."""
+    names = {"hour": "h", "delay": "d", "weekday": "w"}
+    stats = ", ".join(f"sum(w * {c}) / sum(w) AS m_{c}, coalesce(nullif(sqrt(greatest((sum(w * {c} * {c}) - sum(w * {c}) * sum(w * {c}) / sum(w)) "
+                      f"/ sum(w), 0)), 0), 1) AS s_{c}" for c in names)
+    whole = ", ".join(f"cast(floor(1000 * ({c} - m_{c}) / s_{c} + 0.5) AS BIGINT) AS z{x}" for c, x in names.items())
+
+    def far(i):
+        return " + ".join(f"(z{x} - {x}{i}) * (z{x} - {x}{i})" for x in names.values())
+
+    def least(n):
+        return f"least({', '.join(far(i) for i in range(n))})"
+
+    centre = ["c0 AS (SELECT zh AS h0, zd AS d0, zw AS w0 FROM z ORDER BY zh * zh + zd * zd + zw * zw, hour, delay, weekday LIMIT 1)"]
+    for i in range(1, k):
+        centre.append(f"c{i} AS (SELECT c{i - 1}.*, zh AS h{i}, zd AS d{i}, zw AS w{i} FROM z, c{i - 1} "
+                      f"ORDER BY {least(i)} DESC, hour, delay, weekday LIMIT 1)")
+    label = "CASE " + " ".join(f"WHEN {far(i)} = {least(k)} THEN {i}" for i in range(k)) + " END"
+    steps = [f"k0 AS MATERIALIZED (SELECT * FROM c{k - 1})"]
+    for r in range(max_iter):
+        new = ", ".join(f"coalesce(cast(floor(sum(w * z{x}) FILTER (c = {i}) / sum(w) FILTER (c = {i})) AS BIGINT), any_value({x}{i})) AS {x}{i}"
+                        for i in range(k) for x in names.values())
+        steps.append(f"k{r + 1} AS MATERIALIZED (SELECT {new} FROM (SELECT *, {label} AS c FROM z, k{r}))")
+
+    def mean(c):
+        return f"sum(w * {c}) / sum(w)"
+
+    def std(c):
+        var = f"(sum(w * {c} * {c}) - sum(w * {c}) * sum(w * {c}) / sum(w)) / (sum(w) - 1)"
+        return f"CASE WHEN sum(w) > 1 THEN sqrt(greatest({var}, 0)) END"
+
+    def cents(x):
+        return R(f"floor(({x}) * 100 + 0.5) / 100")
+
+    return f"""
+WITH points AS (
+  SELECT cast(hour(current_stop_departure) AS DOUBLE) AS hour, cast(current_stop_dep_delay AS DOUBLE) AS delay,
+         cast(isodow(current_stop_departure) - 1 AS DOUBLE) AS weekday, cast(count(*) AS DOUBLE) AS w
+  FROM merged WHERE current_stop_departure IS NOT NULL AND current_stop_dep_delay IS NOT NULL GROUP BY ALL),
+scale AS (SELECT {stats} FROM points),
+z AS MATERIALIZED (SELECT points.*, {whole} FROM points, scale),
+{", ".join(centre)},
+{", ".join(steps)}
+SELECT cast(c AS INTEGER) AS cluster, {cents(mean('delay'))} AS delay_mean, {cents(std('delay'))} AS delay_std,
+       cast(sum(w) AS BIGINT) AS delay_count, {cents(mean('hour'))} AS hour_mean, {cents(std('hour'))} AS hour_std,
+       {cents(mean('weekday'))} AS weekday_mean
+FROM (SELECT *, {label} AS c FROM z, k{max_iter}) GROUP BY c"""
+
+
+@register("delay_clusters", _clusters_sql(3, 20))
 def q_delay_clusters(spark, sf_dir):
     summary, _ = CL.delay_clusters(merged(spark, sf_dir))
     return summary

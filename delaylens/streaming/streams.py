@@ -1,4 +1,4 @@
-"""ST1 incremental stream, ST2 hourly statistics stream.
+"""ST1 incremental stream, ST2 hourly statistics stream, M3 recent errors on a stream.
 
 The batch loader keeps a high-water mark and silently loses late rows (any
 row at or before the mark). The stream keeps them: files are read as they
@@ -6,7 +6,7 @@ arrive, the event time is watermarked, and duplicates of a (trip, stop
 sequence) are dropped while their copies can still arrive, i.e. within the
 watermark delay. State is bounded by that delay; a row older than the
 watermark is dropped whether or not it was seen before - choose the delay
-from the observed lateness.
+from the observed lateness, or use ``streaming.accounted``, which keeps such rows.
 
 Each trigger takes all files that have arrived (Spark's default).
 ``max_files_per_trigger`` is a rate limit only: files are then taken in
@@ -18,11 +18,15 @@ multi-file output of one ST1 batch read by ST2).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from delaylens import constants as K
+from delaylens.functions import columns as C
 from delaylens.session import scratch_path
 
 KEY = ["rt_trip_id", "gtfs_stop_sequence"]
@@ -106,3 +110,39 @@ def split_into_day_files(df: DataFrame, path: str, overlap_hours: int = 6,
         replay = df.where(day == F.lit(replay_day).cast("date"))
     routed = routed.unionByName(replay.withColumn("batch", F.lit("replay")))
     routed.write.mode("overwrite").partitionBy("batch").parquet(path)
+
+
+def error_correction_stream(spark: SparkSession, source_dir: str, schema: StructType | None, sink_dir: str, cells: DataFrame,
+                            keys: Sequence[str] = (), checkpoint_dir: str | None = None, delay: str = "2 hours",
+                            value_col: str = "current_stop_dep_delay", step_minutes: int = 60, offset_minutes: int = 30,
+                            max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """M3 on a stream: for targets every ``step_minutes`` (``offset_minutes`` past the hour)
+    the recent rows, their mean and the correction, appended once the
+    watermark passes a target and never changed later.
+
+    The rows before a target are a sliding event-time window of an hour that
+    ends there, so the state holds, per key, the windows of the last hour and
+    the delay, each a count and a sum, whatever the number of rows; the
+    watermark removes them. ``cells`` is the static history (``predict.cell_stats``
+    of the same keys), joined by hour and weekday of the target. Targets
+    without recent rows have no row (their correction is 0).
+    """
+    if 60 % step_minutes:
+        raise ValueError("targets must divide the hour")
+    ckpt = checkpoint_dir or scratch_path(spark, "m3-checkpoint")
+    if schema is None:
+        schema = spark.read.parquet(source_dir).schema
+    time, keys = "current_stop_departure", list(keys)
+    s = read_stop_time_files(spark, source_dir, schema, max_files_per_trigger).withColumn(time, F.col(time).cast("timestamp"))
+    window = F.window(time, f"{K.RECENT_WINDOW_MINUTES} minutes", f"{step_minutes} minutes", f"{offset_minutes % step_minutes} minutes")
+    recent = (s.withWatermark(time, delay).groupBy(window.alias("w"), *keys)
+              .agg(F.count(F.lit(1)).alias("recent_n"), F.sum(value_col).alias("recent_sum"), F.count(value_col).alias("recent_cnt"))
+              .withColumn("target_ts", F.col("w.end"))
+              .withColumns({"hour": F.hour("target_ts"), "weekday": C.weekday("target_ts")}))
+    mean = F.try_divide(F.col("recent_sum"), F.col("recent_cnt"))
+    correction = F.when(F.col("recent_n") >= K.MIN_RECENT, mean - F.col("base_mean")).otherwise(F.lit(0.0))
+    out = (recent.join(cells.select("hour", "weekday", *keys, "base_mean", "sample_size"), ["hour", "weekday", *keys])
+           .select(*keys, "target_ts", "base_mean", "recent_n", correction.alias("error_correction")))
+    w = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt).outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -24,6 +24,7 @@ from delaylens.sources import fixtures
 from delaylens.sources import parsing as PX
 
 AS_OF = "1997-06-30"
+PAGE_KEYS, PAGE_STEP = 512, 10 ** 10  # order keys of a match list; distance of two customers' page ids
 
 _MATCHES = f"""
 om AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS competition, o_orderstatus || '.' AS round,
@@ -152,7 +153,8 @@ def _cell(css: str, text, tag: str = "div"):
 
 
 def match_pages(spark, sf_dir) -> DataFrame:
-    """A stored match list per customer: one row block a match, by order key; every 13th match lacks its date cells."""
+    """Stored match lists per customer and range of order keys, so that no customer's list grows without bound:
+    one row block a match, by order key; every 13th match lacks its date cells."""
     m = order_matches(spark, sf_dir)
     when = F.when(F.col("k") % 13 == 0, F.lit("")).otherwise(
         F.concat(_cell(PX.CELL_GRAY, F.col("Date")), _cell(PX.CELL_GRAY, F.col("Time"))))
@@ -163,8 +165,9 @@ def match_pages(spark, sf_dir) -> DataFrame:
         F.when(F.col("k") % 2 == 0, _cell(PX.SCORE_INNER, F.col("Score"), "span")).otherwise(F.lit("")),
         F.lit("</div>"))
     blocks = F.sort_array(F.collect_list(F.struct("k", block.alias("b"))))["b"]
-    return (m.groupBy("page").agg(F.array_join(blocks, "\n").alias("body"))
-            .select((-1 - F.col("page")).alias("page_id"),
+    part = F.floor(F.col("k") / PAGE_KEYS).cast("long")
+    return (m.groupBy("page", part.alias("part")).agg(F.array_join(blocks, "\n").alias("body"))
+            .select((-1 - F.col("page") * PAGE_STEP - F.col("part")).alias("page_id"),
                     F.concat(F.lit("<html><body>"), "body", F.lit("</body></html>")).alias("html")))
 
 
@@ -172,7 +175,8 @@ def match_pages(spark, sf_dir) -> DataFrame:
 WITH {_MATCHES},
 shown AS (SELECT *, CASE WHEN k % 13 = 0 THEN '' ELSE day END AS d, CASE WHEN k % 13 = 0 THEN '' ELSE clock END AS t
           FROM om)
-SELECT -1 - c AS page_id, cast(row_number() OVER (PARTITION BY c ORDER BY k) AS INTEGER) AS block_no,
+SELECT -1 - c * {PAGE_STEP} - k // {PAGE_KEYS} AS page_id,
+       cast(row_number() OVER (PARTITION BY c, k // {PAGE_KEYS} ORDER BY k) AS INTEGER) AS block_no,
        home AS "Home Team", away AS "Away Team", competition AS "Competition", round AS "Round",
        d AS "Date", t AS "Time", CASE WHEN k % 2 = 0 THEN score ELSE '{PX.NO_SCORE}' END AS "Score",
        CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_home,

@@ -1225,4 +1225,4 @@ def q_time_features(spark, sf_dir):
 
 
 
-from delaylens.plans import calendar_catalog, stored_catalog  # noqa: E402,F401
+from delaylens.plans import calendar_catalog, impact_catalog, stored_catalog  # noqa: E402,F401

@@ -9,6 +9,17 @@ from __future__ import annotations
 
 from delaylens.functions.tdist import t975_sql_expansion, t975_sql_values, TABLE_MAX_DOF
 
+LITERAL_MATCHES = """
+  SELECT * FROM (VALUES
+    ('06.01.2024', '19:00', 'D', 'FK Alpha'),
+    ('10.01.2024', '21:00', 'V', 'FC Beta'),
+    ('14.01.2024', '15:00', 'D', NULL),
+    ('20.01.2024', '?', 'D', 'SK Gamma'),
+    ('', '', 'V', 'FK Delta'),
+    ('27.01.2024', '17:00', 'V', 'FK Alpha')
+  ) AS m("Date", "Time", "Location", "Opponent")
+"""
+
 VIEWS = """
 st AS (
   SELECT
@@ -37,16 +48,7 @@ stops AS (
          cast(14.404 + 0.003 * n_nationkey AS DOUBLE) AS avg_longitude
   FROM nation
 ),
-matches_raw AS (
-  SELECT * FROM (VALUES
-    ('06.01.2024', '19:00', 'D', 'FK Alpha'),
-    ('10.01.2024', '21:00', 'V', 'FC Beta'),
-    ('14.01.2024', '15:00', 'D', NULL),
-    ('20.01.2024', '?', 'D', 'SK Gamma'),
-    ('', '', 'V', 'FK Delta'),
-    ('27.01.2024', '17:00', 'V', 'FK Alpha')
-  ) AS m("Date", "Time", "Location", "Opponent")
-),
+matches_raw AS (""" + LITERAL_MATCHES + """),
 matches AS (
   SELECT "Date", "Time", "Location",
          coalesce("Opponent", 'TBD') AS "Opponent",

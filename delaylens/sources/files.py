@@ -33,6 +33,7 @@ MATCH_CSV_COLUMNS = ("Home Team", "Away Team", "Opponent", "is_home", "Competiti
                      "Date", "Time", "Score", "Location", "datetime")
 SEMICOLON_COLUMNS = ("Skip", "Location", "Date", "Time", "Opponent")
 MAX_RECORDS_PER_FILE = 1_000_000
+PUSHED_IDS, PUSHED_LISTS = 1_000, 100  # ids, and lists of them, that are sent to the Parquet reader as filters
 
 
 # ------------------------------------------------------------ stop history
@@ -42,35 +43,67 @@ def _stop_id_frame(spark: SparkSession, stop_ids) -> DataFrame:
     return spark.createDataFrame([(s,) for s in stop_ids], "gtfs_stop_id string")
 
 
+def pushed_ids(column: str, ids: Sequence[str]) -> F.Column:
+    """Membership in a list of ids as a filter that the Parquet reader can use to skip row groups.
+
+    Lists up to the reader's threshold (``spark.sql.parquet.pushdown.inFilterThreshold``) reach it
+    as they are, longer ones only as a range; they are cut into lists of that length by id order.
+    """
+    ids = sorted(set(ids))
+    threshold = int(SparkSession.active().conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+    lists = [ids[k: k + max(1, threshold)] for k in range(0, len(ids), max(1, threshold))]
+    if len(lists) > PUSHED_LISTS:
+        return F.col(column).isin(ids)
+    out = F.lit(False)
+    for part in lists:
+        out = out | F.col(column).isin(part)
+    return out
+
+
 def scan_history(spark: SparkSession, path: str, stop_ids, years: Sequence[int] = (2024, 2025),
                  start=None, year_col: str = "year") -> DataFrame:
     """IO1: history Parquet (partitioned by year/month/day) for some years
     and platform ids, optionally only departures after ``start``.
 
     The year filter prunes partitions and ``start`` is pushed into the scan.
-    A Python id list becomes an ``IN`` filter pushed into the Parquet reader
-    (row-group statistics and dictionaries skip non-matching data); an id
-    DataFrame is a semi-join whose id side is broadcast once a bounded count
-    proves it small (platform lists are thousands of rows), so the history
-    is never shuffled for it.
+    Platform ids, a Python list or an id DataFrame of up to ``PUSHED_IDS`` rows
+    (a bounded read), become filters in the Parquet reader: with the layout of
+    ``write_history`` min/max statistics and Bloom filters skip row groups
+    without these ids. A longer id table is a semi-join: its side is broadcast
+    once a bounded count proves it small, and from there on the planner's
+    runtime filters (``session.DEFAULT_CONF``) thin the history before a shuffle.
     """
     df = spark.read.option("basePath", path).parquet(path)
     if year_col in df.columns and years is not None:
         df = df.where(F.col(year_col).isin(list(years)))
     if start is not None:
         df = df.where(F.col("current_stop_departure") > F.lit(start).cast("timestamp_ntz"))
-    if not isinstance(stop_ids, DataFrame):
-        return df.where(F.col("gtfs_stop_id").isin(list(stop_ids)))
-    return df.join(broadcast_if_small(_stop_id_frame(spark, stop_ids)), "gtfs_stop_id", "left_semi")
+    if isinstance(stop_ids, DataFrame):
+        ids = _stop_id_frame(spark, stop_ids).where(F.col("gtfs_stop_id").isNotNull())
+        few = [r[0] for r in ids.limit(PUSHED_IDS + 1).collect()]
+        if len(few) > PUSHED_IDS:
+            return df.join(broadcast_if_small(ids), "gtfs_stop_id", "left_semi")
+        stop_ids = few
+    return df.where(pushed_ids("gtfs_stop_id", list(stop_ids)))
+
 
+def write_history(df: DataFrame, path: str, mode: str = "append", row_group_bytes: int = 32 << 20,
+                  expected_ids: int = 20_000) -> None:
+    """Lay out stop times as year/month/day partitions for lookups by platform.
 
-def write_history(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Lay out stop times as year/month/day partitions."""
+    Rows are sorted by platform within each file, so that the row groups of a
+    day cover ranges of ids, and carry Bloom filters of them; an id's rows then
+    lie in one or two row groups of a file, and the others are never read.
+    """
     dep = F.col("current_stop_departure")
     laid = df.withColumns({"year": F.year(dep), "month": F.month(dep), "day": F.dayofmonth(dep)})
-    (balanced_for_write(laid, ["year", "month", "day"])
+    days = ["year", "month", "day"]
+    (balanced_for_write(laid, days).sortWithinPartitions(*days, "gtfs_stop_id", "current_stop_departure")
      .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-     .partitionBy("year", "month", "day").parquet(path))
+     .option("parquet.block.size", row_group_bytes)
+     .option("parquet.bloom.filter.enabled#gtfs_stop_id", "true")
+     .option("parquet.bloom.filter.expected.ndv#gtfs_stop_id", expected_ids)
+     .partitionBy(*days).parquet(path))
 
 
 def stop_id_list(stops: DataFrame, column: str = "all_stop_ids") -> DataFrame:

@@ -1,7 +1,7 @@
 """Chat formatting: turns to one marked text per conversation, Spark expressions only.
 
-Turns are collected as structs, sorted, adjacent turns of one role merged by an
-array aggregation, and concatenated. The template:
+Turns are collected as structs, sorted, adjacent turns of one role merged by array
+functions in time linear in the turns, and concatenated. The template:
 
     system     <<SYS>>text<</SYS>>
     user       [INST]text[/INST]
@@ -62,16 +62,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    def add(blocks: Column, t: Column) -> Column:
-        one = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        last = F.element_at(blocks, -1)
-        longer = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts")))
-        return (F.when(F.size(blocks) == 0, one)
-                .when(last["role"] == t["role"], F.concat(F.slice(blocks, 1, F.size(blocks) - 1), longer))
-                .otherwise(F.concat(blocks, one)))
-
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    blocks = turns.select("conv_id", F.aggregate("turns", none, add).alias("blocks"))
+    # a block begins where the role differs from that of the turn before; every step is linear in the turns
+    n = F.size("turns")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
+    marked = turns.withColumn("begins", begins)
+    blocks = marked.select("conv_id", F.transform("begins", lambda i, k: F.struct(
+        F.get("turns", i)["role"].alias("role"),
+        F.slice("turns", i + 1, F.coalesce(F.get("begins", k + 1), n) - i)["text"].alias("texts"))).alias("blocks"))
 
     def segment(text: Column, in_loss: Column) -> Column:
         return F.struct(text.alias("text"), in_loss.alias("in_loss"))
@@ -88,18 +85,41 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
-def loss_spans(segments: Column) -> Column:
-    """(start, length) in code points of the segments under the loss mask."""
-    begin = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.length(s["text"]).cast("long")
-        span = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"),
-                        F.when(s["in_loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+def loss_spans(segments: Column, chunk: int = 128) -> Column:
+    """(start, length) in code points of the segments under the loss mask.
 
-    return F.aggregate(segments, begin, step, lambda acc: acc["spans"])
+    Starts are sums within chunks of segments on top of sums of whole chunks, so that no
+    array grows turn by turn.
+    """
+    sizes = F.transform(segments, lambda s: F.length(s["text"]).cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def total(at: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(sizes, at + 1, n), zero, lambda a, x: a + x)
+
+    chunks = F.sequence(F.lit(0), F.floor(F.size(segments) / chunk).cast("int"))
+    before = F.aggregate(F.transform(chunks, lambda c: total(c * chunk, F.lit(chunk))), F.array(zero),
+                         lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    cut = F.struct(before.alias("before"), sizes.alias("sizes"))
+    # the two lists are made once: they are the single element that the lambda is called on
+    spans = F.element_at(F.transform(F.array(cut), lambda c: F.transform(segments, lambda s, i: F.struct(
+        s["in_loss"].alias("in_loss"),
+        (F.get(c["before"], F.floor(i / chunk).cast("int"))
+         + F.aggregate(F.slice(c["sizes"], F.floor(i / chunk).cast("int") * chunk + 1, i % chunk), zero, lambda a, x: a + x)).alias("start"),
+        F.get(c["sizes"], i).alias("length")))), 1)
+    return F.transform(F.filter(spans, lambda s: s["in_loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+
+
+def loss_text(formatted: Column) -> Column:
+    """All text under the loss mask of a formatted conversation, read back from its marks and unescaped.
+
+    In the output ``<`` only ever begins a mark, so the text under the mask is
+    what stands between the loss role's marks, without joints.
+    """
+    start, end = MARKS[LOSS_ROLE]
+    parts = F.split(formatted, f"\\Q{end}\\E")
+    masked = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.substring_index(p, start, -1))
+    return F.array_join(F.transform(masked, lambda p: unescape(F.replace(p, F.lit(JOINT), F.lit("")))), "")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -120,11 +140,10 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the output: turns, loss text and lengths, as digests."""
-    read = formatted.select("conv_id", "segments", "formatted", read_turns(F.col("formatted")).alias("turns"))
+    """What is read back from the output alone: turns, loss text and lengths, as digests."""
+    read = formatted.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"),
+                            loss_text(F.col("formatted")).alias("loss"))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["in_loss"]), lambda s: unescape(s["text"])), "")
-    return (read.withColumn("loss", loss)
-            .select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
-                    F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-                    F.length("formatted").cast("long").alias("formatted_chars")))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))

@@ -366,6 +366,41 @@ def test_chat_reads_back(spark):
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
 
 
+def test_chat_digests_come_from_the_output(spark):
+    """A mark that is damaged in the output shows in the digests."""
+    rows = [(1, k, ["user", "assistant"][k // 2 % 2], f"text <{k}>") for k in range(9)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    good = chat.digests(out).first()
+    full = out.first().formatted
+    for at in (m.start() for m in re.finditer(r"<s>|</s>|<\+>|\[INST\]", full)):
+        broken = spark.createDataFrame([(1, full[:at] + full[at + 3:])], "conv_id long, formatted string")
+        bad = chat.digests(broken).first()
+        assert (bad.turns_sha256, bad.loss_sha256) != (good.turns_sha256, good.loss_sha256)
+    for at in (m.start() for m in re.finditer(r"<s>|</s>", full)):
+        bad = chat.digests(spark.createDataFrame([(1, full[:at] + "x" + full[at + 1:])], "conv_id long, formatted string")).first()
+        assert bad.loss_sha256 != good.loss_sha256
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("0L AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role",
+                                         "concat('turn ', id) AS text")
+        began = time.perf_counter()
+        out = chat.format_conversations(rows)
+        row = chat.digests(out).first()
+        assert row.n_turns == n
+        spans = out.select("formatted", chat.loss_spans(F.col("segments")).alias("spans")).first()
+        assert sum(s.length for s in spans.spans) == row.loss_chars
+        assert all(spans.formatted[s.start: s.start + 5] == "turn " for s in spans.spans)
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    small, large = min(seconds(4_000) for _ in range(2)), seconds(16_000)
+    assert large <= 4 * small + 3
+
+
 def test_sentencepiece_equals_the_library(spark):
     from sentencepiece import SentencePieceProcessor
     sp = SentencePieceProcessor(model_file=PIECE)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,12 @@ def test_license_spans_cover_rising_template_positions(spark):
              "gnu general x public license version", "license version general public gnu general"]
     words = "gnu lesser general public license version 2 0 apache mozilla and use in source binary forms x".split()
     texts += [" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 25))) for _ in range(400)]
+    for paragraph, _ in licenses.PARAGRAPHS:  # whole, with words put in and left out, cut, and out of order
+        p = paragraph.split()
+        texts += [paragraph, " ".join(["so", *p[: len(p) // 2], "odd", "words", *p[len(p) // 2:], "end"]),
+                  " ".join(w for i, w in enumerate(p) if i != 9), " ".join(p[: len(p) * 3 // 4]), " ".join(p[: len(p) // 3]),
+                  " ".join(p[len(p) // 2:] + p[: len(p) // 2]), " ".join(w + " " + w for w in p)]
+    texts += ["public license " * 3_000]
     params = licenses.Params()
 
     def run_of(hits):  # longest run over all subsets that rise, by recursion
@@ -241,15 +248,17 @@ def test_license_spans_cover_rising_template_positions(spark):
         for k, t in enumerate(texts):
             w = re.findall("[a-z0-9]+", t)
             labels, score = set(), 0.0
-            for phrase, label in (*licenses.BASE, *licenses.PASSAGES):
-                p = phrase.split()
-                hits = [(i, j) for i in range(len(w) - 1) for j in range(len(p) - 1) if w[i:i + 2] == p[j:j + 2]]
+            for _, p, label, _, g in licenses.templates_of():
+                grams = defaultdict(list)
+                for j in range(len(p) - g + 1):
+                    grams[tuple(p[j:j + g])].append(j)
+                hits = [(i, j) for i in range(len(w) - g + 1) for j in grams.get(tuple(w[i:i + g]), ())]
                 by = defaultdict(list)
                 for i, j in hits:
                     by[i - j].append((i, j))
                 spans, last = [], None
                 for d in sorted(by):
-                    if len(by[d]) == len(p) - 1:
+                    if len(by[d]) == len(p) - g + 1:
                         labels.add(label)
                         score = 1.0
                     elif last is not None and d - last <= params.gap:
@@ -260,12 +269,28 @@ def test_license_spans_cover_rising_template_positions(spark):
                         last = d
                 for span in spans:
                     at = [i for i, _ in span]
-                    share = run_of(span) / (len(p) - 1)
-                    if share >= params.coverage and max(at) - min(at) + 2 <= params.stretch * len(p):
+                    if max(at) - min(at) + g > params.stretch * len(p):
+                        continue
+                    share = run_of(span) / (len(p) - g + 1)
+                    if share >= params.coverage:
                         labels.add(label)
                         score = max(score, share)
             assert (got[k].labels, got[k].score) == (",".join(sorted(labels)), pytest.approx(score)), t
         assert [got[k].labels for k in range(5)] == ["", "", "apache", "", "gpl"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841 (read by the SQL below)
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(map(tuple, got.values())) == sorted(con.execute(licenses.oracle_sql()).fetchall())
+
+
+def test_license_templates_of_any_length(spark):
+    """Other templates, another k, and a template table that is not broadcast."""
+    docs = frame(spark, ["a b c d e f g h", "a b c x d e f g h", "mit license", "a b"])
+    params = licenses.Params(gram=3, broadcast=0)
+    got = {r.doc_id: r for r in licenses.scan(docs, passages=(), params=params, paragraphs=(("a b c d e f g h", "own"),)).collect()}
+    assert [got[k].labels for k in range(4)] == ["own", "own", "mit", ""] and got[1].score == pytest.approx(4 / 6)
+    with pytest.raises(ValueError):
+        licenses.templates_of(paragraphs=(("a b c", "short"),))
 
 
 def check_packing(rows, ids_of, window=1024):

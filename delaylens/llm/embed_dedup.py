@@ -1,25 +1,33 @@
 """Near-duplicate vectors by randomly rotated binary codes.
 
-Every distinct vector is rotated by a few random orthogonal matrices; the signs
-are its code, and per rotation one correction factor is stored, the inner
-product of the rotated unit vector with its own signs. With it, signs of one
-vector and exact values of another give an unbiased estimate of their cosine,
-whose error has a known spread. Pairs whose estimate plus ``Params.deviations``
-spreads stays below the threshold are dropped; all others are computed exactly in
-double precision, so no link is below the threshold.
+Every distinct vector is turned by random orthogonal matrices; the signs are its
+code, and with each code goes a correction factor, the inner product of the
+turned unit vector with its own signs. With it, the signs of one vector and the
+(8-bit) values of another give an unbiased estimate of their cosine, whose error
+has a known spread. Only pairs whose estimate plus ``Params.deviations`` spreads
+reaches the threshold are computed exactly, in double precision, so no link is
+below the threshold.
 
 Pairs to estimate are those that agree in a band of the code, a run of signs.
 The length of a band follows the number of vectors (buckets of about
 ``Params.bucket``), the number of bands the target recall at the threshold.
-Buckets of any size are compared in pairs of blocks; links are counted where
-they are found, in the first band that both vectors share, and only counts and
-spanning links leave a task, so a group of copies is never written as pairs.
-Equal vectors are one vector with a count.
+
+1. Codes alone go to the bands: number, signs, 8-bit values and factor of about
+   64 components, 100 bytes a band, whatever the vector's length in doubles.
+   Buckets of any size are compared in pairs of blocks, one float32 product of
+   signs and values each, and the vectors that have some pair to be computed exactly
+   leave with the block's name.
+2. Exact vectors go to those blocks only. The same estimates name the same pairs
+   (rows stand in the order of their numbers, so that a pair is estimated alike in all
+   blocks), which are computed, and links are counted where they are found, in the
+   first band that both vectors share. Only counts and spanning links leave a task, so
+   a group of copies is never written as pairs. Equal vectors are one vector with a count.
 
 Defined results: NULL or zero vectors and those with NULL or non-finite
 components link with nothing and are their own component; vectors of different
-length do not link; rows that repeat an id are rows of their own; rows without
-id link with nothing and have no component; an empty table gives no rows.
+length do not link; rows that repeat an id are rows of their own, each with the
+links of its vector; rows without id link with nothing and have no component; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,8 +65,8 @@ class Params:
 
 
 def rotations(dim: int, params: Params) -> np.ndarray:
-    """dim x (rotations * dim): as many random orthogonal matrices as the bands need signs, at least two."""
-    count = max(2, -(-params.band * params.bands // dim))
+    """dim x (rotations * dim): as many random orthogonal matrices as the bands and the estimates need signs."""
+    count = max(2, kept(dim), -(-params.band * params.bands // dim))
     rng = np.random.default_rng([params.seed, dim])
     out = []
     for _ in range(count):
@@ -67,8 +75,17 @@ def rotations(dim: int, params: Params) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def kept(dim: int) -> int:
+    """Rotations whose code is kept for estimates: 64 signs at least."""
+    return max(1, -(-64 // dim))
+
+
+CODE = "signs binary, turned binary, scale float, factors binary"
+
+
 def codes(distinct: DataFrame, params: Params) -> DataFrame:
-    """node, n, dim, unit (doubles), signs (packed), factors (doubles), keys (one per band) of each distinct vector."""
+    """node, n, dim, unit (doubles), the code (``CODE``: packed signs, 8-bit values, their unit, a factor per
+    rotation) and keys (one per band) of each distinct vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -85,38 +102,78 @@ def codes(distinct: DataFrame, params: Params) -> DataFrame:
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 turned = unit @ known[dim]
                 sign = turned >= 0
-                factor = np.abs(turned).reshape(len(vec), -1, dim).sum(2) / math.sqrt(dim)
                 bits = sign[:, : params.band * params.bands].reshape(len(vec), params.bands, params.band)
                 number = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(params.band, dtype=np.uint64))
                 keys = mix(number + mix(np.arange(params.bands, dtype=np.uint64) + np.uint64(dim << 20))[None, :])
+                turned, sign = turned[:, : kept(dim) * dim], sign[:, : kept(dim) * dim]
+                factors = (np.abs(turned).reshape(len(vec), -1, dim).sum(2) / math.sqrt(dim)).astype(np.float32)
+                step = (np.abs(turned).max(1) / 127).astype(np.float32)
+                values = np.rint(turned / step[:, None].astype(np.float64)).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("n"), part.column("dim"),
-                     pa.array([x.tobytes() for x in unit]), pa.array([x.tobytes() for x in np.packbits(sign, axis=1)]),
-                     pa.array([x.tobytes() for x in factor]),
+                    [part.column("node"), part.column("n"), part.column("dim"), pa.array([x.tobytes() for x in unit]),
+                     pa.array([x.tobytes() for x in np.packbits(sign, axis=1)]), pa.array([x.tobytes() for x in values]),
+                     pa.array(step), pa.array([x.tobytes() for x in factors]),
                      pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                    ["node", "n", "dim", "unit", "signs", "factors", "keys"])
+                    ["node", "n", "dim", "unit", "signs", "turned", "scale", "factors", "keys"])
 
-    return distinct.mapInArrow(run, "node long, n long, dim int, unit binary, signs binary, factors binary, keys array<long>")
+    return distinct.mapInArrow(run, f"node long, n long, dim int, unit binary, {CODE}, keys array<long>")
 
 
-def linked_pairs(unit: np.ndarray, signs: np.ndarray, factors: np.ndarray, turn: np.ndarray, compare: np.ndarray,
-                 params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) under the mask ``compare`` whose exact cosine reaches the threshold."""
-    dim, count = turn.shape[0], turn.shape[1] // turn.shape[0]
-    plus = np.unpackbits(signs, axis=1, count=turn.shape[1]).astype(np.float32) * 2 - 1
-    plus /= np.repeat(factors * (math.sqrt(dim) * count), dim, axis=1)
-    estimate = plus @ (unit @ turn).astype(np.float32).T
+def possible(part: pa.Table, dim: int, params: Params) -> np.ndarray:
+    """Which pairs (i, j) of a block may reach the threshold, by the estimates from i's signs and j's values."""
+    count = kept(dim)
+    factors = stack(part, "factors", np.float32)
+    plus = np.unpackbits(stack(part, "signs", np.uint8), axis=1, count=count * dim).astype(np.float32) * 2 - 1
+    weight = 1 / (factors * (math.sqrt(dim) * count))
     spread = np.sqrt(((1 - np.minimum(factors, 1) ** 2) / factors ** 2).sum(1) / max(1, dim - 1)) / count
-    i, j = np.nonzero(compare & (estimate + (params.deviations * spread + 1e-4)[:, None] >= params.threshold))
+    scale = part.column("scale").to_numpy()[:, None]
+    # one more column: the most by which rounding to 8 bits can lower an estimate
+    left = np.concatenate([plus * np.repeat(weight, dim, axis=1), dim / 2 * weight.sum(1, keepdims=True)], axis=1)
+    right = np.concatenate([stack(part, "turned", np.int8) * scale, scale], axis=1)
+    return left @ right.T >= (params.threshold - params.deviations * spread - 1e-3)[:, None]
+
+
+def linked_pairs(unit: np.ndarray, pairs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) under the mask ``pairs`` whose exact cosine reaches the threshold."""
+    i, j = np.nonzero(pairs)
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(i), 50_000):
         a, b = i[at: at + 50_000], j[at: at + 50_000]
-        link = np.einsum("ij,ij->i", unit[a], unit[b]) >= params.threshold
+        link = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
         out_i.append(a[link])
         out_j.append(b[link])
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+GROUP = ["key", "lo", "hi"]
+
+
+def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Blocks of two rows at least, ordered by number, and which of their pairs are compared there."""
+    for whole in runs(batches, GROUP):
+        bounds = group_bounds(whole, GROUP)
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a > 1:
+                part = whole.slice(a, b - a)
+                part = part.take(np.argsort(part.column("node").to_numpy(), kind="stable"))
+                yield part, meets(part.column("lo")[0].as_py(), part.column("hi")[0].as_py(), part.column("own").to_numpy())
+
+
+def wanted(dealt: DataFrame, params: Params) -> DataFrame:
+    """The rows of each block that have a pair to be computed exactly."""
+    names = [*GROUP, "own", "band", "node"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, compare in blocks_of(batches):
+            near = compare & possible(part, part.column("dim")[0].as_py(), params)
+            some = np.flatnonzero(near.any(0) | near.any(1))
+            if len(some):
+                yield from part.select(names).take(some).combine_chunks().to_batches()
+
+    return (dealt.select(*names, "dim", *[c.split()[0] for c in CODE.split(", ")])
+            .mapInArrow(run, "key long, lo int, hi int, own int, band int, node long"))
+
+
 def near_duplicates(embeddings: DataFrame, params: Params = Params()) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings``."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -130,40 +187,29 @@ def near_duplicates(embeddings: DataFrame, params: Params = Params()) -> DataFra
     table, _ = materialise(codes(distinct, params), "codes")
     bands = table.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = bands.join(sizes, "key").join(table, "node")
-    dealt = block_pairs(members, "key", "size", params.block, F.xxhash64("node"))
+    code = [c.split()[0] for c in CODE.split(", ")]
+    members = bands.join(sizes, "key").join(table.select("node", "dim", *code), "node")
+    chosen = wanted(block_pairs(members, "key", "size", params.block, F.xxhash64("node")), params)
+    exact = (chosen.join(table.select("node", "n", "dim", "unit", *code, "keys"), "node")
+             .repartition("lo", "hi", "key").sortWithinPartitions(*GROUP))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
-        group = ["key", "lo", "hi"]
-        for whole in runs(batches, group):
-            bounds = group_bounds(whole, group)
-            found = []
-            for a, b in zip(bounds, bounds[1:]):
-                if b - a < 2:
-                    continue
-                part = whole.slice(a, b - a)
-                dim = part.column("dim")[0].as_py()
-                if dim not in turns:
-                    turns[dim] = rotations(dim, params)
-                compare = meets(part.column("lo")[0].as_py(), part.column("hi")[0].as_py(), part.column("own").to_numpy())
-                i, j = linked_pairs(stack(part, "unit", np.float64), stack(part, "signs", np.uint8),
-                                    stack(part, "factors", np.float64), turns[dim], compare, params)
-                if not len(i):
-                    continue
-                keys = np.stack(part.column("keys").to_pylist())
-                first = (keys[i] == keys[j]).argmax(1) == part.column("band")[0].as_py()
-                i, j = i[first], j[first]
-                n, node = part.column("n").to_numpy(), part.column("node").to_numpy()
-                links = np.bincount(i, weights=n[j], minlength=len(n)) + np.bincount(j, weights=n[i], minlength=len(n))
-                label = local_components(len(n), i, j)
-                some = np.flatnonzero(links)
-                found.append((node[some], node[label[some]], links[some].astype(np.int64)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
-                                                 ["node", "label", "links"])
-
-    links, _ = materialise(dealt.select("key", "lo", "hi", "own", "band", "node", "n", "dim", "unit", "signs", "factors", "keys")
+        for part, compare in blocks_of(batches):
+            near = compare & possible(part, part.column("dim")[0].as_py(), params)
+            i, j = linked_pairs(stack(part, "unit", np.float64), near, params.threshold)
+            if not len(i):
+                continue
+            keys = np.stack(part.column("keys").to_pylist())
+            first = (keys[i] == keys[j]).argmax(1) == part.column("band")[0].as_py()
+            i, j = i[first], j[first]
+            n, node = part.column("n").to_numpy(), part.column("node").to_numpy()
+            links = np.bincount(i, weights=n[j], minlength=len(n)) + np.bincount(j, weights=n[i], minlength=len(n))
+            label = local_components(len(n), i, j)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]),
+                                              pa.array(links[some].astype(np.int64))], ["node", "label", "links"])
+
+    links, _ = materialise(exact.select(*GROUP, "own", "band", "node", "n", "dim", "unit", *code, "keys")
                            .mapInArrow(run, "node long, label long, links long"), "vector-links")
     component, _ = materialise(connected(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
                                .join(distinct.select("node", "least"), "node"), "vector-components")

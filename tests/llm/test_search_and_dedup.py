@@ -154,6 +154,29 @@ def test_estimates_are_unbiased():
     assert abs(np.mean(seen) - x @ y) < 0.02
 
 
+def test_estimates_never_lose_a_pair_by_rounding_and_spare_most(spark):
+    """Near pairs stay possible, far ones mostly not, at one rotation of 64 components and at several of few."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for dim in (64, 12, 200):
+        x = rng.standard_normal((300, dim))
+        x[150:] = x[:150] + 0.2 * rng.standard_normal((150, dim))  # cosines of about 0.98
+        rows = [(int(k), 1, dim, [float(v) for v in r]) for k, r in enumerate(x)]
+        params = embed_dedup.Params().for_rows(10 ** 6)
+        table = spark.createDataFrame(rows, "node long, n long, dim int, embedding array<double>")
+        part = pa.Table.from_pandas(embed_dedup.codes(table, params).toPandas().sort_values("node"))
+        near = embed_dedup.possible(part, dim, params)
+        k = np.arange(150)
+        assert near[k, k + 150].all() and near[k + 150, k].all()
+        far = near.copy()
+        far[k, k + 150] = far[k + 150, k] = False
+        np.fill_diagonal(far, False)
+        assert far.mean() < 0.1
+        code = [len(part.column(c)[0].as_py()) for c in ("signs", "turned", "factors")]
+        assert dim != 64 or sum(code) + 4 + 8 <= 100  # with the unit of the values and the number
+
+
 def texts(seed=0):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(300)]

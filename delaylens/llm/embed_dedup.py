@@ -128,8 +128,12 @@ def possible(part: pa.Table, dim: int, params: Params) -> np.ndarray:
     spread = np.sqrt(((1 - np.minimum(factors, 1) ** 2) / factors ** 2).sum(1) / max(1, dim - 1)) / count
     scale = part.column("scale").to_numpy()[:, None]
     # one more column: the most by which rounding to 8 bits can lower an estimate
-    left = np.concatenate([plus * np.repeat(weight, dim, axis=1), dim / 2 * weight.sum(1, keepdims=True)], axis=1)
-    right = np.concatenate([stack(part, "turned", np.int8) * scale, scale], axis=1)
+    left = np.empty((len(plus), count * dim + 1), np.float32)
+    right = np.empty_like(left)
+    left[:, :-1] = (plus.reshape(-1, count, dim) * weight[:, :, None]).reshape(len(plus), -1)
+    left[:, -1] = dim / 2 * weight.sum(1)
+    right[:, :-1] = stack(part, "turned", np.int8) * scale
+    right[:, -1:] = scale
     return left @ right.T >= (params.threshold - params.deviations * spread - 1e-3)[:, None]
 
 
@@ -227,7 +231,11 @@ def near_duplicates(embeddings: DataFrame, params: Params = Params()) -> DataFra
 
 
 def stack(part: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(part.column(name).to_pylist()), kind).reshape(part.num_rows, -1)
+    """A binary column whose values all have one length, as a matrix over the column's own buffer."""
+    column = part.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]: ends[-1]].view(kind).reshape(len(column), -1)
 
 
 def oracle_sql(threshold: float = 0.9) -> str:

@@ -131,12 +131,11 @@ def scan(documents: DataFrame, base=BASE, passages=PASSAGES, params: Params = Pa
         for j, w in enumerate(words):
             same = same & (w == F.col(f"gram{k}")[j])
         places = places.join(F.broadcast(grams) if n <= params.broadcast else grams, same, "left")
-    every = F.concat(*[F.coalesce(f"places{k}", F.array().cast(PLACE)) for k in kinds])
-    hits = (places.select("doc_id", "text_hash", "n_words", "pos", F.col("w1").isNull().alias("ends"), every.alias("found"))
-            .where((F.size("found") > 0) | F.col("ends")))
-    hits = (hits.select("doc_id", "text_hash", "n_words", "pos", F.explode("found").alias("f"))
-            .select("doc_id", "text_hash", "n_words", "pos", "f.*")
-            .unionByName(hits.where("ends").select("doc_id", "text_hash", "n_words", "pos"), allowMissingColumns=True))
+    none = F.array().cast(PLACE)
+    own_row = F.when(F.col("w1").isNull(), F.array(F.lit(None)).cast(PLACE)).otherwise(none)
+    every = F.concat(*[F.coalesce(f"places{k}", none) for k in kinds], own_row)
+    hits = (places.select("doc_id", "text_hash", "n_words", "pos", F.explode(every).alias("f"))
+            .select("doc_id", "text_hash", "n_words", "pos", "f.*"))
     text = ["doc_id", "text_hash", "n_words"]
     votes = (hits.withColumn("diagonal", F.col("pos") - F.col("at"))
              .groupBy(*text, "template", "label", "is_base", "k", "grams", "diagonal")

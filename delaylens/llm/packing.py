@@ -6,13 +6,19 @@ a window) goes to the fill level whose choice leaves the least sum of squared
 counts of partially filled windows (a new window is level 0; ties go to the
 fuller level). Only the counts by level and the open windows' pieces are held.
 When the partition ends, or more than ``Params.open_windows`` windows are open,
-the open pieces are cut anew into whole windows; the very last rest is cut into
-windows whose lengths are powers of two, which need no padding.
+open windows are closed without padding: the fullest stay as the rule placed them
+and are filled up with pieces of the emptiest, which alone are cut anew. The
+very last rest is cut into windows whose lengths are powers of two. So at any number
+of rows a task's windows are those of the rule, but for the gaps of the last open ones;
+``open_windows`` bounds memory, and tasks that pass it fill such gaps more than once.
 
 Ids come from the byte-level BPE of a tokenizers JSON file. Text is cut at
 single spaces and line ends between other characters (places where that
 vocabulary's pattern always begins a new token), distinct words are encoded once
-per worker, and the ids of a text are the words' ids in order.
+per worker, and the ids of a text are the words' ids in order. This holds for a
+vocabulary without normaliser whose pre-tokenizer is the byte-level one and whose
+merges come in the order of their ids, which is checked; with any other file every
+text goes through the tokenizers library.
 
 Sequences are numbered by (task, number in the task), so no shuffle, counter or
 global order is needed and a repeated task numbers its sequences alike. Defined
@@ -27,7 +33,6 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +85,9 @@ class ByteBpe:
         alphabet = dict(zip(byte_alphabet(), range(256)))
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items()
                  if token not in self.special}
+        self.fast = None
+        if not regular(spec, self.special):
+            return self
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.words = Words(self.fast.encode_ordinary)
@@ -93,6 +101,8 @@ class ByteBpe:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.fast is None:
+            return [np.array(e.ids, "<u4") for e in self.exact.encode_batch(texts, add_special_tokens=False)]
         out: list[np.ndarray | None] = [None] * len(texts)
         docs = [self.units(t) for t in texts]
         for i, t in enumerate(texts):
@@ -107,6 +117,21 @@ class ByteBpe:
         return out
 
 
+def regular(spec: dict, special: list[str]) -> bool:
+    """Whether ids follow from byte pairs ranked by id after the byte-level split, with nothing before or beside it."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    vocab = model["vocab"]
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    made = [vocab[a + b] for a, b in pairs]
+    single = [i for t, i in vocab.items() if len(t) == 1 and t not in special]
+    return made == sorted(made) and len(single) == 256 and (not made or max(single) < made[0])
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -153,34 +178,58 @@ class Packer:
             self.drain()
 
     def drain(self, last: bool = False) -> None:
-        """Cut the open pieces anew into whole windows; at the end also into powers of two."""
-        pieces = list(chain.from_iterable(chain.from_iterable(reversed(self.open))))
-        left = sum(len(p[2]) for p in pieces)
+        """Close the open windows without padding: the fullest stay as they were placed and are filled up with
+        pieces of the emptiest, which alone are cut anew. What is left, less than a window, stays open or, at
+        the end, is cut into powers of two."""
+        w = self.p.window
+        windows = [x for level in range(w - 1, 0, -1) for x in self.open[level]]
         self.open = [[] for _ in self.open]
         self.count[:] = 0
-        window: list = []
-        room = goal = self.next_length(left)
-        for doc_id, start, ids, n in pieces:
-            at = 0
-            while at < len(ids):
-                if goal < self.p.window and not last:  # the rest stays one open window
-                    window.append((doc_id, start + at, ids[at:], n))
-                    break
-                take = min(room, len(ids) - at)
-                window.append((doc_id, start + at, ids[at: at + take], n))
-                at, room = at + take, room - take
-                if not room:
-                    self.closed.append(window)
-                    left -= goal
-                    window, room = [], self.next_length(left)
-                    goal = room
-        if window:
-            level = sum(len(p[2]) for p in window)
-            self.open[level].append(window)
-            self.count[level] += 1
-
-    def next_length(self, left: int) -> int:
-        return self.p.window if left >= self.p.window else 1 << (left.bit_length() - 1) if left else 0
+        giving: list = []  # pieces of the emptiest window, the next one last
+        low = len(windows)
+        k = 0
+        while k < low:
+            window = windows[k]
+            room = w - sum(len(p[2]) for p in window)
+            while room:
+                if not giving:
+                    if low - 1 == k:
+                        break
+                    low -= 1
+                    giving = windows[low][::-1]
+                piece, giving = self.cut(giving, room)
+                window.append(piece)
+                room -= len(piece[2])
+            if room:
+                giving = window[::-1]
+                break
+            self.closed.append(window)
+            k += 1
+        rest = giving[::-1]
+        left = sum(len(p[2]) for p in rest)
+        if not last:
+            if rest:
+                self.open[left].append(rest)
+                self.count[left] += 1
+            return
+        giving = rest[::-1]
+        while left:
+            goal = room = 1 << (left.bit_length() - 1)
+            window = []
+            while room:
+                piece, giving = self.cut(giving, room)
+                window.append(piece)
+                room -= len(piece[2])
+            self.closed.append(window)
+            left -= goal
+
+    @staticmethod
+    def cut(pieces: list, room: int) -> tuple[tuple, list]:
+        """A piece of at most ``room`` ids from the end of a list of pieces, and what is left of the list."""
+        doc_id, start, ids, n = pieces.pop()
+        if len(ids) > room:
+            pieces.append((doc_id, start + room, ids[room:], n))
+        return (doc_id, start, ids[:room], n), pieces
 
     def take(self) -> list[list]:
         out, self.closed = self.closed, []

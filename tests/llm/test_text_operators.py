@@ -352,9 +352,49 @@ def test_packing_chooses_the_least_sum_of_squares():
             levels[level + size] += 1
         packer.add(doc, np.arange(size, dtype="<u4"))
         assert {h: int(v) for h, v in enumerate(packer.count) if v} == {h: v for h, v in levels.items() if v}
+    before = [[p[0] for p in w] for level in range(15, 0, -1) for w in packer.open[level]]
+    done = len(packer.closed)
     packer.drain(last=True)
-    sizes = [sum(len(p[2]) for p in w) for w in packer.take()]
+    windows = packer.take()
+    sizes = [sum(len(p[2]) for p in w) for w in windows]
     assert all(s & (s - 1) == 0 for s in sizes) and sum(s < 16 for s in sizes) <= 4
+    # the fullest open windows are still there, in order, with pieces of the emptiest behind
+    after = [[p[0] for p in w] for w in windows[done:]]
+    intact = sum(a[: len(b)] == b for a, b in zip(after, before))
+    assert intact >= len(after) - 6 and intact > 0.5 * len(before)
+
+
+def test_open_windows_bound_what_is_held():
+    rnd = random.Random(7)
+    packer, fed = packing.Packer(packing.Params(window=64, open_windows=5)), {}
+    for doc in range(900):
+        fed[doc] = np.arange(rnd.randint(1, 200), dtype="<u4") + doc
+        packer.add(doc, fed[doc])
+        assert packer.count.sum() <= 5 and packer.count.sum() == sum(map(len, packer.open))
+    packer.drain(last=True)
+    windows = packer.take()
+    pieces = sorted((p[0], p[1], p[2].tolist()) for w in windows for p in w)
+    for doc, ids in fed.items():
+        own = [p for p in pieces if p[0] == doc]
+        assert sum((p[2] for p in own), []) == ids.tolist() and [p[1] for p in own] == list(np.cumsum([0] + [len(p[2]) for p in own])[:-1])
+    sizes = [sum(len(p[2]) for p in w) for w in windows]
+    assert sum(s != 64 for s in sizes) <= 6 and all(s & (s - 1) == 0 for s in sizes)
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.regular(spec, ["<|endoftext|>"])
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    bpe, exact = packing.ByteBpe.load(str(path)).open(), Tokenizer.from_file(str(path))
+    assert bpe.fast is None
+    texts = ["It's HERE  now", "", "x\ny Z"]
+    assert [i.tolist() for i in bpe.encode(texts)] == [exact.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_byte_bpe_equals_the_library():

@@ -38,7 +38,7 @@ def exact_medians(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], name:
 
     ``rows`` holds keys (never NULL-safe: rows with a NULL key have no group),
     ``_value`` and ``_weight``, the number of rows that one stands for; NULL
-    values are skipped. It is read once a round and should be cheap to scan.
+    values are skipped. Both are read once a round and should be cheap to scan.
     """
     keys = list(keys)
     rows = rows.select(*keys, VALUE, WEIGHT).where(F.col(VALUE).isNotNull())
@@ -54,11 +54,8 @@ def exact_medians(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], name:
                           ((F.col("_known") + 1) / 2).cast("long").alias("_rank"), (F.col("_known") % 2 == 0).alias("_even"),
                           F.lit(0).cast("long").alias("_below"), F.col("_known").alias("_size"), F.lit(None).cast(kind).alias("_next"))
     carried = ["_rank", "_even"]
-    while True:
-        state = materialise(state, "median-ranges")
-        wide = (F.col("_size") > buckets) & (lo < hi)
-        if state.where(wide).isEmpty():
-            break
+    wide = (F.col("_size") > buckets) & (lo < hi)
+    while not state.where(wide).isEmpty():
         cut = F.least(F.floor((value - lo).cast("double") * buckets / (hi - lo)), F.lit(buckets - 1))
         part = F.when(value < lo, -1).when(value > hi, buckets).otherwise(cut).cast("int")
         counts = (rows.join(state.where(wide).select(*keys, "_lo", "_hi", *carried), keys)
@@ -69,7 +66,7 @@ def exact_medians(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], name:
                  .where((F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
                  .select(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), *carried,
                          (F.col("_upto") - F.col("_n")).alias("_below"), F.col("_n").alias("_size"), "_next"))
-        state = state.where(~wide).unionByName(found)
+        state = materialise(state.where(~wide).unionByName(found), "median-ranges")
 
     first = F.col("_rank") - F.col("_below")
     second = first + F.col("_even").cast("long")

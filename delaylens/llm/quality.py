@@ -1,15 +1,16 @@
 """Quality: supervised subword embeddings averaged per document, softmax output.
 
 Each word (split at white space, case kept) stands for the hashed buckets of
-itself and of its character n-grams; every bucket has a learned vector. A
-document is the mean of the vectors of all its words' buckets, and a softmax
-layer turns it into two class probabilities. Vectors and layer are trained
-together by numpy stochastic gradient descent. A word that repeats the word
-before it is followed by one more token, ``AGAIN``, so that runs of one word are
-visible to a mean that otherwise knows no order.
+itself and of its character n-grams, each pair of neighbouring words for one
+hashed bucket; every bucket has a learned vector. A document is the mean of the
+vectors of all its buckets, and a softmax layer turns it into two class
+probabilities. Vectors and layer are trained together by numpy stochastic
+gradient descent. All pairs of a word with itself share one bucket, so that runs
+of words that training has not seen are visible too.
 
 Because the output layer is linear in the mean, a trained model boils down to
-one number and one count per word; scoring adds them up over whole texts.
+one number per bucket; scoring adds up, over whole texts, what each word brings
+(kept per word) and the numbers of its pairs, which follow from the words' hashes.
 
 Learning uses a bounded random sample (``Params.sample``) of the labelled rows.
 Defined results: NULL and empty texts have the zero vector, hence the output
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import WordTable, slices, texts_of, word_hashes, word_ngrams
+from delaylens.llm.common import WordTable, mix, slices, texts_of, word_hashes, word_ngrams
 from delaylens.llm.toxicity import labelled_sample
 
-AGAIN = "\x01again"
+#: What a word brings to a text: log odds of its buckets, their number, and its hash.
+WORD = np.dtype([("value", "<f8"), ("count", "<i8"), ("hash", "<u8")])
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class Params:
     sample_share: float = 0.6  # of these, rows of label 1 at most
     lo: int = 2               # n-gram lengths
     hi: int = 3
-    buckets: int = 1 << 17
+    buckets: int = 1 << 18
     dim: int = 8
     epochs: int = 3
     batch: int = 32           # documents per gradient step
@@ -54,42 +56,44 @@ class Model:
     bias: float                                # log odds of the empty text
     logits: np.ndarray = field(repr=False)     # log odds that a bucket's vector adds, by bucket
 
-    def word_values(self, words: list[str]) -> list[float]:
-        """Log odds of each word's buckets, summed."""
+    def word_values(self, words: list[str]) -> list[bytes]:
+        """A ``WORD`` record of each word."""
         rows, buckets = word_buckets(words, self.params)
-        return np.bincount(rows, weights=self.logits[buckets], minlength=len(words)).tolist()
+        out = np.zeros(len(words), WORD)
+        out["value"] = np.bincount(rows, weights=self.logits[buckets], minlength=len(words))
+        out["count"] = np.bincount(rows, minlength=len(words))
+        out["hash"] = word_hashes(words)
+        raw = out.tobytes()
+        return [raw[k: k + WORD.itemsize] for k in range(0, len(raw), WORD.itemsize)]
 
     def scores(self, texts: list[str], table: WordTable) -> np.ndarray:
-        docs = [tokens_of(t) for t in texts]
+        docs = [t.split() for t in texts]
         values = table.prepare(docs)
-        total = np.array([sum(map(values.__getitem__, d)) for d in docs], np.float64)
-        n = np.array([bucket_count(d, self.params) for d in docs])
-        z = total / np.maximum(n, 1) + self.bias
+        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+        words = np.frombuffer(b"".join([b"".join(map(values.__getitem__, d)) for d in docs]), WORD)
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        total = np.bincount(doc, weights=words["value"], minlength=len(docs))
+        n = np.bincount(doc, weights=words["count"], minlength=len(docs))
+        if len(words) > 1:
+            within = doc[1:] == doc[:-1]
+            pair = self.logits[pair_buckets(words["hash"], self.params)]
+            total += np.bincount(doc[1:], weights=pair * within, minlength=len(docs))
+        z = total / np.maximum(n + np.maximum(lengths - 1, 0), 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def bucket_count(tokens: list[str], params: Params) -> int:
-    """Number of buckets of all tokens: each word itself and its n-grams, with both marks; ``AGAIN`` one."""
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
-    total = len(tokens) + sum(int(np.maximum(lengths - n + 1, 0).sum()) for n in range(params.lo, params.hi + 1))
-    again = sum(max(0, len(AGAIN) + 2 - n + 1) for n in range(params.lo, params.hi + 1))
-    return total - again * tokens.count(AGAIN)
-
-
-def tokens_of(text: str) -> list[str]:
-    words = text.split()
-    out = list(words)
-    out.extend(AGAIN for a, b in zip(words, words[1:]) if a == b)
-    return out
+def pair_buckets(hashes: np.ndarray, params: Params) -> np.ndarray:
+    """Bucket of each pair of neighbours in a run of word hashes; equal words share one."""
+    a, b = hashes[:-1], hashes[1:]
+    pair = mix(a * np.uint64(0x9E3779B97F4A7C15) ^ mix(b))
+    return (np.where(a == b, np.uint64(0x5851F42D4C957F2D), pair) % np.uint64(params.buckets)).astype(np.int64)
 
 
 def word_buckets(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(row of word, bucket) of every word itself and of its character n-grams; ``AGAIN`` has one bucket."""
-    plain = [w if w != AGAIN else "" for w in words]
-    rows, hashes = word_ngrams(plain, params.lo, params.hi)
-    ok = np.fromiter((w != AGAIN for w in words), bool, len(words))[rows]
-    rows = np.concatenate([np.arange(len(words)), rows[ok]])
-    hashes = np.concatenate([word_hashes(words), hashes[ok]])
+    """(row of word, bucket) of every word itself and of its character n-grams."""
+    rows, hashes = word_ngrams(words, params.lo, params.hi)
+    rows = np.concatenate([np.arange(len(words)), rows])
+    hashes = np.concatenate([word_hashes(words), hashes])
     return rows, (hashes % np.uint64(params.buckets)).astype(np.int64)
 
 
@@ -105,14 +109,15 @@ def fit_rows(rows: list[tuple[str, int, float]], params: Params = Params()) -> M
         return Model(params, 40.0 if len(y) and y[0] == 1 else -40.0, np.zeros(params.buckets))
     weight = np.array([r[2] for r in rows], np.float32)
     vocabulary: dict[str, int] = {}
-    docs = []
-    for text, _, _ in rows:  # words of a document with their counts
-        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in tokens_of(text)), np.int64)
-        docs.append(np.unique(ids, return_counts=True))
+    texts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in text.split()), np.int64) for text, _, _ in rows]
     word, bucket = word_buckets(list(vocabulary), params)
     order = np.argsort(word, kind="stable")
-    bucket = bucket[order]
-    start = np.searchsorted(word[order], np.arange(len(vocabulary) + 1))
+    # features: the words, with all their buckets, and behind them the buckets of pairs, each with itself
+    bucket = np.concatenate([bucket[order], np.arange(params.buckets)])
+    start = np.concatenate([np.searchsorted(word[order], np.arange(len(vocabulary))), len(word) + np.arange(params.buckets + 1)])
+    hashes = word_hashes(list(vocabulary))
+    docs = [np.unique(np.concatenate([ids, len(vocabulary) + pair_buckets(hashes[ids], params)]) if len(ids) > 1 else ids,
+                      return_counts=True) for ids in texts]  # with their counts
 
     rng = np.random.default_rng(params.seed)
     vectors = rng.uniform(-1 / params.dim, 1 / params.dim, (params.buckets, params.dim)).astype(np.float32)

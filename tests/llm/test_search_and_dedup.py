@@ -172,8 +172,8 @@ def test_estimates_never_lose_a_pair_by_rounding_and_spare_most(spark):
         far = near.copy()
         far[k, k + 150] = far[k + 150, k] = False
         np.fill_diagonal(far, False)
-        assert far.mean() < 0.1
-        code = [len(part.column(c)[0].as_py()) for c in ("signs", "turned", "factors")]
+        assert far.mean() < (0.001 if dim >= 64 else 0.1)  # in few dimensions many pairs are near by chance
+        code = [len(part.column(c)[0].as_py()) for c in ("turned", "factors")]
         assert dim != 64 or sum(code) + 4 + 8 <= 100  # with the unit of the values and the number
 
 

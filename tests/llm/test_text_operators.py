@@ -147,6 +147,52 @@ def plain_buckets(text, params):
     return out
 
 
+def test_toxicity_training_equals_plain_counts_and_steps():
+    """Ratios from dictionaries of n-gram counts, then every step of the optimiser by loops over documents."""
+    rows = toy()[:40] + [("", 0, 1.0), ("a", 1, 1.0)]
+    params = toxicity.Params(buckets=997, steps=7)
+    model = toxicity.fit_rows(rows, params)
+    docs = []
+    for text, _, _ in rows:  # an n-gram counts once for each distinct word that holds it
+        words = sorted(set(text.lower().split()))
+        docs.append([Counter(h % 997 for h in plain_ngrams(w, params.lo, params.hi)) for w in words])
+    y, weight = [r[1] for r in rows], [r[2] for r in rows]
+    n1 = sum(y)
+    n0 = len(y) - n1
+    holds = [Counter(), Counter()]
+    for d, label in zip(docs, y):
+        holds[label].update(set().union(*d) if d else ())
+    a0, a1 = 2 * n0 / (n0 + n1), 2 * n1 / (n0 + n1)
+    ratio = {}
+    for k in set(holds[0]) | set(holds[1]):
+        r = np.log((holds[1][k] + a1) / (n1 + 2 * a1)) - np.log((holds[0][k] + a0) / (n0 + 2 * a0))
+        if holds[0][k] + holds[1][k] >= params.least_docs and abs(r) >= params.least_ratio:
+            ratio[k] = r
+    found = [sum(d, Counter()) for d in docs]
+    found = [{k: n for k, n in f.items() if k in ratio} for f in found]
+    w, bias = dict.fromkeys(ratio, 0.0), np.log(n1 / n0)
+    m, v, mb, vb = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0), 0.0, 0.0
+    for step in range(1, params.steps + 1):
+        grad, gb = {k: params.l2 * w[k] for k in ratio}, 0.0
+        for f, label, wt in zip(found, y, weight):
+            z = bias + sum(w[k] * ratio[k] * n for k, n in f.items())
+            err = wt * (1 / (1 + np.exp(-z)) - label) / len(y)
+            gb += err
+            for k, n in f.items():
+                grad[k] += err * ratio[k] * n
+        old, ob = dict(w), bias
+        for k in ratio:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.99 * v[k] + 0.01 * grad[k] ** 2
+            w[k] = old[k] - 0.05 * (m[k] / (1 - 0.9 ** step)) / ((v[k] / (1 - 0.99 ** step)) ** 0.5 + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb ** 2
+        bias = ob - 0.05 * (mb / (1 - 0.9 ** step)) / ((vb / (1 - 0.99 ** step)) ** 0.5 + 1e-8)
+    assert ratio and model.bias == pytest.approx(bias, abs=1e-9)
+    want = np.zeros(997)
+    for k in ratio:
+        want[k] = w[k] * ratio[k]
+    assert model.weights == pytest.approx(want, abs=1e-7)
+
+
 def test_quality_training_equals_plain_steps():
     """Two documents a step, every gradient by hand over dictionaries of buckets."""
     rows = [("sun moon sun", 1, 1.0), ("bad## bad## x", 0, 2.0), ("sky", 1, 1.0), ("", 0, 1.0), ("no## good x x", 0, 1.0), ("star sun", 1, 0.5)]

@@ -3,7 +3,7 @@
 Every distinct vector is turned by random orthogonal matrices; the signs are its
 code, and with each code goes a correction factor, the inner product of the
 turned unit vector with its own signs. With it, the signs of one vector and the
-(8-bit) values of another give an unbiased estimate of their cosine, whose error
+(4-bit) values of another give an unbiased estimate of their cosine, whose error
 has a known spread. Only pairs whose estimate plus ``Params.deviations`` spreads
 reaches the threshold are computed exactly, in double precision, so no link is
 below the threshold.
@@ -12,8 +12,8 @@ Pairs to estimate are those that agree in a band of the code, a run of signs.
 The length of a band follows the number of vectors (buckets of about
 ``Params.bucket``), the number of bands the target recall at the threshold.
 
-1. Codes alone go to the bands: number, signs, 8-bit values and factor of about
-   64 components, 100 bytes a band, whatever the vector's length in doubles.
+1. Codes alone go to the bands: number, 4-bit values (whose signs are the vector's)
+   and factors of two rotations at least, 84 bytes a band for 64 components.
    Buckets of any size are compared in pairs of blocks, one float32 product of
    signs and values each, and the vectors that have some pair to be computed exactly
    leave with the block's name.
@@ -76,16 +76,33 @@ def rotations(dim: int, params: Params) -> np.ndarray:
 
 
 def kept(dim: int) -> int:
-    """Rotations whose code is kept for estimates: 64 signs at least."""
-    return max(1, -(-64 // dim))
+    """Rotations whose code is kept for estimates: two, and 128 signs at least."""
+    return max(2, -(-128 // dim))
 
 
-CODE = "signs binary, turned binary, scale float, factors binary"
+CODE = "turned binary, scale float, factors binary"
+
+
+def packed(turned: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Two 4-bit values a byte: level k of 16 stands for (k - 7.5) steps, so levels from 8 on are the positive ones."""
+    level = np.clip(np.floor(turned / step[:, None]) + 8, 0, 15).astype(np.uint8)
+    if level.shape[1] % 2:
+        level = np.concatenate([level, np.zeros((len(level), 1), np.uint8)], axis=1)
+    return level[:, ::2] | level[:, 1::2] << 4
+
+
+#: The two values of a byte, in steps.
+LEVELS = np.stack([np.arange(256) & 15, np.arange(256) >> 4], axis=1).astype(np.float32) - 7.5
+
+
+def unpacked(raw: np.ndarray, size: int) -> np.ndarray:
+    """The values of ``packed``, in steps."""
+    return LEVELS[raw].reshape(len(raw), -1)[:, :size]
 
 
 def codes(distinct: DataFrame, params: Params) -> DataFrame:
-    """node, n, dim, unit (doubles), the code (``CODE``: packed signs, 8-bit values, their unit, a factor per
-    rotation) and keys (one per band) of each distinct vector."""
+    """node, n, dim, unit (doubles), the code (``CODE``: 4-bit values, their step, a factor per rotation) and keys
+    (one per band) of each distinct vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -105,16 +122,14 @@ def codes(distinct: DataFrame, params: Params) -> DataFrame:
                 bits = sign[:, : params.band * params.bands].reshape(len(vec), params.bands, params.band)
                 number = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(params.band, dtype=np.uint64))
                 keys = mix(number + mix(np.arange(params.bands, dtype=np.uint64) + np.uint64(dim << 20))[None, :])
-                turned, sign = turned[:, : kept(dim) * dim], sign[:, : kept(dim) * dim]
+                turned = turned[:, : kept(dim) * dim]
                 factors = (np.abs(turned).reshape(len(vec), -1, dim).sum(2) / math.sqrt(dim)).astype(np.float32)
-                step = (np.abs(turned).max(1) / 127).astype(np.float32)
-                values = np.rint(turned / step[:, None].astype(np.float64)).astype(np.int8)
+                step = (np.abs(turned).max(1) / 8).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("n"), part.column("dim"), pa.array([x.tobytes() for x in unit]),
-                     pa.array([x.tobytes() for x in np.packbits(sign, axis=1)]), pa.array([x.tobytes() for x in values]),
-                     pa.array(step), pa.array([x.tobytes() for x in factors]),
+                     pa.array([x.tobytes() for x in packed(turned, step)]), pa.array(step), pa.array([x.tobytes() for x in factors]),
                      pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                    ["node", "n", "dim", "unit", "signs", "turned", "scale", "factors", "keys"])
+                    ["node", "n", "dim", "unit", "turned", "scale", "factors", "keys"])
 
     return distinct.mapInArrow(run, f"node long, n long, dim int, unit binary, {CODE}, keys array<long>")
 
@@ -123,17 +138,17 @@ def possible(part: pa.Table, dim: int, params: Params) -> np.ndarray:
     """Which pairs (i, j) of a block may reach the threshold, by the estimates from i's signs and j's values."""
     count = kept(dim)
     factors = stack(part, "factors", np.float32)
-    plus = np.unpackbits(stack(part, "signs", np.uint8), axis=1, count=count * dim).astype(np.float32) * 2 - 1
+    values = unpacked(stack(part, "turned", np.uint8), count * dim)
     weight = 1 / (factors * (math.sqrt(dim) * count))
     spread = np.sqrt(((1 - np.minimum(factors, 1) ** 2) / factors ** 2).sum(1) / max(1, dim - 1)) / count
-    scale = part.column("scale").to_numpy()[:, None]
-    # one more column: the most by which rounding to 8 bits can lower an estimate
-    left = np.empty((len(plus), count * dim + 1), np.float32)
+    scale = part.column("scale").to_numpy()
+    left = np.empty((len(values), count * dim + 1), np.float32)
     right = np.empty_like(left)
-    left[:, :-1] = (plus.reshape(-1, count, dim) * weight[:, :, None]).reshape(len(plus), -1)
-    left[:, -1] = dim / 2 * weight.sum(1)
-    right[:, :-1] = stack(part, "turned", np.int8) * scale
-    right[:, -1:] = scale
+    np.copysign(np.repeat(weight, dim, axis=1), values, out=left[:, :-1])
+    np.multiply(values, scale[:, None], out=right[:, :-1])
+    # one more column: the deviations of an estimate by j's rounding to 16 levels, for 4-bit steps of that size
+    left[:, -1] = params.deviations * np.sqrt(dim / 12 * (weight ** 2).sum(1))
+    right[:, -1] = scale
     return left @ right.T >= (params.threshold - params.deviations * spread - 1e-3)[:, None]
 
 

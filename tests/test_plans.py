@@ -7,7 +7,8 @@ from conftest import SF_SMALL
 
 STREAMING_OR_WRITES = {"incremental_stream", "hourly_stats_stream", "scan_history", "incremental_load",
                        "persist_stop_times", "export_csv", "read_stops", "load_stop_times",
-                       "hourly_stats_table", "ad_hoc_parquet", "delay_clusters"}
+                       "hourly_stats_table", "ad_hoc_parquet", "delay_clusters", "append_batches", "upsert_stored",
+                       "hourly_summary", "daily_summary", "late_rows", "error_correction_stream"}
 
 
 def _plan(df):

@@ -1,10 +1,11 @@
 """Connected components of a link table, in Spark (large-star / small-star).
 
 Every round links each node to the smallest node it knows, first among its
-larger neighbours, then among its smaller ones, until nothing changes. The
-links never leave the cluster; a round is one partly aggregated minimum and one
-join each, written to the shared checkpoint folder so that lost executors do
-not repeat earlier rounds. Joins on a node that very many others point to are
+larger neighbours, then among its smaller ones, until all links form stars
+around smallest nodes. One count by node tells that, so no round is spent on
+seeing that nothing changes. The links never leave the cluster; a round is one
+partly aggregated minimum and one join each, written to the shared checkpoint
+folder so that lost executors do not repeat earlier rounds. Joins on a node that very many others point to are
 split by adaptive execution (skew join).
 """
 
@@ -31,8 +32,12 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has larger neighbours only, or a single smaller one: a star step would change nothing."""
+    ends = (links.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger"))
+            .unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))))
+    count = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return not count.where(F.col("smaller") + F.col("larger") > 1).agg(F.count("*")).first()[0]
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -41,14 +46,9 @@ def connected(links: DataFrame) -> DataFrame:
     links = (links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
              .where(F.col("a") != F.col("b")))
     links, path = materialise(links.distinct(), "links")
-    before = _state(links)
-    while before[0]:
+    while not _settled(links):
         links, new = materialise(_star(_star(links, True), False), "links")
-        after = _state(links)
         drop_path(spark, path)
         path = new
-        if after == before:
-            break
-        before = after
     return (links.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())

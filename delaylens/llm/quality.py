@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import WordTable, mix, slices, texts_of, word_hashes, word_ngrams
+from delaylens.llm.common import WordTable, in_batches, mix, slices, texts_of, word_hashes, word_ngrams
 from delaylens.llm.toxicity import labelled_sample
 
 #: What a word brings to a text: log odds of its buckets, their number, and its hash.
@@ -109,18 +109,24 @@ def fit_rows(rows: list[tuple[str, int, float]], params: Params = Params()) -> M
         return Model(params, 40.0 if len(y) and y[0] == 1 else -40.0, np.zeros(params.buckets))
     weight = np.array([r[2] for r in rows], np.float32)
     vocabulary: dict[str, int] = {}
-    texts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in text.split()), np.int64) for text, _, _ in rows]
-    word, bucket = word_buckets(list(vocabulary), params)
-    order = np.argsort(word, kind="stable")
+    texts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in text.split()), np.int32) for text, _, _ in rows]
+    known = list(vocabulary)
+    bucket, start = in_batches(known, lambda some: word_buckets(some, params))
     # features: the words, with all their buckets, and behind them the buckets of pairs, each with itself
-    bucket = np.concatenate([bucket[order], np.arange(params.buckets)])
-    start = np.concatenate([np.searchsorted(word[order], np.arange(len(vocabulary))), len(word) + np.arange(params.buckets + 1)])
-    hashes = word_hashes(list(vocabulary))
-    docs = [np.unique(np.concatenate([ids, len(vocabulary) + pair_buckets(hashes[ids], params)]) if len(ids) > 1 else ids,
-                      return_counts=True) for ids in texts]  # with their counts
+    start = np.concatenate([start, len(bucket) + np.arange(1, params.buckets + 1)])
+    bucket = np.concatenate([bucket, np.arange(params.buckets, dtype=np.int32)])
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(known[k: k + 4096]) for k in range(0, len(known), 4096))])
+    docs = []  # features of each, with their counts
+    for ids in texts:
+        if len(ids) > 1:
+            ids = np.concatenate([ids, (len(vocabulary) + pair_buckets(hashes[ids], params)).astype(np.int32)])
+        docs.append(tuple(x.astype(np.int32) for x in np.unique(ids, return_counts=True)))
 
     rng = np.random.default_rng(params.seed)
-    vectors = rng.uniform(-1 / params.dim, 1 / params.dim, (params.buckets, params.dim)).astype(np.float32)
+    vectors = np.empty((params.buckets, params.dim), np.float32)
+    for at in range(0, params.buckets, 4096):
+        part = vectors[at: at + 4096]
+        part[:] = rng.uniform(-1 / params.dim, 1 / params.dim, part.shape)
     layer, bias = np.zeros((params.dim, 2), np.float32), np.zeros(2, np.float32)
     steps = params.epochs * -(-len(rows) // params.batch)
     step = 0

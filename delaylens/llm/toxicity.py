@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaylens.llm.common import WordTable, slices, texts_of, word_ngrams
+from delaylens.llm.common import WordTable, in_batches, slices, texts_of, word_ngrams
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,7 @@ class Model:
     weights: np.ndarray = field(repr=False)  # learned weight times r, by bucket
 
     def word_values(self, words: list[str]) -> list[float]:
-        rows, hashes = word_ngrams(words, self.params.lo, self.params.hi)
-        buckets = (hashes % np.uint64(self.params.buckets)).astype(np.int64)
+        rows, buckets = word_buckets(words, self.params)
         return np.bincount(rows, weights=self.weights[buckets], minlength=len(words)).tolist()
 
     def scores(self, texts: list[str], table: WordTable) -> np.ndarray:
@@ -62,6 +61,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def word_buckets(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(row of word, bucket) of every character n-gram."""
+    rows, hashes = word_ngrams(words, params.lo, params.hi)
+    return rows, (hashes % np.uint64(params.buckets)).astype(np.int64)
+
+
 def words_of(text: str) -> list[str]:
     """The distinct words of a text, sorted (a fixed order keeps sums reproducible)."""
     return sorted(set(text.lower().split()))
@@ -108,14 +113,11 @@ def fit_rows(rows: list[tuple[str, int, float]], params: Params = Params()) -> M
     if not len(y) or y.min() == y.max():
         return Model(params, 40.0 if len(y) and y[0] == 1 else -40.0, none)
     weight = np.array([r[2] for r in rows])
-    # documents x buckets, binary, as coordinate lists: n-grams once for each distinct word
+    # documents x words and words x buckets as coordinate lists; their product, which holds an n-gram once for each
+    # distinct word of a document as scoring does, is many times larger and never formed
     vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t, _, _ in rows]
-    word, hashes = word_ngrams(list(vocabulary), params.lo, params.hi)
-    bucket = (hashes % np.uint64(params.buckets)).astype(np.int64)
-    order = np.argsort(word, kind="stable")
-    bucket = bucket[order]
-    start = np.searchsorted(word[order], np.arange(len(vocabulary) + 1))
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int32) for t, _, _ in rows]
+    bucket, start = in_batches(list(vocabulary), lambda words: word_buckets(words, params))
 
     def buckets_of(words: np.ndarray) -> np.ndarray:
         n = start[words + 1] - start[words]
@@ -130,20 +132,20 @@ def fit_rows(rows: list[tuple[str, int, float]], params: Params = Params()) -> M
     a0, a1 = 2 * n0 / (n0 + n1), 2 * n1 / (n0 + n1)
     ratio = np.log((holds[1] + a1) / (n1 + 2 * a1)) - np.log((holds[0] + a0) / (n0 + 2 * a0))
     ratio[(holds.sum(0) < params.least_docs) | (np.abs(ratio) < params.least_ratio)] = 0
-    useful = ratio[bucket] != 0
-    bucket, kept = bucket[useful], np.concatenate([[0], np.cumsum(useful)])
-    start = kept[start]
-    found = [buckets_of(d) for d in docs]
-    row = np.repeat(np.arange(len(docs)), [len(f) for f in found])
-    columns, col = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_inverse=True)
-    # an n-gram counts once for each distinct word that holds it, as in scoring
+    useful = (ratio != 0)[bucket]
+    kept = np.append(np.int32(0), np.cumsum(useful, dtype=np.int32))
+    bucket, word = bucket[useful], np.repeat(np.arange(len(vocabulary)), np.diff(kept[start]))
+    columns, col = np.unique(bucket, return_inverse=True)
     value = ratio[columns][col]
+    row, held = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
     w, bias = np.zeros(len(columns)), float(np.log(n1 * weight[y == 1].mean() / (n0 * weight[y == 0].mean())))
     m = [np.zeros(len(columns) + 1), np.zeros(len(columns) + 1)]
     for step in range(1, params.steps + 1):  # Adam on the full sample
-        z = np.bincount(row, weights=w[col] * value, minlength=len(y)) + bias
+        brings = np.bincount(word, weights=w[col] * value, minlength=len(vocabulary))
+        z = np.bincount(row, weights=brings[held], minlength=len(y)) + bias
         err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        grad = np.append(np.bincount(col, weights=err[row] * value, minlength=len(w)) + params.l2 * w, err.sum())
+        error = np.bincount(held, weights=err[row], minlength=len(vocabulary))
+        grad = np.append(np.bincount(col, weights=error[word] * value, minlength=len(w)) + params.l2 * w, err.sum())
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad * grad
         move = 0.05 * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.99 ** step)) + 1e-8)

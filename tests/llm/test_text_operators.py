@@ -43,7 +43,7 @@ def auc(y, s):
 def test_classifiers_rank_held_out_documents(spark, query, target, sf, least):
     rows = query(spark, sf).collect()
     label = dict(duckdb.sql(f"SELECT doc_id, {target} FROM read_parquet('{sf}/labels.parquet')").fetchall())
-    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM read_parquet('{sf}/documents.parquet')").fetchone()[0]
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM read_parquet('{sf}/documents.parquet')").fetchall()[0][0]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert all(0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in label]
